@@ -122,17 +122,17 @@ def parse_day_month_name(s) -> Column:
 
 def parse_mdy(s, safe: bool = True) -> Column:
     """T-12 PARSE_DATE('%m/%d/%Y'); one- or two-digit month and day."""
-    return F.try_to_date(_c(s), F.lit("M/d/yyyy")) if safe else F.to_date(_c(s), "M/d/yyyy")
+    return F.try_to_date(_c(s), "M/d/yyyy") if safe else F.to_date(_c(s), "M/d/yyyy")
 
 
 def month_name_first_day(s) -> Column:
     """T-13 'January 2024' -> DATE 2024-01-01."""
-    return F.try_to_date(_c(s), F.lit("MMMM yyyy"))
+    return F.try_to_date(_c(s), "MMMM yyyy")
 
 
 def datekey_to_date(k) -> Column:
     """T-14 INT64 yyyyMMdd -> DATE."""
-    return F.try_to_date(_c(k).cast("string"), F.lit("yyyyMMdd"))
+    return F.try_to_date(_c(k).cast("string"), "yyyyMMdd")
 
 
 def date_to_datekey(d) -> Column:

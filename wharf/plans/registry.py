@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from wharf.plans import queries_feed
+from wharf.plans import queries_feed, queries_marts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _mod in (queries_feed,):
+for _mod in (queries_feed, queries_marts):
     QUERIES.update(_mod.QUERIES)
     ORACLES.update(_mod.ORACLES)

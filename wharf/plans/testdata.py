@@ -164,3 +164,115 @@ def lineitem_snapshot(lineitem: DataFrame) -> DataFrame:
         F.timestamp_add("SECOND", F.col("l_suppkey"), s).alias("CreateDate"),
         (F.col("l_discount") >= 0.1).alias("InactiveInd"),
     )
+
+
+# --------------------------------------------------------------------------- opportunity snapshot
+
+def _reporting_date(d: Column) -> Column:
+    """Order date moved 25 years on, so fiscal labels are 20xx like the reference's."""
+    return F.add_months(d, 300).cast("timestamp_ntz")
+
+
+def opportunity_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders x customer x nation x region in the opportunity-snapshot shape.
+
+    One row per order. Weekly ('WK', priority 5-LOW) rows carry their own
+    date as Datekey, month-end ('ME') rows the last day of their month.
+    """
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    df = (o.join(c, o["o_custkey"] == c["c_custkey"])
+           .join(n, c["c_nationkey"] == n["n_nationkey"])
+           .join(r, n["n_regionkey"] == r["r_regionkey"]))
+    rd = _reporting_date(F.col("o_orderdate"))
+    wk = F.col("o_orderpriority") == "5-LOW"
+    k = F.col("o_orderkey")
+    seg = F.col("c_mktsegment")
+    status = (F.when(F.col("o_orderstatus") == "O", F.lit("Pipeline"))
+               .when((F.col("o_orderstatus") == "F") & (k % 29 == 0), F.lit("Closed-Duplicated"))
+               .when(F.col("o_orderstatus") == "F", F.lit("Won"))
+               .otherwise(F.lit("Unqualified")))
+    price = dec2(F.col("o_totalprice")).cast(casts.NUMERIC)
+    from wharf.functions.periods import quarter_label
+    from wharf.plans.opportunity import FLOAT_MEASURE, MEASURES
+    measures = {src: price for src, _ in MEASURES}
+    measures["WorkHours"] = (F.col("c_custkey") % 40).cast(casts.NUMERIC)
+    measures["ContractControllableIncomeGlobalAmt"] = (dec2(F.col("o_totalprice"))
+                                                       * F.lit("0.25").cast("decimal(3,2)")).cast(casts.NUMERIC)
+    return df.select(
+        F.date_format(F.when(wk, rd).otherwise(F.last_day(rd)), "yyyyMMdd").cast("bigint").alias("Datekey"),
+        k.alias("OpportunityId"),
+        F.when(wk, F.lit("WK")).otherwise(F.lit("ME")).alias("PeriodCd"),
+        status.alias("StatusDesc"),
+        F.concat(F.lit("Stage "), F.substring("o_orderpriority", 1, 1)).alias("StageDesc"),
+        rd.alias("ReportingDate"),
+        F.col("c_name").alias("MasterCustomerNm"),
+        F.col("c_custkey").cast("string").alias("MasterCustomerNbr"),
+        seg.alias("HistoricalMasterClientClassDesc"),
+        seg.alias("CurrentMasterClientClassDesc"),
+        F.col("r_name").alias("MarketNm"),
+        F.when(F.col("c_custkey") % 11 == 0, F.lit(""))
+         .when(F.col("c_custkey") % 13 == 0, F.lit(None))
+         .otherwise(F.col("n_name")).alias("MarketUnitNm"),
+        F.when(seg == "AUTOMOBILE", F.lit("Cmt Auto")).when(seg == "BUILDING", F.lit("res building"))
+         .when(seg == "FURNITURE", F.lit("PRD Furniture")).when(seg == "MACHINERY", F.lit("h&ps machinery"))
+         .otherwise(F.lit("")).alias("ClientGroupNm"),
+        F.when(seg == "HOUSEHOLD", F.lit(None)).otherwise(F.substring(seg, 1, 2)).alias("ClientGroupCd"),
+        seg.alias("MasterCustomerIndustryNm"),
+        quarter_label(rd, "FY", 9).alias("ExpectedContractSignDtFiscalQuarter"),
+        F.when(k % 31 == 0, F.lit("")).otherwise(F.date_format(F.add_months(rd, 2), "MMMM yyyy"))
+         .alias("ExpectedContractSignDtMonth"),
+        quarter_label(rd, "FY", 9).alias("QuarterClosed"),
+        F.date_format(rd, "MMMM yyyy").alias("MonthClosed"),
+        F.when(k % 17 == 0, F.lit(None)).otherwise(F.concat(F.lit("SG-"), F.col("o_orderpriority")))
+         .alias("ServiceGroupDesc"),
+        F.when(F.col("o_totalprice") > 300000, F.lit("Large")).otherwise(F.lit("Small"))
+         .alias("DealSizeStandardDesc"),
+        F.col("o_orderpriority").alias("ServicesDesc"),
+        F.col("o_orderstatus").alias("DealFamilyDesc"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("C")).when(F.col("o_orderstatus") == "O", F.lit("O"))
+         .otherwise(F.lit("X")).alias("TypeOfWorkCd"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("Y")).otherwise(F.lit("N")).alias("WinRateFlag"),
+        F.lit("Y").alias("SubServiceGroupAHRWithinRangeInd"),
+        F.lit("N").alias("SubServiceGroupHasEffortInd"),
+        F.lit("N").alias("OpportunityExtensionInd"),
+        seg.alias("CompetitionCategory"),
+        F.when(F.col("o_totalprice") > 450000, F.lit("Mega")).otherwise(F.lit("")).alias("MegaDealDesc"),
+        F.lit("Y").alias("QuarterSpecificInd"),
+        F.col("n_name").alias("CountryNm"),
+        F.col("r_name").alias("ResponsibleBusinessEntityWithOverrideNm"),
+        F.lit("Std").alias("StandardDealGroupDesc"),
+        *[v.alias(name) for name, v in measures.items()],
+        (F.col("c_custkey") % 1000).cast("double").alias(FLOAT_MEASURE),
+    )
+
+
+def opportunity_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Industry sub-segment shares: urgent/high orders split 0.75 / 0.25."""
+    o = table(spark, sf_dir, "orders")
+    rd = _reporting_date(F.col("o_orderdate"))
+    wk = F.col("o_orderpriority") == "5-LOW"
+    parts = F.array(
+        F.struct(F.lit("SUB-A").alias("sub"), F.lit("0.75").cast("decimal(10,6)").alias("pct")),
+        F.struct(F.lit("SUB-B").alias("sub"), F.lit("0.25").cast("decimal(10,6)").alias("pct")))
+    return (o.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+             .select(F.date_format(F.when(wk, rd).otherwise(F.last_day(rd)), "yyyyMMdd")
+                      .cast("bigint").alias("Datekey"),
+                     F.col("o_orderkey").alias("OpportunityId"),
+                     F.concat(F.lit("SEG-"), F.col("o_orderstatus")).alias("IndustrySegment"),
+                     F.concat(F.lit("GRP-"), F.substring("o_orderpriority", 1, 1)).alias("IndustryGroup"),
+                     F.explode(parts).alias("p"))
+             .select("Datekey", "OpportunityId", F.col("p.sub").alias("IndustrySubSegment"),
+                     F.col("p.pct").alias("IndustrySubSegment_Percentage"),
+                     "IndustrySegment", "IndustryGroup"))
+
+
+def market_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market -> market unit mapping with flags; some units mapped twice ('Y' and 'NC')."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    base = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(
+        F.col("r_name").alias("market"), F.col("n_name").alias("market_unit"), "n_nationkey")
+    y = base.select("market", "market_unit", F.lit("Y").alias("Flag"))
+    nc = base.where(F.col("n_nationkey") % 5 == 0).select("market", "market_unit", F.lit("NC").alias("Flag"))
+    no = base.where(F.col("n_nationkey") % 7 == 0).select("market", "market_unit", F.lit("N").alias("Flag"))
+    return y.unionByName(nc).unionByName(no)
