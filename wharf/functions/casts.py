@@ -19,11 +19,6 @@ from pyspark.sql import functions as F
 # The reference's NUMERIC type is DECIMAL(38, 9).
 NUMERIC = "decimal(38,9)"
 
-# An ISO-like date-time: "yyyy-MM-dd" then "T" or " " then "HH:mm:ss".
-_ISO19 = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}$"
-# A trailing zone designator after a time of day.
-_HAS_ZONE = r"(?i)\d{1,2}:\d{2}(:\d{2}(\.\d*)?)?\s*(z|utc|gmt|[+-]\d{1,2}(:?\d{2})?)$"
-_DATE_ONLY = r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$"
 
 
 def _c(col) -> Column:
@@ -70,22 +65,36 @@ def percent_numeric(s, safe: bool = True) -> Column:
 
 # --------------------------------------------------------------------------- date-times
 
+# Fixed layout of the reference's PARSE_TIMESTAMP('%Y-%m-%dT%H:%M:%E*S', SUBSTR(s, 1, 19)).
+_ISO19 = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}$"
+# A trailing zone designator after a time of day.
+_HAS_ZONE = r"(?i)\d{1,2}:\d{2}(:\d{2}(\.\d*)?)?\s*(z|utc|gmt|[+-]\d{1,2}(:?\d{2})?)$"
+_DATE_ONLY = r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$"
+
+
 def wall_datetime(s, safe: bool = True) -> Column:
     """T-07 wall-clock DATETIME from the first 19 characters; the offset is ignored."""
     head = F.substring(_c(s), 1, 19)
     if not safe:
         return F.to_timestamp_ntz(head, F.lit("yyyy-MM-dd'T'HH:mm:ss"))
-    return F.when(head.rlike(_ISO19),
-                  head.try_cast("timestamp_ntz"))
+    return F.when(head.rlike(_ISO19), head.try_cast("timestamp_ntz"))
 
 
 def _with_zone(s: Column) -> Column:
-    """Strings without a zone designator denote UTC."""
+    """Strings without a zone designator denote UTC: append one."""
     return (F.when(s.rlike(_HAS_ZONE), s)
             .when(s.rlike(_DATE_ONLY), F.concat(F.trim(s), F.lit("T00:00:00Z")))
             .otherwise(F.concat(s, F.lit("Z"))))
 
 
+def _session_is_utc() -> bool:
+    """Plan-time check: zone-less strings already read as UTC in a UTC session."""
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    tz = spark.conf.get("spark.sql.session.timeZone", "") if spark is not None else ""
+    return tz.upper() in ("UTC", "GMT", "Z", "+00:00", "ETC/UTC", "ETC/GMT")
+
+
 def instant_to_utc_ntz(ts: Column) -> Column:
     """An instant (TIMESTAMP) as its UTC wall time (TIMESTAMP_NTZ), zone-free."""
     epoch = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
@@ -94,7 +103,7 @@ def instant_to_utc_ntz(ts: Column) -> Column:
 
 def utc_datetime(s, safe: bool = True) -> Column:
     """T-08/T-09 CAST(TIMESTAMP(s) AS DATETIME): offset applied, result in UTC."""
-    zoned = _with_zone(_c(s))
+    zoned = _c(s) if _session_is_utc() else _with_zone(_c(s))
     inst = zoned.try_cast("timestamp") if safe else zoned.cast("timestamp")
     return instant_to_utc_ntz(inst)
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wharf.functions.casts import datekey_to_date
+from wharf.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -47,18 +48,34 @@ def _fy_prefix(fy2: Column, delta: int, mm: str) -> Column:
     return F.concat(F.lit("20"), (fy2.try_cast("bigint") + delta).cast("string"), F.lit(mm))
 
 
-def per_datekey(facts: DataFrame, spec: AnchorSpec = AnchorSpec()) -> DataFrame:
-    """Step 1: one row per distinct datekey."""
-    return facts.groupBy(spec.key).agg(
+def per_datekey(facts: DataFrame, spec: AnchorSpec = AnchorSpec(),
+                extra: dict[str, Column] | None = None, materialize: bool = True) -> DataFrame:
+    """Step 1: one row per distinct datekey (plus ``extra`` aggregates).
+
+    The result grows with the number of snapshot dates, not with the data. It
+    is read by several scalar subqueries and a join, so by default it is
+    checkpointed once (to the session's ``spark.checkpoint.dir``) instead of
+    re-aggregating the facts for every reader.
+    """
+    keys = facts.groupBy(spec.key).agg(
         F.max(spec.quarter_col).alias("max_quarter"),
         F.max((F.col(spec.period_col) == spec.month_end).cast("int")).alias("has_me"),
+        *[c.alias(n) for n, c in (extra or {}).items()],
     )
+    if materialize:
+        ensure_checkpoint_dir(facts.sparkSession)
+        keys = keys.checkpoint(eager=True)
+    return keys
+
 
+def anchor_dates(facts: DataFrame, spec: AnchorSpec = AnchorSpec(),
+                 keys: DataFrame | None = None) -> DataFrame:
+    """X-02 the anchor datekeys as a DataFrame[datekey] (at most 24 rows).
 
-def anchor_dates(facts: DataFrame, spec: AnchorSpec = AnchorSpec()) -> DataFrame:
-    """X-02 the anchor datekeys as a DataFrame[datekey] (at most 24 rows)."""
+    ``keys``: a ``per_datekey`` summary already computed by the caller.
+    """
     k = F.col(spec.key)
-    keys = per_datekey(facts, spec)
+    keys = per_datekey(facts, spec) if keys is None else keys
     is_me = F.col("has_me") == 1
     # All base facts in one pass over the small per-datekey table; one row per
     # datekey, so max(struct(k, q)).q is "MAX(QuarterClosed) at the newest k".

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wharf.functions import casts
 from wharf.functions.periods import fiscal_slot_label, quarter_slot
 from wharf.operators.allocate import allocate, map_join
-from wharf.operators.anchors import AnchorSpec, anchor_dates, select_anchors
+from wharf.operators.anchors import AnchorSpec, anchor_dates, per_datekey, select_anchors
 from wharf.operators.flags import scalar
 
 # The first-match industry-group patterns (order matters).
@@ -65,12 +65,20 @@ GROUP_KEYS = (
 )
 
 
-def anchor_slot(snapshot: DataFrame):
+def datekey_summary(snapshot: DataFrame, anchors: AnchorSpec = AnchorSpec()) -> DataFrame:
+    """One checkpointed row per snapshot date feeding the X-01 slot and X-02 anchors."""
+    extra = {"has_pipeline_me": F.max((F.col("StatusDesc").isin("Pipeline")
+                                       & (F.col(anchors.period_col) == anchors.month_end)).cast("int")),
+             "max_reporting_date": F.max("ReportingDate")}
+    return per_datekey(snapshot, anchors, extra)
+
+
+def anchor_slot(snapshot: DataFrame, keys: DataFrame | None = None, key: str = "Datekey"):
     """X-01 slot of the month of max(ReportingDate) at the newest Pipeline 'ME' snapshot."""
-    pipe = snapshot.where(F.col("StatusDesc").isin("Pipeline") & (F.col("PeriodCd") == "ME"))
-    newest = scalar(pipe, F.max("Datekey"))
-    max_rd = scalar(snapshot.where(F.col("Datekey") == newest), F.max("ReportingDate"))
-    return quarter_slot(F.month(max_rd))
+    keys = datekey_summary(snapshot) if keys is None else keys
+    newest = F.max(F.when(F.col("has_pipeline_me") == 1,
+                          F.struct(F.col(key), F.col("max_reporting_date").alias("rd"))))["rd"]
+    return quarter_slot(F.month(scalar(keys, newest)))
 
 
 def reporting_status_date(status, expected_month, month_closed):
@@ -83,11 +91,12 @@ def reporting_status_date(status, expected_month, month_closed):
 def opportunity_mart(snapshot: DataFrame, shares: DataFrame, mapping: DataFrame,
                      anchors: AnchorSpec = AnchorSpec(), dedupe_mapping: bool = False) -> DataFrame:
     """M-01 the opportunity backup table, one lazy plan."""
-    slot = anchor_slot(snapshot)
+    keys = datekey_summary(snapshot, anchors)
+    slot = anchor_slot(snapshot, keys, anchors.key)
     facts = snapshot.where((F.col("ExpectedContractSignDtMonth") != "")
                            & (F.col("StatusDesc") != "Closed-Duplicated")
                            & (F.col("PeriodCd") == "ME"))
-    facts = select_anchors(facts, anchor_dates(snapshot, anchors), anchors.key)
+    facts = select_anchors(facts, anchor_dates(snapshot, anchors, keys), anchors.key)
     facts = map_join(facts, mapping, [("MarketNm", "market"), ("MarketUnitNm", "market_unit")],
                      where=F.col("Flag").isin("Y", "NC"), dedupe_right=dedupe_mapping)
     agg = allocate(
