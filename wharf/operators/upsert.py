@@ -72,8 +72,10 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     out_cols = target.columns
     if update_cols is None:
         update_cols = [c for c in src.columns if c not in INACTIVE_COLS]
-    update_cols = set(update_cols) | set(UPDATE_COLS) | (set() if preserve_created else set(CREATE_COLS))
+    update_cols = set(update_cols) | set(UPDATE_COLS) | set(CREATE_COLS)
     update_cols -= set(INACTIVE_COLS)
+    if preserve_created:
+        update_cols -= set(CREATE_COLS)
 
     is_active = F.col(active_col) == F.lit(False)
     matchable = target.where(is_active).withColumn(_T, F.lit(True))
