@@ -65,19 +65,22 @@ def percent_numeric(s, safe: bool = True) -> Column:
 
 # --------------------------------------------------------------------------- date-times
 
-# Fixed layout of the reference's PARSE_TIMESTAMP('%Y-%m-%dT%H:%M:%E*S', SUBSTR(s, 1, 19)).
-_ISO19 = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}$"
 # A trailing zone designator after a time of day.
 _HAS_ZONE = r"(?i)\d{1,2}:\d{2}(:\d{2}(\.\d*)?)?\s*(z|utc|gmt|[+-]\d{1,2}(:?\d{2})?)$"
 _DATE_ONLY = r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$"
 
 
 def wall_datetime(s, safe: bool = True) -> Column:
-    """T-07 wall-clock DATETIME from the first 19 characters; the offset is ignored."""
+    """T-07 wall-clock DATETIME from the first 19 characters; the offset is ignored.
+
+    The cast accepts 'yyyy-MM-ddTHH:mm:ss' (or a space); requiring all 19
+    characters rejects date-only and unpadded text as the reference's format
+    does. Strict form: a plain cast, which raises on bad text under ANSI.
+    """
     head = F.substring(_c(s), 1, 19)
     if not safe:
-        return F.to_timestamp_ntz(head, F.lit("yyyy-MM-dd'T'HH:mm:ss"))
-    return F.when(head.rlike(_ISO19), head.try_cast("timestamp_ntz"))
+        return head.cast("timestamp_ntz")
+    return F.when(F.length(head) == 19, head.try_cast("timestamp_ntz"))
 
 
 def _with_zone(s: Column) -> Column:
