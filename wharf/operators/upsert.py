@@ -10,7 +10,10 @@ Plain parquet has no MERGE, so the result is a new DataFrame to be written to
 a fresh path and swapped in. Plan: active target rows FULL OUTER JOIN source on
 the key (one shuffle per side, sort-merge), inactive target rows bypass the
 join untouched. With NULL in a key column ``=`` never matches, so such source
-rows insert again on every run (U-03); ``null_safe=True`` uses ``<=>``.
+rows insert again on every run (U-03); they also bypass the join (target rows
+unchanged, source rows inserted), so a NULL-heavy key cannot skew one join
+task. ``null_safe=True`` uses ``<=>`` instead. The source is expected unique
+per key (``latest_per_key``), so no key multiplies in the join.
 """
 
 from __future__ import annotations
@@ -78,10 +81,30 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
         update_cols -= set(CREATE_COLS)
 
     is_active = F.col(active_col) == F.lit(False)
-    matchable = target.where(is_active).withColumn(_T, F.lit(True))
-    bypass = target.where(~is_active | F.col(active_col).isNull())
+    src_cols = set(src.columns)
+    out_types = {f.name: f.dataType for f in target.schema.fields}
+
+    def as_insert(df: DataFrame, prefix: str = "") -> list[Column]:
+        return [(F.col(f"{prefix}{c}") if c in src_cols else F.lit(None)).cast(out_types[c]).alias(c)
+                for c in out_cols]
 
-    t, s = matchable.alias("t"), src.withColumn(_S, F.lit(True)).alias("s")
+    matchable = target.where(is_active)
+    bypass = target.where(~is_active | F.col(active_col).isNull())
+    inserts = None
+    if not null_safe:
+        # With '=' a NULL in any key column never matches: such rows skip the
+        # join (target rows stay, source rows insert), so a NULL-heavy key
+        # cannot pile up in one join task.
+        null_key = F.lit(False)
+        for k in keys:
+            null_key = null_key | F.col(k).isNull()
+        bypass = bypass.unionByName(matchable.where(null_key))
+        matchable = matchable.where(~null_key)
+        inserts = src.where(null_key).select(*as_insert(src))
+        src = src.where(~null_key)
+
+    t = matchable.withColumn(_T, F.lit(True)).alias("t")
+    s = src.withColumn(_S, F.lit(True)).alias("s")
     cond = None
     for k in keys:
         c = F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) if null_safe else F.col(f"t.{k}") == F.col(f"s.{k}")
@@ -89,20 +112,17 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     joined = t.join(s, cond, "full_outer")
 
     in_t, in_s = F.col(f"t.{_T}").isNotNull(), F.col(f"s.{_S}").isNotNull()
-    src_cols = set(src.columns)
     proj = []
     for c in out_cols:
         tv = F.col(f"t.{c}")
         sv = F.col(f"s.{c}") if c in src_cols else F.lit(None)
-        if c in update_cols and c in src_cols:
-            matched_value = sv
-        else:
-            matched_value = tv
+        matched_value = sv if (c in update_cols and c in src_cols) else tv
         proj.append(F.when(in_t & in_s, matched_value)
                     .when(in_t, tv)
-                    .otherwise(sv.cast(target.schema[c].dataType))
+                    .otherwise(sv.cast(out_types[c]))
                     .alias(c))
-    return joined.select(*proj).unionByName(bypass)
+    out = joined.select(*proj).unionByName(bypass)
+    return out if inserts is None else out.unionByName(inserts)
 
 
 def assert_unique(source: DataFrame, keys: Sequence[str]) -> DataFrame:
