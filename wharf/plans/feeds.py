@@ -323,3 +323,48 @@ def run_feed(stage: DataFrame, target: DataFrame, spec: FeedSpec, audit: Audit |
     src = ods_source(full, spec, audit)
     return {"validated": validated, "summary": stage_summary(validated, spec),
             "snapshot": snap, "ods": merge_ods(target, src, spec, audit)}
+
+
+def register_asof_function(spark, name: str, snapshot: DataFrame, spec: FeedSpec,
+                           parent_id: int | None = None) -> str:
+    """F-01 as a Spark SQL table function: ``SELECT * FROM name(start, end)``.
+
+    A temporary view holds the snapshot's typed projection (plus the raw key
+    strings the window partitions on); the function filters it by the window
+    and keeps the latest row per key. Filters on the view's columns are pushed
+    below the projection and into the scan by Catalyst.
+    """
+    if spec.asof_keys is None:
+        raise ValueError(f"{spec.name} has no snapshot table function")
+    src = snapshot if parent_id is None else snapshot.where(F.col("ParentSystemId") == F.lit(parent_id))
+    keys = [f"__k{i}" for i in range(len(spec.asof_keys))]
+    view = f"__wharf_{name}_typed"
+    src.select(*asof_projection(spec),
+               *[F.col(k).alias(a) for k, a in zip(spec.asof_keys, keys)],
+               F.col("SnapshotRowDateTime").alias("__snap_dt"), F.col("CreateDate").alias("__created"),
+               F.col("LineNum").alias("__line")).createOrReplaceTempView(view)
+    hidden = ", ".join([*keys, "__snap_dt", "__created", "__line", "__rn"])
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION {name}(iStartDate TIMESTAMP_NTZ, iEndDate TIMESTAMP_NTZ)
+        RETURNS TABLE
+        RETURN SELECT * EXCEPT ({hidden}) FROM (
+          SELECT *, row_number() OVER (
+                   PARTITION BY {", ".join(keys)}
+                   ORDER BY FileEffectiveDate DESC, __created DESC, FileLoadAuditId DESC, __line DESC) AS __rn
+          FROM {view}
+          WHERE NOT InactiveInd AND __snap_dt >= iStartDate AND __snap_dt <= iEndDate)
+        WHERE __rn = 1""")
+    return name
+
+
+def register_feed_functions(spark, snapshots: dict[str, DataFrame],
+                            systems=SYSTEMS) -> list[str]:
+    """All table functions: ``ft_<feed>FileSnapshot_<ParentSystemId>`` per feed and system."""
+    names = []
+    for feed, snap in snapshots.items():
+        spec = FEEDS[feed]
+        if spec.asof_keys is None:
+            continue
+        for parent, _ in systems:
+            names.append(register_asof_function(spark, f"ft_{feed}FileSnapshot_{parent}", snap, spec, parent))
+    return names

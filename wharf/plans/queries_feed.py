@@ -30,6 +30,13 @@ def d02_snapshot_asof(spark: SparkSession, sf: str) -> DataFrame:
                          lo, hi, tiebreak=["FileLoadAuditId", "LineNum"])
 
 
+def d02b_snapshot_asof_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """D-02 through the SQL table-function surface (same result, same oracle)."""
+    snap = lineitem_snapshot(table(spark, sf, "lineitem"))
+    name = feeds.register_asof_function(spark, "ft_LineitemFileSnapshot", snap, LINEITEM_FEED)
+    return spark.sql(f"SELECT * FROM {name}(TIMESTAMP_NTZ'{ASOF_START}', TIMESTAMP_NTZ'{ASOF_END}')")
+
+
 def _validated(spark: SparkSession, sf: str) -> DataFrame:
     stage = orders_stage(table(spark, sf, "orders"))
     return feeds.validate_stage(stage, ORDERS_FEED, fixed_audit().now)
@@ -245,6 +252,7 @@ SELECT {_CLEAN} FROM target WHERE InactiveInd IS NOT FALSE
 QUERIES = {
     "D-01_latest_per_key": d01_latest_per_key,
     "D-02_snapshot_asof": d02_snapshot_asof,
+    "D-02b_snapshot_asof_sql": d02b_snapshot_asof_sql,
     "D-03_validate_rows": d03_validate_rows,
     "D-04_validate_summary": d04_validate_summary,
     "D-05_stage_to_snapshot": d05_stage_to_snapshot,
@@ -253,6 +261,7 @@ QUERIES = {
 ORACLES = {
     "D-01_latest_per_key": D01_SQL,
     "D-02_snapshot_asof": D02_SQL,
+    "D-02b_snapshot_asof_sql": D02_SQL,
     "D-03_validate_rows": D03_SQL,
     "D-04_validate_summary": D04_SQL,
     "D-05_stage_to_snapshot": D05_SQL,
