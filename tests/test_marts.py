@@ -71,3 +71,12 @@ def test_anchor_dates_small(spark):
     got = sorted(r.Datekey for r in anchor_dates(facts, AnchorSpec()).collect())
     # newest ME; 3/6/12 months back; FY(24)-1 '09'; (2024-1) '08'; fixed literal; FY-1 and FY-2 '12'
     assert got == [20200904, 20221231, 20230831, 20230930, 20240229, 20240531, 20240831]
+
+
+def test_publish_views_as_temp_views(spark):
+    plan = spark.createDataFrame([("m", "u", 2024, 1, 2.0, 3.0, 4.0, 5.0, 6, 7)],
+                                 "Market string, MU string, Year int, New_Bookings int, Revenue double, "
+                                 "CCI double, BD double, CI double, MU_Key int, MUCG_Key int")
+    names = views.publish(spark, {"fy_plan_vw": ("view3", (plan,))})
+    assert names == ["fy_plan_vw"]
+    assert spark.sql("SELECT count(*) AS n FROM fy_plan_vw").collect()[0].n == 1

@@ -62,3 +62,23 @@ def test_incremental_intake_is_idempotent(spark, tmp_dir):
     out = spark.read.parquet(ods)
     assert out.count() == 4 and out.where("InactiveInd").count() == 0
     assert spark.read.parquet(snap).count() == 8
+
+
+def test_intake_with_only_rejected_rows(spark, tmp_dir):
+    spec = FEEDS["LoginDaily"]
+    landing = f"{tmp_dir}/landing"
+    write_csv(f"{landing}/f1.csv", spec.columns, [["", "co", "", "f", "l", "rp", "x", "y", "z"]])
+    q = incremental_intake(spark, landing, spec, parent_id=3462, system_id=3464,
+                           snapshot_path=f"{tmp_dir}/snap", ods_path=f"{tmp_dir}/ods", checkpoint=f"{tmp_dir}/ck")
+    q.awaitTermination(120)
+    assert q.exception() is None
+    assert spark.read.parquet(f"{tmp_dir}/ods").count() == 0
+
+
+def test_route_by_folder(spark, tmp_dir):
+    from wharf.sources.stage import route_by_folder
+    write_csv(f"{tmp_dir}/AgentDaily/a.csv", ["x"], [["1"]])
+    write_csv(f"{tmp_dir}/LoginDaily/b.csv", ["x"], [["2"]])
+    df = spark.read.option("header", True).option("recursiveFileLookup", True).csv(tmp_dir)
+    got = sorted(r.feed for r in df.select(route_by_folder().alias("feed")).collect())
+    assert got == ["AgentDaily", "LoginDaily"]

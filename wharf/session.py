@@ -12,6 +12,28 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# Settings for a large cluster run (~100 TB of input, ~1000 executors). Shuffle
+# partition counts are left to AQE: start high, coalesce to ~256 MB partitions,
+# split skewed partitions of joins; scans split files at 256 MB.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def apply_cluster_conf(spark: SparkSession, overrides: dict | None = None) -> None:
+    """Apply ``CLUSTER_CONF`` (runtime-settable SQL settings only)."""
+    for k, v in {**CLUSTER_CONF, **(overrides or {})}.items():
+        spark.conf.set(k, v)
+
+
 def build_session(master: str | None = None, app: str = "wharf",
                   shuffle_partitions: int | None = None) -> SparkSession:
     """Local session tuned like a cluster job: AQE on, skew-join on, UTC."""
