@@ -84,8 +84,8 @@ def view4_year_flag(gdp: DataFrame, market_dim: DataFrame) -> DataFrame:
 def view5_guidance_flag(guidance: DataFrame) -> DataFrame:
     """M-08 / X-04: two independent maxima over non-null values; CY year-over-year."""
     valued = guidance.where(F.col("Value").isNotNull())
-    lbl = scalar(valued, F.max("label"))
-    qtr = scalar(valued, F.max("Quarter"))
+    tops = scalar(valued, F.struct(F.max("label").alias("lbl"), F.max("Quarter").alias("qtr")))
+    lbl, qtr = tops["lbl"], tops["qtr"]
     at_lbl = F.col("label") == lbl
     flag = first_match_flag([(at_lbl & (F.col("Quarter") == qtr), 1),
                              (at_lbl & (F.col("Quarter") == prior_year_label(qtr)), 2)])
@@ -103,8 +103,8 @@ def view6_max_year_flag(outlook: DataFrame) -> DataFrame:
 def view7_mom_flag(layoffs: DataFrame, market_dim: DataFrame) -> DataFrame:
     """M-10 / X-07: month of the newest parsed date and max year; prior month -> 2."""
     parsed = casts.parse_day_month_name(F.col("Date"))
-    maxmonth = scalar(layoffs, F.month(F.max(parsed)))
-    maxyear = scalar(layoffs, F.max("year"))
+    tops = scalar(layoffs, F.struct(F.month(F.max(parsed)).alias("m"), F.max("year").alias("y")))
+    maxmonth, maxyear = tops["m"], tops["y"]
     m = F.month(parsed)
     at_year = F.col("year") == maxyear
     flag = first_match_flag([(at_year & (m == maxmonth), 1), (at_year & (m == maxmonth - 1), 2)])
