@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from wharf.functions.periods import fiscal_slot_label
 from wharf.operators.allocate import allocate
 from wharf.operators.anchors import anchor_dates, select_anchors
-from wharf.plans.opportunity import (FLOAT_MEASURE, GROUP_KEYS, MEASURES, anchor_slot,
-                                     opportunity_mart)
+from wharf.plans.opportunity import (FLOAT_MEASURE, GROUP_KEYS, INDUSTRY_GROUPS, MEASURES,
+                                     anchor_slot, opportunity_mart)
 from wharf.plans.testdata import (dec2, market_mapping, opportunity_shares, opportunity_snapshot,
                                   table)
 
@@ -125,9 +125,9 @@ SHARES_SQL = f"""
 MAPPING_SQL = """
   SELECT r_name AS market, n_name AS market_unit, 'Y' AS Flag FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION ALL
-  SELECT r_name, n_name, 'NC' FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 = 0
+  SELECT r_name, n_name, 'NC' FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'
   UNION ALL
-  SELECT r_name, n_name, 'N' FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 7 = 0"""
+  SELECT r_name, n_name, 'N' FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'"""
 
 # X-01 slot table: month -> (slot, fiscal quarter, month in quarter, year offset).
 _SLOT_VALUES = ", ".join(
@@ -233,11 +233,7 @@ agg AS (
 SELECT MasterCustomerNm, MasterCustomerNbr, HistoricalMasterClientClassDesc,
   CurrentMasterClientClassDesc AS CurrentMasterClientClass, Datekey,
   {_blank("MarketNm")} AS Market, {_blank("MarketUnitNm")} AS MarketUnit,
-  CASE WHEN upper(ClientGroupNm) LIKE '%CMT%' THEN 'Communications, Media & Technology'
-       WHEN upper(ClientGroupNm) LIKE '%PRD%' THEN 'Products'
-       WHEN upper(ClientGroupNm) LIKE '%FS%' THEN 'Financial Services'
-       WHEN upper(ClientGroupNm) LIKE '%RES%' THEN 'Resources'
-       WHEN upper(ClientGroupNm) LIKE '%H&PS%' THEN 'Health & Public Service'
+  CASE {" ".join(f"WHEN upper(ClientGroupNm) LIKE '{p}' THEN '{label}'" for p, label in INDUSTRY_GROUPS)}
        ELSE 'blank' END AS IndustryGroup,
   {_blank("MasterCustomerIndustryNm")} AS IndustrySegment,
   CAST(NULL AS TIMESTAMP) AS ExpectedContractSignDt,

@@ -270,11 +270,12 @@ def opportunity_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def market_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Market -> market unit mapping with flags; some units mapped twice ('Y' and 'NC')."""
+    """Market -> market unit mapping with flags; European units mapped twice ('Y' and 'NC')."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     base = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(
-        F.col("r_name").alias("market"), F.col("n_name").alias("market_unit"), "n_nationkey")
+        F.col("r_name").alias("market"), F.col("n_name").alias("market_unit"))
     y = base.select("market", "market_unit", F.lit("Y").alias("Flag"))
-    nc = base.where(F.col("n_nationkey") % 5 == 0).select("market", "market_unit", F.lit("NC").alias("Flag"))
-    no = base.where(F.col("n_nationkey") % 7 == 0).select("market", "market_unit", F.lit("N").alias("Flag"))
+    # European units are also mapped under the 'NC' flag, Asian ones under 'N'.
+    nc = base.where(F.col("market") == "EUROPE").select("market", "market_unit", F.lit("NC").alias("Flag"))
+    no = base.where(F.col("market") == "ASIA").select("market", "market_unit", F.lit("N").alias("Flag"))
     return y.unionByName(nc).unionByName(no)
