@@ -30,14 +30,15 @@ def quarter_label(d, prefix: str = "FY", start_month: int = 9) -> Column:
     return F.concat(F.lit(prefix), two_digit_year(year), F.lit("Q"), q.cast("string"))
 
 
-def prior_year_label(label) -> Column:
+def prior_year_label(label, prefix: str | None = None) -> Column:
     """'FY24Q1' -> 'FY23Q1' by int arithmetic, as the reference does it.
 
-    The year goes through an integer, so a leading zero is lost
-    ('FY10Q1' -> 'FY9Q1'); that is the reference's behaviour.
+    ``prefix`` is the literal put in front ('FY' or 'CY'); by default the
+    label's own first two characters. The year goes through an integer, so a
+    leading zero is lost ('FY10Q1' -> 'FY9Q1'); that is the reference's behaviour.
     """
     label = _c(label)
-    prefix = F.substring(label, 1, 2)
+    prefix = F.substring(label, 1, 2) if prefix is None else F.lit(prefix)
     year = F.substring(label, 3, 2).try_cast("int") - 1
     return F.concat(prefix, year.cast("string"), F.right(label, F.lit(2)))
 

@@ -51,7 +51,7 @@ def view2_unpivot_flag(dcs: DataFrame) -> DataFrame:
                         "Attribute", "Value", VIEW2_RELABEL)
     q = F.col("Quarter")
     base = (F.col("Attribute") == "weaker") & (F.col("Question_num") == "Q1")
-    flag = first_match_flag([(base & (q == qtr), 1), (base & (q == prior_year_label(qtr)), 2)])
+    flag = first_match_flag([(base & (q == qtr), 1), (base & (q == prior_year_label(qtr, "FY")), 2)])
     return a.select("Quarter", "Attribute", "Value", "Question_num", "DataAsOf",
                     flag.cast("int").alias("Flag"))
 
@@ -88,7 +88,7 @@ def view5_guidance_flag(guidance: DataFrame) -> DataFrame:
     lbl, qtr = tops["lbl"], tops["qtr"]
     at_lbl = F.col("label") == lbl
     flag = first_match_flag([(at_lbl & (F.col("Quarter") == qtr), 1),
-                             (at_lbl & (F.col("Quarter") == prior_year_label(qtr)), 2)])
+                             (at_lbl & (F.col("Quarter") == prior_year_label(qtr, "CY")), 2)])
     return valued.select("label", "Quarter", "Value", flag.cast("int").alias("YoYflag"), "DataAsOf")
 
 
