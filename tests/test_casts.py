@@ -72,3 +72,20 @@ def test_period_labels(spark):
     assert got == ["FY24Q2-M2", "FY24Q3-M2", None]
     assert col_values(spark, [dt.date(2023, 9, 1), dt.date(2024, 8, 31)],
                       lambda c: periods.quarter_label(c, "FY", 9), "date") == ["FY24Q1", "FY24Q4"]
+
+
+@pytest.mark.parametrize("tz", ["UTC", "America/New_York"])
+def test_wall_formatting_is_zone_free(spark, tz):
+    spark.conf.set("spark.sql.session.timeZone", tz)
+    try:
+        df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 2, 30, 5),)], "t timestamp_ntz")
+        row = df.select(casts.format_wall(F.col("t"), "MM/dd/yyyy hh:mm:ss a").alias("a"),
+                        casts.format_wall(F.col("t"), "dd-MMMM-yyyy HH:mm").alias("b"),
+                        casts.format_wall(F.col("t"), "MMM d, yyyy h:mm:ss a").alias("c")).collect()[0]
+        assert (row.a, row.b, row.c) == ("03/10/2024 02:30:05 AM", "10-March-2024 02:30",
+                                         "Mar 10, 2024 2:30:05 AM")
+        # a wall time inside New York's spring-forward gap survives the T-10 round trip
+        assert col_values(spark, ["Mar 10, 2024 2:30:00 AM"], casts.reformat_us_timestamp) == [
+            "03/10/2024 02:30:00 AM"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

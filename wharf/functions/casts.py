@@ -11,6 +11,7 @@ their epoch microseconds.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
@@ -120,10 +121,45 @@ def _parse_wall(text: Column, fmt: str) -> Column:
     return instant_to_utc_ntz(inst)
 
 
+# English month names used by the text date formats.
+MONTH_NAMES = ("January", "February", "March", "April", "May", "June", "July", "August",
+               "September", "October", "November", "December")
+_TOKEN = re.compile(r"yyyy|MMMM|MMM|MM|M|dd|d|HH|H|hh|h|mm|ss|a|'[^']*'|.")
+
+
+def format_wall(ts, pattern: str) -> Column:
+    """Render a wall-clock value (TIMESTAMP_NTZ or DATE) without any time zone.
+
+    ``date_format`` converts TIMESTAMP_NTZ through the session zone, which
+    moves wall times that fall in a daylight-saving gap; this builds the text
+    from the value's own fields instead. Pattern letters: yyyy MMMM MMM MM M
+    dd d HH H hh h mm ss a, literals in quotes.
+    """
+    ts = _c(ts)
+    months = F.array(*[F.lit(m) for m in MONTH_NAMES])
+    hour = F.hour(ts)
+    h12 = F.when(hour % 12 == 0, F.lit(12)).otherwise(hour % 12)
+    pad = lambda c: F.lpad(c.cast("string"), 2, "0")
+    parts = {
+        "yyyy": F.lpad(F.year(ts).cast("string"), 4, "0"),
+        "MMMM": F.element_at(months, F.month(ts)),
+        "MMM": F.substring(F.element_at(months, F.month(ts)), 1, 3),
+        "MM": pad(F.month(ts)), "M": F.month(ts).cast("string"),
+        "dd": pad(F.dayofmonth(ts)), "d": F.dayofmonth(ts).cast("string"),
+        "HH": pad(hour), "H": hour.cast("string"), "hh": pad(h12), "h": h12.cast("string"),
+        "mm": pad(F.minute(ts)), "ss": pad(F.second(ts)),
+        "a": F.when(hour < 12, F.lit("AM")).otherwise(F.lit("PM")),
+    }
+    out = []
+    for tok in _TOKEN.findall(pattern):
+        out.append(parts[tok] if tok in parts else F.lit(tok.strip("'") if len(tok) > 1 else tok))
+    return F.when(ts.isNotNull(), F.concat(*out))
+
+
 def reformat_us_timestamp(s) -> Column:
     """T-10 'Nov 1, 2024 8:05:09 PM' -> '11/01/2024 08:05:09 PM' (NULL if bad)."""
     ts = _parse_wall(F.trim(_c(s)), "MMM d, yyyy h:mm:ss a")
-    return F.date_format(ts, "MM/dd/yyyy hh:mm:ss a")
+    return format_wall(ts, "MM/dd/yyyy hh:mm:ss a")
 
 
 def parse_day_month_name(s) -> Column:
@@ -149,7 +185,7 @@ def datekey_to_date(k) -> Column:
 
 def date_to_datekey(d) -> Column:
     """T-14 DATE -> INT64 yyyyMMdd."""
-    return F.date_format(_c(d), "yyyyMMdd").cast("bigint")
+    return format_wall(_c(d), "yyyyMMdd").cast("bigint")
 
 
 def typed_null(data_type: str) -> Column:

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wharf.functions.casts import datekey_to_date
+from wharf.functions.casts import datekey_to_date, format_wall
 from wharf.session import ensure_checkpoint_dir
 
 
@@ -40,7 +40,7 @@ class AnchorSpec:
 
 def _prefix_back(max_me: Column, months: int) -> Column:
     """SUBSTR(FORMAT_DATE('%Y%m%d', DATE_SUB(date(max_me), INTERVAL months MONTH)), 0, 6)."""
-    return F.date_format(F.add_months(datekey_to_date(max_me), -months), "yyyyMMdd").substr(1, 6)
+    return format_wall(F.add_months(datekey_to_date(max_me), -months), "yyyyMM")
 
 
 def _fy_prefix(fy2: Column, delta: int, mm: str) -> Column:

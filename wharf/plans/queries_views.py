@@ -79,8 +79,8 @@ def sp500_input(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     d = F.col("ts").cast("date")
     prices = e.groupBy(d.alias("date")).agg(F.sum(dec2(F.col("value"))).cast("decimal(18,2)").alias("SP500_Price"))
     dim = e.select(d.alias("d")).distinct().select(
-        F.date_format("d", "yyyyMMdd").cast("bigint").alias("datekey"),
-        F.date_format("d", "MM/dd/yyyy").alias("fulldate"))
+        casts.format_wall(F.col("d"), "yyyyMMdd").cast("bigint").alias("datekey"),
+        casts.format_wall(F.col("d"), "MM/dd/yyyy").alias("fulldate"))
     return prices, dim
 
 
@@ -145,12 +145,12 @@ FROM a CROSS JOIN d LEFT JOIN m ON a.Market = m.market_description
 def layoffs_input(spark: SparkSession, sf: str) -> DataFrame:
     g = _orders_geo(spark, sf)
     ts = F.timestamp_add("HOUR", F.col("o_orderkey") % 24, _rd_col())
-    text = F.concat(F.date_format(ts, "dd-MMMM-yyyy HH:mm"),
+    text = F.concat(casts.format_wall(ts, "dd-MMMM-yyyy HH:mm"),
                     F.when(F.hour(ts) < 12, F.lit("AM")).otherwise(F.lit("PM")))
     return g.select(F.concat(F.lit(" "), F.col("n_name"), F.lit(" ")).alias("Primary_Market"),
                     text.alias("Date"), F.year(_rd_col()).alias("year"),
                     (F.col("o_custkey") % 50).alias("count"),
-                    F.date_format(_rd_col(), "yyyy-MM-dd").alias("DataAsOf"))
+                    casts.format_wall(_rd_col(), "yyyy-MM-dd").alias("DataAsOf"))
 
 
 def d10_mom_flag(spark, sf):
@@ -227,7 +227,7 @@ def freshness_probes(spark: SparkSession, sf: str) -> dict:
         "orders_vw": (o, F.col("o_orderdate").cast("date"), "date"),
         "lineitem_vw": (li, F.col("l_shipdate").cast("date"), "date"),
         "events_vw": (e, F.col("ts").cast("date"), "date"),
-        "opportunity_vw": (o, F.date_format(F.last_day(rd), "yyyyMMdd").cast("bigint"), "datekey"),
+        "opportunity_vw": (o, casts.format_wall(F.last_day(rd), "yyyyMMdd").cast("bigint"), "datekey"),
         "conversations_vw": (conv, F.col("conv_id") * 1000 + F.col("turn"), "datekey"),
         "industry_fyq_vw": (o, quarter_label(rd, "FY", 9), "fyq"),
     }
@@ -397,7 +397,7 @@ FROM p
 def d21_logout_reformat(spark, sf):
     e = table(spark, sf, "events")
     text = F.when(F.col("event_type") == "error", F.lit("bad")) \
-            .otherwise(F.date_format("ts", "MMM d, yyyy h:mm:ss a"))
+            .otherwise(casts.format_wall(F.col("ts"), "MMM d, yyyy h:mm:ss a"))
     return e.select("event_id", text.alias("Logout_raw"),
                     casts.reformat_us_timestamp(text).alias("Logout"))
 

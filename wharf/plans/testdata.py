@@ -202,7 +202,7 @@ def opportunity_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     measures["ContractControllableIncomeGlobalAmt"] = (dec2(F.col("o_totalprice"))
                                                        * F.lit("0.25").cast("decimal(3,2)")).cast(casts.NUMERIC)
     return df.select(
-        F.date_format(F.when(wk, rd).otherwise(F.last_day(rd)), "yyyyMMdd").cast("bigint").alias("Datekey"),
+        casts.format_wall(F.when(wk, rd).otherwise(F.last_day(rd)), "yyyyMMdd").cast("bigint").alias("Datekey"),
         k.alias("OpportunityId"),
         F.when(wk, F.lit("WK")).otherwise(F.lit("ME")).alias("PeriodCd"),
         status.alias("StatusDesc"),
@@ -222,10 +222,10 @@ def opportunity_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(seg == "HOUSEHOLD", F.lit(None)).otherwise(F.substring(seg, 1, 2)).alias("ClientGroupCd"),
         seg.alias("MasterCustomerIndustryNm"),
         quarter_label(rd, "FY", 9).alias("ExpectedContractSignDtFiscalQuarter"),
-        F.when(k % 31 == 0, F.lit("")).otherwise(F.date_format(F.add_months(rd, 2), "MMMM yyyy"))
+        F.when(k % 31 == 0, F.lit("")).otherwise(casts.format_wall(F.add_months(rd, 2), "MMMM yyyy"))
          .alias("ExpectedContractSignDtMonth"),
         quarter_label(rd, "FY", 9).alias("QuarterClosed"),
-        F.date_format(rd, "MMMM yyyy").alias("MonthClosed"),
+        casts.format_wall(rd, "MMMM yyyy").alias("MonthClosed"),
         F.when(k % 17 == 0, F.lit(None)).otherwise(F.concat(F.lit("SG-"), F.col("o_orderpriority")))
          .alias("ServiceGroupDesc"),
         F.when(F.col("o_totalprice") > 300000, F.lit("Large")).otherwise(F.lit("Small"))
@@ -258,7 +258,7 @@ def opportunity_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("SUB-A").alias("sub"), F.lit("0.75").cast("decimal(10,6)").alias("pct")),
         F.struct(F.lit("SUB-B").alias("sub"), F.lit("0.25").cast("decimal(10,6)").alias("pct")))
     return (o.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
-             .select(F.date_format(F.when(wk, rd).otherwise(F.last_day(rd)), "yyyyMMdd")
+             .select(casts.format_wall(F.when(wk, rd).otherwise(F.last_day(rd)), "yyyyMMdd")
                       .cast("bigint").alias("Datekey"),
                      F.col("o_orderkey").alias("OpportunityId"),
                      F.concat(F.lit("SEG-"), F.col("o_orderstatus")).alias("IndustrySegment"),
