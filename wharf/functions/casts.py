@@ -136,6 +136,10 @@ def format_wall(ts, pattern: str) -> Column:
     dd d HH H hh h mm ss a, literals in quotes.
     """
     ts = _c(ts)
+    if pattern in ("yyyyMMdd", "yyyyMM"):  # numeric keys: plain arithmetic, no text fields
+        ym = F.year(ts) * 100 + F.month(ts)
+        key = ym * 100 + F.dayofmonth(ts) if pattern == "yyyyMMdd" else ym
+        return F.lpad(key.cast("string"), len(pattern), "0")
     months = F.array(*[F.lit(m) for m in MONTH_NAMES])
     hour = F.hour(ts)
     h12 = F.when(hour % 12 == 0, F.lit(12)).otherwise(hour % 12)
@@ -185,7 +189,8 @@ def datekey_to_date(k) -> Column:
 
 def date_to_datekey(d) -> Column:
     """T-14 DATE -> INT64 yyyyMMdd."""
-    return format_wall(_c(d), "yyyyMMdd").cast("bigint")
+    d = _c(d)
+    return (F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("bigint")
 
 
 def typed_null(data_type: str) -> Column:
