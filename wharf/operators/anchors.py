@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wharf.functions.casts import datekey_to_date, format_wall
-from wharf.session import ensure_checkpoint_dir
+from wharf.session import materialize as materialize_table
 
 
 @dataclass(frozen=True)
@@ -54,18 +54,15 @@ def per_datekey(facts: DataFrame, spec: AnchorSpec = AnchorSpec(),
 
     The result grows with the number of snapshot dates, not with the data. It
     is read by several scalar subqueries and a join, so by default it is
-    checkpointed once (to the session's ``spark.checkpoint.dir``) instead of
-    re-aggregating the facts for every reader.
+    written once as a small table under the session's ``spark.checkpoint.dir``
+    instead of re-aggregating the facts for every reader.
     """
     keys = facts.groupBy(spec.key).agg(
         F.max(spec.quarter_col).alias("max_quarter"),
         F.max((F.col(spec.period_col) == spec.month_end).cast("int")).alias("has_me"),
         *[c.alias(n) for n, c in (extra or {}).items()],
     )
-    if materialize:
-        ensure_checkpoint_dir(facts.sparkSession)
-        keys = keys.checkpoint(eager=True)
-    return keys
+    return materialize_table(keys, "per_datekey") if materialize else keys
 
 
 def anchor_dates(facts: DataFrame, spec: AnchorSpec = AnchorSpec(),

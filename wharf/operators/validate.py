@@ -21,6 +21,7 @@ INACTIVE_IND = "InactiveInd"
 INACTIVE_DATE = "InactiveDate"
 INACTIVE_REASON = "InactiveReason"
 REJECT_PREFIX = "Validation failure: "
+_ERRORS = "__wharf_errors"
 
 PARSERS = {
     "numeric": casts.safe_numeric,
@@ -94,7 +95,10 @@ def validate(stage: DataFrame, rules: Sequence[Rule], now: Column | None = None)
     'Validation failure: m1, m2'. Rows without a message keep their flags.
     """
     now = F.current_timestamp() if now is None else now
-    errors = F.array_join(F.array(*message_columns(rules)), ", ")  # skips NULLs
+    # Messages are computed once into a column; the three flags read that
+    # column, so the (wide) rule expression is not copied into each of them.
+    df = stage.withColumn(_ERRORS, F.array_join(F.array(*message_columns(rules)), ", "))
+    errors = F.col(_ERRORS)
     bad = F.length(errors) > 0
     cols = {}
     if INACTIVE_IND in stage.columns:
@@ -105,7 +109,7 @@ def validate(stage: DataFrame, rules: Sequence[Rule], now: Column | None = None)
                            if INACTIVE_DATE in stage.columns else F.when(bad, now))
     reason = F.col(INACTIVE_REASON) if INACTIVE_REASON in stage.columns else F.lit(None).cast("string")
     cols[INACTIVE_REASON] = F.when(bad, F.concat(F.lit(REJECT_PREFIX), errors)).otherwise(reason)
-    return stage.withColumns(cols)
+    return df.withColumns(cols).drop(_ERRORS)
 
 
 def summarize(stage: DataFrame, date_col: str | None, by: Sequence[str] = (),

@@ -71,3 +71,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    Cuts lineage like ``checkpoint()`` but as a columnar table written in one
+    pass (RDD checkpointing serializes rows and recomputes the plan). The
+    folder is ``spark.checkpoint.dir`` from the session (see
+    ``ensure_checkpoint_dir``), so every executor can read it.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/wharf-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
