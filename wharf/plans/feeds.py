@@ -19,6 +19,7 @@ from wharf.operators.asof import snapshot_asof
 from wharf.operators.dedup import latest_per_key
 from wharf.operators.upsert import Audit, upsert
 from wharf.operators.validate import AtMost, Parses, Required, Rule, summarize, validate
+from wharf.session import materialize
 from wharf.sources.layers import stage_to_snapshot
 
 COMMON = ("Cosa", "Company")
@@ -308,16 +309,21 @@ def feed_asof(snapshot: DataFrame, spec: FeedSpec, parent_id: int, start, end) -
 
 
 def run_feed(stage: DataFrame, target: DataFrame, spec: FeedSpec, audit: Audit | None = None,
-             history: DataFrame | None = None) -> dict[str, DataFrame]:
-    """M-14 one run of a feed, all lazy: the caller decides what to write.
+             history: DataFrame | None = None, materialize_stage: bool = True) -> dict[str, DataFrame]:
+    """M-14 one run of a feed: the caller decides what to write.
 
     Returns ``validated`` (stage with flags), ``summary`` (V-05), ``snapshot``
     (new snapshot rows), ``ods`` (new ODS). ``history`` is the existing
     snapshot; the ODS is merged from history + new rows, as the wildcard read
-    of the reference does.
+    of the reference does. The validated stage -- a table updated in place in
+    the reference -- is written once (``materialize_stage``) so the three
+    outputs read it instead of re-running the rules, and later plans start
+    from plain columns (keeps Catalyst's constraint inference small).
     """
     audit = audit or Audit()
     validated = validate_stage(stage, spec, audit.now)
+    if materialize_stage:
+        validated = materialize(validated, f"{spec.name}_stage")
     snap = snapshot_rows(validated, spec, audit)
     full = snap if history is None else history.unionByName(snap, allowMissingColumns=True)
     src = ods_source(full, spec, audit)
