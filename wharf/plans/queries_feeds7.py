@@ -1,50 +1,70 @@
-"""Registered whole-table query for a reference feed spec (M-14): the
-AgentInterval feed run end to end over a lineitem-derived stage, with a DuckDB
-oracle whose rule and typing text is generated from the same feed spec."""
+"""Registered whole-table queries for the seven reference feed specs (M-14).
+
+Each feed runs end to end -- stage, validation, snapshot, latest per key,
+typing, upsert into an empty ODS -- over a stage derived from all of
+``lineitem``. The DuckDB oracle text is generated from the same feed spec
+(rules, interval mode, dedup keys, column kinds), so every spec is checked
+against an independent engine.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wharf.functions.casts import format_wall
 from wharf.operators.upsert import upsert
 from wharf.operators.validate import AtMost, Parses, Required
 from wharf.plans import feeds
-from wharf.plans.feeds import AGENT_COUNTS, AGENT_TIMES, FEEDS
+from wharf.plans.feeds import FEEDS, FeedSpec
 from wharf.plans.testdata import dec2, fixed_audit, iso, table
 from wharf.session import materialize
 
-SPEC = FEEDS["AgentInterval"]
+_NAME_COLS = ("AgentFirstName", "AgentLastName", "FirstName", "LastName", "Login")
+
+
+def _numeric_cols(spec: FeedSpec) -> list[str]:
+    return [c for c, t in spec.types.items() if t in ("numeric", "percent")]
 
 
-def agent_interval_stage(lineitem: DataFrame) -> DataFrame:
-    """Lineitem as an AgentInterval stage: one row per line, measures from quantities."""
+def feed_stage(lineitem: DataFrame, spec: FeedSpec) -> DataFrame:
+    """Lineitem as a stage of ``spec``: one row per line, every business column a string."""
     k = F.col("l_orderkey")
     start_ts = F.timestamp_add("MINUTE", (k % 48) * 30, F.col("l_shipdate"))
     offset = F.when(F.col("l_returnflag") == "A", F.lit("-05:00")).otherwise(F.lit("Z"))
-    start = F.concat(F.substring(iso(start_ts, ""), 1, 19), offset)
-    end = F.concat(F.substring(iso(F.timestamp_add("MINUTE", F.lit(30), start_ts), ""), 1, 19), offset)
-    parent = F.when(F.col("l_linestatus") == "O", F.lit(3462)).otherwise(F.lit(3463))
     qty = dec2(F.col("l_quantity"))
+    numeric = _numeric_cols(spec)
     values: dict[str, Column] = {
         "Cosa": F.col("l_returnflag"), "Company": F.col("l_linestatus"),
         "Agent": F.col("l_suppkey").cast("string"),
         "RoutingProfile": F.concat(F.lit("RP"), F.col("l_linenumber").cast("string")),
-        "StartInterval": F.when(k % 89 == 0, F.lit("n/a")).otherwise(start),
-        "EndInterval": end,
-        "AgentFirstName": F.concat(F.lit("F"), F.col("l_partkey").cast("string")),
-        "AgentLastName": F.concat(F.lit("L"), F.col("l_suppkey").cast("string")),
+        "Queue": F.when(F.col("l_partkey") % 11 == 0, F.lit("  "))
+                  .otherwise(F.concat(F.lit(" Q"), (F.col("l_partkey") % 5).cast("string"), F.lit(" "))),
+        "StartInterval": F.when(k % 89 == 0, F.lit("n/a"))
+                          .otherwise(F.concat(F.substring(iso(start_ts, ""), 1, 19), offset)),
+        "EndInterval": F.concat(F.substring(iso(F.timestamp_add("MINUTE", F.lit(30), start_ts), ""), 1, 19),
+                                offset),
+        "Logout": F.when(k % 83 == 0, F.lit("bad"))
+                   .otherwise(format_wall(F.timestamp_add("HOUR", k % 24, F.col("l_shipdate")),
+                                          "MMM d, yyyy h:mm:ss a")),
     }
-    for i, name in enumerate(AGENT_TIMES):
-        values[name] = (qty * (i + 1)).cast("string")
-    values["OnlineTime"] = F.floor(F.col("l_extendedprice") / 50).cast("string")
-    values["Occupancy"] = F.when(k % 97 == 0, F.concat(qty.cast("string"), F.lit("%"))).otherwise(qty.cast("string"))
-    values["ContactsAgentHungUpFirst"] = (F.col("l_suppkey") % 10).cast("string")
-    values["ContactsHandled"] = F.concat(F.col("l_linenumber").cast("string"), F.lit(".5"))
-    values["ContactsTransferredOut"] = (F.col("l_partkey") % 7).cast("string")
+    for c in _NAME_COLS:
+        values[c] = F.concat(F.lit(c[0]), F.col("l_partkey").cast("string"))
+    for i, c in enumerate(numeric):
+        text = (qty * (i + 1)).cast("string")
+        if spec.types[c] == "percent":
+            text = F.when(k % 3 == 0, F.concat(text, F.lit("%"))).otherwise(text)
+        values[c] = text
+    if numeric:  # one planted parse error per feed
+        values[numeric[0]] = F.when(k % 97 == 0, F.lit("x")).otherwise(values[numeric[0]])
+    if "OnlineTime" in spec.columns:
+        values["OnlineTime"] = F.floor(F.col("l_extendedprice") / 50).cast("string")
+    for j, c in enumerate(c for c, t in spec.types.items() if t in ("int", "int_float")):
+        values[c] = F.concat(((F.col("l_suppkey") + j) % 10).cast("string"), F.lit(".5"))
+    parent = F.when(F.col("l_linestatus") == "O", F.lit(3462)).otherwise(F.lit(3463))
     return lineitem.select(
         parent.cast("bigint").alias("ParentSystemId"), (parent + 2).cast("bigint").alias("SystemId"),
-        *[values[c].alias(c) for c in SPEC.columns],
+        *[values[c].alias(c) for c in spec.columns],
         F.col("l_partkey").alias("FileLoadAuditId"),
         (k * 8 + F.col("l_linenumber")).alias("LineNum"),
         F.col("l_shipdate").alias("FileEffectiveDate"),
@@ -55,117 +75,131 @@ def agent_interval_stage(lineitem: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("InactiveReason"))
 
 
-def m14_agent_interval_feed(spark: SparkSession, sf: str) -> DataFrame:
+def run_feed_query(spark: SparkSession, sf: str, spec: FeedSpec) -> DataFrame:
     audit = fixed_audit()
-    # The stage is a loaded table in the reference; materialize the adapter's
-    # output (to spark.checkpoint.dir) so validation starts from plain columns.
-    stage = materialize(agent_interval_stage(table(spark, sf, "lineitem")), "agent_interval_stage")
-    validated = feeds.validate_stage(stage, SPEC, audit.now)
-    source = feeds.ods_source(feeds.snapshot_rows(validated, SPEC, audit), SPEC, audit)
-    target = source.limit(0).withColumns({**{c: F.lit(None).cast("string") for c in
-                                             ("CreateBy", "CreateProcess", "UpdateBy", "UpdateProcess",
-                                              "InactiveReason")},
-                                          **{c: F.lit(None).cast("timestamp_ntz") for c in
-                                             ("CreateDate", "UpdateDate", "InactiveDate")},
-                                          "InactiveInd": F.lit(None).cast("boolean")})
-    keys = ["ParentSystemId", "SystemId", *SPEC.merge_keys]
+    # The stage is a loaded table in the reference: materialize the adapter's output.
+    stage = materialize(feed_stage(table(spark, sf, "lineitem"), spec), f"{spec.name}_testdata_stage")
+    validated = materialize(feeds.validate_stage(stage, spec, audit.now), f"{spec.name}_validated")
+    source = feeds.ods_source(feeds.snapshot_rows(validated, spec, audit), spec, audit)
+    empty = {**{c: F.lit(None).cast("string") for c in
+                ("CreateBy", "CreateProcess", "UpdateBy", "UpdateProcess", "InactiveReason")},
+             **{c: F.lit(None).cast("timestamp_ntz") for c in ("CreateDate", "UpdateDate", "InactiveDate")},
+             "InactiveInd": F.lit(None).cast("boolean")}
+    target = source.limit(0).withColumns(empty)
+    keys = ["ParentSystemId", "SystemId", *spec.merge_keys]
     return upsert(target, source, keys, audit=audit).drop("InactiveDate")
 
 
-# --------------------------------------------------------------------------- oracle
+# --------------------------------------------------------------------------- oracle text
 
 def _q(v: str) -> str:
     return "'" + v.replace("'", "''") + "'"
 
 
-def _stage_sql() -> str:
+_PARSE = {
+    "numeric": "TRY_CAST({c} AS DECIMAL(38,9))",
+    "int": "TRY_CAST(ROUND(TRY_CAST({c} AS DECIMAL(38,9)), 0) AS BIGINT)",
+    "datetime": "TRY_CAST({c} AS TIMESTAMPTZ)",
+}
+_UTC = "make_timestamp(epoch_us(TRY_CAST({c} AS TIMESTAMPTZ)))"
+_WALL = "CASE WHEN length(substr({c}, 1, 19)) = 19 THEN TRY_CAST(substr({c}, 1, 19) AS TIMESTAMP) END"
+_NOW = "TIMESTAMP '2024-06-30 00:00:00'"
+
+
+def _stage_sql(spec: FeedSpec) -> str:
     qty = "CAST(l_quantity AS DECIMAL(18,2))"
     start_ts = "(l_shipdate + to_minutes(CAST((l_orderkey % 48) * 30 AS BIGINT)))"
     off = "CASE WHEN l_returnflag = 'A' THEN '-05:00' ELSE 'Z' END"
+    numeric = _numeric_cols(spec)
     cols = {
         "Cosa": "l_returnflag", "Company": "l_linestatus", "Agent": "CAST(l_suppkey AS VARCHAR)",
         "RoutingProfile": "'RP' || CAST(l_linenumber AS VARCHAR)",
+        "Queue": "CASE WHEN l_partkey % 11 = 0 THEN '  ' ELSE ' Q' || CAST(l_partkey % 5 AS VARCHAR) || ' ' END",
         "StartInterval": f"CASE WHEN l_orderkey % 89 = 0 THEN 'n/a' ELSE strftime({start_ts}, '%Y-%m-%dT%H:%M:%S') || {off} END",
         "EndInterval": f"strftime({start_ts} + INTERVAL 30 MINUTE, '%Y-%m-%dT%H:%M:%S') || {off}",
-        "AgentFirstName": "'F' || CAST(l_partkey AS VARCHAR)",
-        "AgentLastName": "'L' || CAST(l_suppkey AS VARCHAR)",
+        "Logout": "CASE WHEN l_orderkey % 83 = 0 THEN 'bad' ELSE strftime(l_shipdate + to_hours(CAST(l_orderkey % 24 AS BIGINT)), '%b %-d, %Y %-I:%M:%S %p') END",
     }
-    for i, name in enumerate(AGENT_TIMES):
-        cols[name] = f"CAST({qty} * {i + 1} AS VARCHAR)"
-    cols["OnlineTime"] = "CAST(CAST(floor(l_extendedprice / 50) AS BIGINT) AS VARCHAR)"
-    cols["Occupancy"] = f"CASE WHEN l_orderkey % 97 = 0 THEN CAST({qty} AS VARCHAR) || '%' ELSE CAST({qty} AS VARCHAR) END"
-    cols["ContactsAgentHungUpFirst"] = "CAST(l_suppkey % 10 AS VARCHAR)"
-    cols["ContactsHandled"] = "CAST(l_linenumber AS VARCHAR) || '.5'"
-    cols["ContactsTransferredOut"] = "CAST(l_partkey % 7 AS VARCHAR)"
-    body = ",\n         ".join(f"{cols[c]} AS {c}" for c in SPEC.columns)
+    for c in _NAME_COLS:
+        cols[c] = f"'{c[0]}' || CAST(l_partkey AS VARCHAR)"
+    for i, c in enumerate(numeric):
+        text = f"CAST({qty} * {i + 1} AS VARCHAR)"
+        if spec.types[c] == "percent":
+            text = f"CASE WHEN l_orderkey % 3 = 0 THEN {text} || '%' ELSE {text} END"
+        cols[c] = text
+    if numeric:
+        cols[numeric[0]] = f"CASE WHEN l_orderkey % 97 = 0 THEN 'x' ELSE {cols[numeric[0]]} END"
+    if "OnlineTime" in spec.columns:
+        cols["OnlineTime"] = "CAST(CAST(floor(l_extendedprice / 50) AS BIGINT) AS VARCHAR)"
+    for j, c in enumerate(c for c, t in spec.types.items() if t in ("int", "int_float")):
+        cols[c] = f"CAST((l_suppkey + {j}) % 10 AS VARCHAR) || '.5'"
+    body = ",\n         ".join(f"{cols[c]} AS {c}" for c in spec.columns)
     return f"""
   SELECT CAST(CASE WHEN l_linestatus = 'O' THEN 3462 ELSE 3463 END AS BIGINT) AS ParentSystemId,
          CAST(CASE WHEN l_linestatus = 'O' THEN 3464 ELSE 3465 END AS BIGINT) AS SystemId,
          {body},
          l_partkey AS FileLoadAuditId, l_orderkey * 8 + l_linenumber AS LineNum,
-         l_shipdate AS FileEffectiveDate, 'loader' AS LoadBy,
-         l_shipdate + to_days(CAST(l_partkey % 10 AS INTEGER)) AS LoadDate
+         'loader' AS LoadBy, l_shipdate + to_days(CAST(l_partkey % 10 AS INTEGER)) AS LoadDate
   FROM lineitem"""
 
 
-_SQL_PARSE = {
-    "numeric": "TRY_CAST({c} AS DECIMAL(38,9))",
-    "int": "TRY_CAST(ROUND(TRY_CAST({c} AS DECIMAL(38,9)), 0) AS BIGINT)",
-    "datetime": "TRY_CAST({c} AS TIMESTAMPTZ)",
-}
-
-
-def _errors_sql() -> str:
+def _errors_sql(spec: FeedSpec) -> str:
     chains: dict[str, list[str]] = {}
-    for r in SPEC.rules:
+    for r in spec.rules:
         if isinstance(r, Required):
             cond, msg = f"{r.column} IS NULL", f"{r.label or r.column} missing value"
         elif isinstance(r, Parses):
-            cond = f"{r.column} IS NOT NULL AND {_SQL_PARSE[r.kind].format(c=r.column)} IS NULL"
+            cond = f"{r.column} IS NOT NULL AND {_PARSE[r.kind].format(c=r.column)} IS NULL"
             msg = f"{r.label or r.column} parse error"
         elif isinstance(r, AtMost):
-            cond, msg = f"{_SQL_PARSE[r.kind].format(c=r.column)} > {r.limit}", r.message
+            cond, msg = f"{_PARSE[r.kind].format(c=r.column)} > {r.limit}", r.message
         chains.setdefault(r.column, []).append(f"WHEN {cond} THEN {_q(msg)}")
     return "concat_ws(', ', " + ", ".join(f"CASE {' '.join(w)} END" for w in chains.values()) + ")"
 
 
-def _typed(c: str) -> str:
-    kind = SPEC.types.get(c)
-    if kind == "numeric":
-        return f"CAST({c} AS DECIMAL(38,9))"
-    if kind == "int_float":
-        return f"CAST(ROUND(CAST({c} AS DOUBLE)) AS BIGINT)"
-    return c
-
-
-_UTC = "make_timestamp(epoch_us(TRY_CAST({c} AS TIMESTAMPTZ)))"
-_NOW = "TIMESTAMP '2024-06-30 00:00:00'"
-_ODS = []
-for _c in SPEC.columns:
-    _ODS.append(f"{_UTC.format(c=_c)} AS {_c}" if _c in SPEC.intervals else f"{_typed(_c)} AS {_c}")
-
-M14_SQL = f"""
-WITH stage AS ({_stage_sql()}),
-v AS (SELECT *, {_errors_sql()} AS errs FROM stage),
-snap AS (SELECT * FROM v WHERE length(errs) = 0),
-parsable AS (
-  SELECT * FROM snap
-  WHERE length(substr(StartInterval, 1, 19)) = 19 AND TRY_CAST(substr(StartInterval, 1, 19) AS TIMESTAMP) IS NOT NULL
-    AND length(substr(EndInterval, 1, 19)) = 19 AND TRY_CAST(substr(EndInterval, 1, 19) AS TIMESTAMP) IS NOT NULL),
+def _typed(spec: FeedSpec, c: str) -> str:
+    kind = spec.types.get(c)
+    if c in spec.intervals:
+        return (_UTC if spec.start_mode == "utc" else _WALL).format(c=c)
+    if c == "Queue" and spec.normalize_queue:
+        return "COALESCE(NULLIF(trim(Queue), ''), '')"
+    return {
+        "numeric": f"CAST({c} AS DECIMAL(38,9))",
+        "percent": f"CAST(replace({c}, '%', '') AS DECIMAL(38,9))",
+        "int": f"CAST(ROUND(CAST({c} AS DECIMAL(38,9)), 0) AS BIGINT)",
+        "int_float": f"CAST(ROUND(CAST({c} AS DOUBLE)) AS BIGINT)",
+        "logout": f"strftime(try_strptime({c}, '%b %d, %Y %I:%M:%S %p'), '%m/%d/%Y %I:%M:%S %p')",
+    }.get(kind, c)
+
+
+def feed_oracle_sql(spec: FeedSpec) -> str:
+    parsable = " AND ".join(_WALL.format(c=c) + " IS NOT NULL" for c in spec.intervals) if spec.safe_intervals else "TRUE"
+    dedup = [(_UTC.format(c=k) if spec.dedup_on_utc and k in spec.intervals else k) for k in spec.dedup_keys]
+    utc = [f"{_UTC.format(c=n)} AS Utc{n}" for n in spec.intervals] if spec.utc_columns else []
+    load = "LoadBy, LoadDate" if spec.load_stamp == "source" else f"'wharf' AS LoadBy, {_NOW} AS LoadDate"
+    select = ", ".join([*(f"{_typed(spec, c)} AS {c}" for c in spec.columns), *utc])
+    return f"""
+WITH stage AS ({_stage_sql(spec)}),
+v AS (SELECT *, {_errors_sql(spec)} AS errs FROM stage),
 latest AS (
-  SELECT * FROM parsable
+  SELECT * FROM v WHERE length(errs) = 0 AND {parsable}
   QUALIFY row_number() OVER (
-    PARTITION BY ParentSystemId, SystemId, Cosa, Company, Agent, RoutingProfile,
-                 {_UTC.format(c='StartInterval')}, {_UTC.format(c='EndInterval')}
+    PARTITION BY ParentSystemId, SystemId, {", ".join(dedup)}
     ORDER BY LoadDate DESC NULLS LAST, FileLoadAuditId DESC NULLS LAST, LineNum DESC NULLS LAST) = 1)
-SELECT ParentSystemId, SystemId, {", ".join(_ODS)},
-       {_UTC.format(c='StartInterval')} AS UtcStartInterval, {_UTC.format(c='EndInterval')} AS UtcEndInterval,
-       LoadBy, LoadDate, 'wharf.testdata' AS LoadProcess,
+SELECT ParentSystemId, SystemId, {select},
+       {load}, 'wharf.testdata' AS LoadProcess,
        'wharf' AS CreateBy, {_NOW} AS CreateDate, 'wharf.testdata' AS CreateProcess,
        'wharf' AS UpdateBy, {_NOW} AS UpdateDate, 'wharf.testdata' AS UpdateProcess,
        FALSE AS InactiveInd, '' AS InactiveReason
 FROM latest
 """
 
-QUERIES = {"M-14_agent_interval_feed": m14_agent_interval_feed}
-ORACLES = {"M-14_agent_interval_feed": M14_SQL}
+
+def _query(spec: FeedSpec):
+    def q(spark: SparkSession, sf: str) -> DataFrame:
+        return run_feed_query(spark, sf, spec)
+    q.__name__ = f"m14_{spec.name}"
+    return q
+
+
+QUERIES = {f"M-14_{name}_feed": _query(spec) for name, spec in FEEDS.items()}
+ORACLES = {f"M-14_{name}_feed": feed_oracle_sql(spec) for name, spec in FEEDS.items()}
