@@ -82,3 +82,39 @@ def test_route_by_folder(spark, tmp_dir):
     df = spark.read.option("header", True).option("recursiveFileLookup", True).csv(tmp_dir)
     got = sorted(r.feed for r in df.select(route_by_folder().alias("feed")).collect())
     assert got == ["AgentDaily", "LoginDaily"]
+
+
+def test_documented_batch_flow(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from wharf.operators.upsert import Audit
+    from wharf.plans.feeds import run_feed
+    from wharf.sources.layers import append_snapshot, rebuild_table
+
+    spec = FEEDS["LoginDaily"]
+    rows = [[f"c{i}", "co", f"a{i}", "f", "l", "rp", "x", '"Jun 1, 2024 5:00:00 PM"', str(i)] for i in range(3)]
+    write_csv(f"{tmp_dir}/landing/day1/Login Extracts 1.csv", spec.columns, rows)
+    ods, snap = f"{tmp_dir}/ods", f"{tmp_dir}/snapshot"
+    empty = spark.createDataFrame([], "ParentSystemId bigint, SystemId bigint, Cosa string, Company string, "
+                                      "Agent string, FirstName string, LastName string, RoutingProfile string, "
+                                      "Login string, Logout string, Duration decimal(38,9), LoadBy string, "
+                                      "LoadDate timestamp, LoadProcess string, CreateBy string, CreateDate timestamp, "
+                                      "CreateProcess string, UpdateBy string, UpdateDate timestamp, "
+                                      "UpdateProcess string, InactiveInd boolean, InactiveReason string, "
+                                      "InactiveDate timestamp")
+    rebuild_table(empty, ods)
+    for day in ("day1", "day2"):
+        if day == "day2":  # the month-to-date file arrives again with one changed row
+            rows[0][1] = "co2"
+            write_csv(f"{tmp_dir}/landing/day2/Login Extracts 2.csv", spec.columns, rows)
+        stage = read_stage(spark, f"{tmp_dir}/landing/{day}", spec.columns, parent_id=3462,
+                           system_id=3464, audit_id=1, mask="*Extracts*.csv")
+        history = spark.read.parquet(snap) if day == "day2" else None
+        out = run_feed(stage, spark.read.parquet(ods), spec, Audit(process="daily"), history=history)
+        append_snapshot(out["snapshot"], snap)
+        rebuild_table(out["ods"], ods)
+    result = spark.read.parquet(ods)
+    # co2 is a new business key (Company changed), so it is inserted beside the old row
+    assert result.count() == 4
+    assert result.where(F.col("Company") == "co2").count() == 1
+    assert spark.read.parquet(snap).count() == 6
