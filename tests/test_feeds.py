@@ -93,3 +93,26 @@ def test_snapshot_table_function(spark):
                           F.lit("2024-06-30").cast("timestamp_ntz")).collect()
     assert len(out) == 1 and out[0].FileLoadAuditId == 1 and str(out[0].AgentIdleTime) in ("7.000000000", "1.000000000")
     assert out[0].ContactsHandled == 1 and out[0].UtcStartInterval == dt.datetime(2024, 6, 1, 13, 0)
+
+
+def test_partitioned_ods_rewrites_only_touched_partitions(spark, tmp_dir):
+    spec = FEEDS["AgentDaily"]
+    june = stage(spark, spec, [(1, 1, {}), (2, 1, {"Agent": "b"})])
+    july = stage(spark, spec, [(3, 2, {"Agent": "c", "StartInterval": "2024-07-01T08:00:00-05:00",
+                                       "EndInterval": "2024-07-01T08:30:00-05:00"})])
+    first = feeds.ods_source(feeds.snapshot_rows(june.unionByName(july), spec, audit()), spec, audit())
+    initial = feeds.upsert(empty_target(spark, spec), first, ["ParentSystemId", "SystemId", *spec.merge_keys],
+                           audit=audit())
+    feeds.with_ods_partition(initial, spec).write.partitionBy(*feeds.ODS_PARTITIONS).parquet(f"{tmp_dir}/ods")
+    july_files = sorted(p.name for p in __import__("pathlib").Path(f"{tmp_dir}/ods").rglob("*.parquet")
+                        if "2024-07-01" in str(p))
+    # a new delivery for June only: agent 'a' updated, agent 'd' new
+    delivery = stage(spark, spec, [(4, 5, {"AgentIdleTime": "9"}), (5, 5, {"Agent": "d"})])
+    src = feeds.ods_source(feeds.snapshot_rows(delivery, spec, audit()), spec, audit())
+    moved = feeds.merge_ods_partitions(spark, f"{tmp_dir}/ods", src, spec, audit())
+    assert moved == ["ParentSystemId=3462/StartMonth=2024-06-01"]
+    out = spark.read.parquet(f"{tmp_dir}/ods")
+    assert sorted(r.Agent for r in out.collect()) == ["a", "b", "c", "d"]
+    assert [str(r.AgentIdleTime) for r in out.where("Agent = 'a'").collect()] == ["9.000000000"]
+    assert sorted(p.name for p in __import__("pathlib").Path(f"{tmp_dir}/ods").rglob("*.parquet")
+                  if "2024-07-01" in str(p)) == july_files

@@ -20,7 +20,7 @@ from wharf.operators.dedup import latest_per_key
 from wharf.operators.upsert import Audit, upsert
 from wharf.operators.validate import AtMost, Parses, Required, Rule, summarize, validate
 from wharf.session import materialize
-from wharf.sources.layers import stage_to_snapshot
+from wharf.sources.layers import replace_partitions, stage_to_snapshot
 
 COMMON = ("Cosa", "Company")
 
@@ -374,3 +374,33 @@ def register_feed_functions(spark, snapshots: dict[str, DataFrame],
         for parent, _ in systems:
             names.append(register_asof_function(spark, f"ft_{feed}FileSnapshot_{parent}", snap, spec, parent))
     return names
+
+
+# Partition columns of a partitioned ODS: the system and the month of StartInterval.
+ODS_PARTITIONS = ("ParentSystemId", "StartMonth")
+BROADCAST_PARTITION_LIMIT = 10_000
+
+
+def with_ods_partition(df: DataFrame, spec: FeedSpec) -> DataFrame:
+    """Add ``StartMonth`` (first day of the StartInterval month; the system only without intervals)."""
+    month = F.trunc(F.col(spec.intervals[0]), "month") if spec.intervals else F.lit(None).cast("date")
+    return df.withColumn("StartMonth", month)
+
+
+def merge_ods_partitions(spark, ods_path: str, source: DataFrame, spec: FeedSpec,
+                         audit: Audit | None = None, **kw) -> list[str]:
+    """U-01 on a partitioned ODS, rewriting only the partitions the source touches.
+
+    A month-to-date delivery touches one or two (system, month) partitions, so
+    a run reads and rewrites those instead of the whole ODS. The list of
+    touched partitions is counted first: within ``BROADCAST_PARTITION_LIMIT``
+    rows it is broadcast to a left-semi join (which also drives dynamic
+    partition pruning of the ODS scan); beyond it a plain join is used.
+    """
+    src = with_ods_partition(source, spec)
+    touched = src.select(*ODS_PARTITIONS).distinct()
+    small = touched.count() <= BROADCAST_PARTITION_LIMIT
+    right = F.broadcast(touched) if small else touched
+    target = spark.read.parquet(ods_path).join(right, list(ODS_PARTITIONS), "left_semi")
+    merged = merge_ods(target, src, spec, audit, **kw)
+    return replace_partitions(materialize(merged, f"{spec.name}_merged"), ods_path, list(ODS_PARTITIONS))

@@ -113,3 +113,40 @@ def run_audit(summary: DataFrame, run_id: int, job: str, scheduled_at: Column |
         F.when(F.col("rejected") > 0, F.concat(F.col("rejected").cast("string"), F.lit(" rows rejected")))
          .otherwise(F.lit("")).alias("InactiveReason"),
     )
+
+
+def replace_partitions(df: DataFrame, path: str, partition_cols: Sequence[str]) -> list[str]:
+    """Write ``df`` partitioned to a fresh folder, then move each written
+    partition folder into ``path``, replacing the folder it supersedes.
+
+    Partitions absent from ``df`` are untouched. Each move is a rename (metadata
+    only); the set of moves is not atomic as a whole. Returns the partition
+    folders replaced (relative paths).
+    """
+    spark = df.sparkSession
+    fresh = f"{path.rstrip('/')}.__parts_{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").partitionBy(*partition_cols).parquet(fresh)
+    fs, root = _fs(spark, fresh)
+    _, target_root = _fs(spark, path)
+    jvm = spark.sparkContext._jvm
+
+    def leaves(p, rel, depth):
+        if depth == len(partition_cols):
+            return [(p, rel)]
+        out = []
+        for st in fs.listStatus(p):
+            name = st.getPath().getName()
+            if st.isDirectory() and "=" in name:
+                out += leaves(st.getPath(), f"{rel}/{name}" if rel else name, depth + 1)
+        return out
+
+    moved = []
+    for leaf, rel in leaves(root, "", 0):
+        dest = jvm.org.apache.hadoop.fs.Path(target_root, rel)
+        if fs.exists(dest):
+            fs.delete(dest, True)
+        fs.mkdirs(dest.getParent())
+        fs.rename(leaf, dest)
+        moved.append(rel)
+    fs.delete(root, True)
+    return moved
