@@ -103,7 +103,7 @@ def test_partitioned_ods_rewrites_only_touched_partitions(spark, tmp_dir):
     first = feeds.ods_source(feeds.snapshot_rows(june.unionByName(july), spec, audit()), spec, audit())
     initial = feeds.upsert(empty_target(spark, spec), first, ["ParentSystemId", "SystemId", *spec.merge_keys],
                            audit=audit())
-    feeds.with_ods_partition(initial, spec).write.partitionBy(*feeds.ODS_PARTITIONS).parquet(f"{tmp_dir}/ods")
+    feeds.with_ods_partition(initial, spec).write.partitionBy(*feeds.ods_partitions(spec)).parquet(f"{tmp_dir}/ods")
     july_files = sorted(p.name for p in __import__("pathlib").Path(f"{tmp_dir}/ods").rglob("*.parquet")
                         if "2024-07-01" in str(p))
     # a new delivery for June only: agent 'a' updated, agent 'd' new

@@ -381,10 +381,16 @@ ODS_PARTITIONS = ("ParentSystemId", "StartMonth")
 BROADCAST_PARTITION_LIMIT = 10_000
 
 
+def ods_partitions(spec: FeedSpec) -> tuple[str, ...]:
+    """(ParentSystemId, StartMonth); feeds without intervals: the system only."""
+    return ODS_PARTITIONS if spec.intervals else ODS_PARTITIONS[:1]
+
+
 def with_ods_partition(df: DataFrame, spec: FeedSpec) -> DataFrame:
-    """Add ``StartMonth`` (first day of the StartInterval month; the system only without intervals)."""
-    month = F.trunc(F.col(spec.intervals[0]), "month") if spec.intervals else F.lit(None).cast("date")
-    return df.withColumn("StartMonth", month)
+    """Add ``StartMonth``: the first day of the StartInterval month."""
+    if not spec.intervals:
+        return df
+    return df.withColumn("StartMonth", F.trunc(F.col(spec.intervals[0]), "month"))
 
 
 def merge_ods_partitions(spark, ods_path: str, source: DataFrame, spec: FeedSpec,
@@ -397,10 +403,11 @@ def merge_ods_partitions(spark, ods_path: str, source: DataFrame, spec: FeedSpec
     rows it is broadcast to a left-semi join (which also drives dynamic
     partition pruning of the ODS scan); beyond it a plain join is used.
     """
+    parts = list(ods_partitions(spec))
     src = with_ods_partition(source, spec)
-    touched = src.select(*ODS_PARTITIONS).distinct()
+    touched = src.select(*parts).distinct()
     small = touched.count() <= BROADCAST_PARTITION_LIMIT
     right = F.broadcast(touched) if small else touched
-    target = spark.read.parquet(ods_path).join(right, list(ODS_PARTITIONS), "left_semi")
+    target = spark.read.parquet(ods_path).join(right, parts, "left_semi")
     merged = merge_ods(target, src, spec, audit, **kw)
-    return replace_partitions(materialize(merged, f"{spec.name}_merged"), ods_path, list(ODS_PARTITIONS))
+    return replace_partitions(materialize(merged, f"{spec.name}_merged"), ods_path, parts)

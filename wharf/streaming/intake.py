@@ -5,12 +5,12 @@ load win. Here a file stream over the landing folder runs the feed pipeline
 per micro-batch (``foreachBatch``):
 
   stage (CSV strings + lineage) -> validate -> snapshot rows appended under
-  ``batch=<epoch>`` -> latest per key -> upsert into the ODS, written to a
-  fresh path and swapped in.
+  ``batch=<epoch>`` -> latest per key -> upsert into the ODS, rewriting only
+  the (system, month) partitions the batch touches.
 
 Only the batch's own snapshot rows feed the upsert: they carry the newest
 LoadDate, so for every key they touch the latest row is among them, and the
-cost per micro-batch is the batch plus one rewrite of the ODS.
+cost per micro-batch is the batch plus the ODS partitions it touches.
 
 Exactly-once: each epoch overwrites only its own ``batch=<epoch>`` snapshot
 folder, so a replayed epoch (after a failure) rewrites the same rows instead
@@ -21,6 +21,7 @@ its rows are newer loads of the same keys, so the upsert updates in place.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -28,7 +29,6 @@ from pyspark.sql.streaming import StreamingQuery
 from wharf.functions.casts import instant_to_utc_ntz
 from wharf.operators.upsert import Audit
 from wharf.plans import feeds
-from wharf.sources.layers import rebuild_table
 from wharf.sources.stage import _BLOCK, _FILE, _MID, string_schema, with_line_numbers
 
 
@@ -63,15 +63,20 @@ def process_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, spec: fe
     written = spark.read.schema(snap.schema).parquet(f"{snapshot_path.rstrip('/')}/batch={epoch_id}")
     source = feeds.ods_source(written, spec, audit)
     try:
-        target = spark.read.parquet(ods_path)
-    except Exception:  # noqa: BLE001 - first run: no ODS yet
-        target = source.limit(0).withColumns(
+        spark.read.parquet(ods_path)
+    except AnalysisException:  # first run: the ODS is the merge of the batch into nothing
+        empty = source.limit(0).withColumns(
             {c: F.lit(None).cast(t) for c, t in (("CreateBy", "string"), ("CreateDate", "timestamp"),
                                                  ("CreateProcess", "string"), ("UpdateBy", "string"),
                                                  ("UpdateDate", "timestamp"), ("UpdateProcess", "string"),
                                                  ("InactiveInd", "boolean"), ("InactiveReason", "string"),
                                                  ("InactiveDate", "timestamp"))})
-    rebuild_table(feeds.merge_ods(target, source, spec, audit), ods_path)
+        first = feeds.with_ods_partition(feeds.merge_ods(empty, source, spec, audit), spec)
+        # A partitioned write of no rows leaves no files; the ODS starts with the first rows.
+        first.write.mode("overwrite").partitionBy(*feeds.ods_partitions(spec)).parquet(ods_path)
+        return
+    # Later runs rewrite only the (system, month) partitions this batch touches.
+    feeds.merge_ods_partitions(spark, ods_path, source, spec, audit)
 
 
 def incremental_intake(spark: SparkSession, landing: str, spec: feeds.FeedSpec, *,
