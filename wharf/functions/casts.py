@@ -95,7 +95,10 @@ def _session_is_utc() -> bool:
     """Plan-time check: zone-less strings already read as UTC in a UTC session."""
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
-    tz = spark.conf.get("spark.sql.session.timeZone", "") if spark is not None else ""
+    if spark is None:
+        return False
+    # No default argument: Spark validates a supplied default against the zone checker.
+    tz = spark.conf.get("spark.sql.session.timeZone") or ""
     return tz.upper() in ("UTC", "GMT", "Z", "+00:00", "ETC/UTC", "ETC/GMT")
 
 
