@@ -89,3 +89,12 @@ def test_wall_formatting_is_zone_free(spark, tz):
             "03/10/2024 02:30:00 AM"]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_session_without_explicit_time_zone(spark):
+    spark.conf.unset("spark.sql.session.timeZone")
+    try:
+        got = col_values(spark, ["2024-11-01T08:30:00.000-05:00"], casts.utc_datetime)
+        assert got == [dt.datetime(2024, 11, 1, 13, 30)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
