@@ -236,10 +236,10 @@ SELECT MasterCustomerNm, MasterCustomerNbr, HistoricalMasterClientClassDesc,
   CASE {" ".join(f"WHEN upper(ClientGroupNm) LIKE '{p}' THEN '{label}'" for p, label in INDUSTRY_GROUPS)}
        ELSE 'blank' END AS IndustryGroup,
   {_blank("MasterCustomerIndustryNm")} AS IndustrySegment,
-  CAST(NULL AS TIMESTAMP) AS ExpectedContractSignDt,
+  CAST(NULL AS TIMESTAMPTZ) AS ExpectedContractSignDt,
   ExpectedContractSignDtFiscalQuarter, QuarterClosed, MonthClosed, StatusDesc, StageDesc,
-  CAST(NULL AS TIMESTAMP) AS PipelineEntryDt, CAST(NULL AS TIMESTAMP) AS StatusSinceDt,
-  CAST(NULL AS TIMESTAMP) AS ConsultingStartDt, CAST(NULL AS TIMESTAMP) AS ConsultingEndDt,
+  CAST(NULL AS TIMESTAMPTZ) AS PipelineEntryDt, CAST(NULL AS TIMESTAMPTZ) AS StatusSinceDt,
+  CAST(NULL AS TIMESTAMPTZ) AS ConsultingStartDt, CAST(NULL AS TIMESTAMPTZ) AS ConsultingEndDt,
   TCR, {_blank("ServiceGroupDesc")} AS ServiceGroup,
   CCI, WorkHours, WtdPipeline, ServicesRevenueGlobalExcludingBEAmt, DealSizeStandardDesc,
   TCRGlobalExcludingBEAmt, WeightedTargetMarginNumGlobalExcludingBEAmt,

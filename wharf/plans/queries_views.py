@@ -492,7 +492,7 @@ def d24b_max_year_flag(spark, sf):
 
 D24B_SQL = f"""
 WITH a AS (
-  SELECT year({_rd()}) AS CY, o_orderpriority AS Label,
+  SELECT CAST(year({_rd()}) AS INTEGER) AS CY, o_orderpriority AS Label,
          CAST(COALESCE(sum(CASE WHEN month({_rd()}) <= 6 THEN CAST(o_totalprice AS DECIMAL(18,2)) END), 0) AS DECIMAL(18,2)) AS Prior_Forecast,
          CAST(COALESCE(sum(CASE WHEN month({_rd()}) > 6 THEN CAST(o_totalprice AS DECIMAL(18,2)) END), 0) AS DECIMAL(18,2)) AS Current_Forecast,
          {_ASOF_SQL}
@@ -540,7 +540,7 @@ def d26_plan_projection(spark, sf):
 
 
 D26_SQL = f"""
-SELECT r_name AS Market, n_name AS MU, year({_rd()}) AS Year,
+SELECT r_name AS Market, n_name AS MU, CAST(year({_rd()}) AS INTEGER) AS Year,
        count(*) FILTER (WHERE o_orderstatus = 'F') AS New_Bookings,
        CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS Revenue,
        CAST(sum(CASE WHEN o_orderstatus = 'O' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DECIMAL(18,2)) AS CCI,
