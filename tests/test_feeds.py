@@ -116,3 +116,16 @@ def test_partitioned_ods_rewrites_only_touched_partitions(spark, tmp_dir):
     assert [str(r.AgentIdleTime) for r in out.where("Agent = 'a'").collect()] == ["9.000000000"]
     assert sorted(p.name for p in __import__("pathlib").Path(f"{tmp_dir}/ods").rglob("*.parquet")
                   if "2024-07-01" in str(p)) == july_files
+
+
+def test_sql_table_functions_for_all_feeds(spark):
+    snaps = {}
+    for name, spec in FEEDS.items():
+        snaps[name] = feeds.snapshot_rows(stage(spark, spec, [(1, 1, {}), (2, 2, {"Agent": "b"})]), spec, audit())
+    names = feeds.register_feed_functions(spark, snaps)
+    assert len(names) == 12 and "ft_AgentDailyFileSnapshot_3462" in names
+    rows = spark.sql("SELECT * FROM ft_AgentDailyFileSnapshot_3462("
+                     "TIMESTAMP_NTZ'2024-06-01 00:00:00', TIMESTAMP_NTZ'2024-06-30 00:00:00')").collect()
+    assert sorted(r.Agent for r in rows) == ["a", "b"]
+    assert spark.sql("SELECT count(*) AS n FROM ft_AgentDailyFileSnapshot_3463("
+                     "TIMESTAMP_NTZ'2024-06-01 00:00:00', TIMESTAMP_NTZ'2024-06-30 00:00:00')").collect()[0].n == 0
