@@ -49,7 +49,7 @@ def build_session(master: str | None = None, app: str = "wharf",
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("WHARF_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("WHARF_DRIVER_MEMORY", "4g"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
