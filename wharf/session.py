@@ -79,7 +79,9 @@ def materialize(df, name: str = "table"):
     Cuts lineage like ``checkpoint()`` but as a columnar table written in one
     pass (RDD checkpointing serializes rows and recomputes the plan). The
     folder is ``spark.checkpoint.dir`` from the session (see
-    ``ensure_checkpoint_dir``), so every executor can read it.
+    ``ensure_checkpoint_dir``), so every executor can read it. The table is
+    scratch for this session: it is deleted when the session's file system
+    closes (driver exit), so repeated runs do not pile up.
     """
     import uuid
 
@@ -87,4 +89,7 @@ def materialize(df, name: str = "table"):
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/wharf-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.parquet(path)
