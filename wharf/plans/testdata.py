@@ -159,7 +159,7 @@ def lineitem_snapshot(lineitem: DataFrame) -> DataFrame:
         dec2(F.col("l_quantity")).cast("string").alias("Quantity"),
         dec2(F.col("l_extendedprice")).cast("string").alias("ExtendedPrice"),
         F.concat(F.col("l_suppkey").cast("string"), F.lit(".5")).alias("SuppCount"),
-        casts.wall_datetime(start).alias("SnapshotRowDateTime"),
+        s.alias("SnapshotRowDateTime"),  # the wall time of StartInterval, stored typed
         F.col("l_suppkey").alias("FileLoadAuditId"),
         F.col("l_partkey").alias("LineNum"),
         F.timestamp_add("MINUTE", F.col("l_partkey") % 97, s).alias("FileEffectiveDate"),
