@@ -7,9 +7,10 @@ only active target rows can match. Matched rows take the source's values
 unmatched source rows are inserted as active; nothing is deleted.
 
 Plain parquet has no MERGE, so the result is a new DataFrame to be written to
-a fresh path and swapped in. Plan: active target rows FULL OUTER JOIN source on
-the key (one shuffle per side, sort-merge), inactive target rows bypass the
-join untouched. With NULL in a key column ``=`` never matches, so such source
+a fresh path and swapped in. Plan: active target rows LEFT JOIN source (AQE
+broadcasts a small delta at runtime, so the target is not shuffled), plus
+source LEFT ANTI the target's key columns for the inserts; inactive target
+rows bypass both joins untouched. With NULL in a key column ``=`` never matches, so such source
 rows insert again on every run (U-03); they also bypass the join (target rows
 unchanged, source rows inserted), so a NULL-heavy key cannot skew one join
 task. ``null_safe=True`` uses ``<=>`` instead. The source is expected unique
@@ -32,7 +33,7 @@ UPDATE_COLS = ("UpdateBy", "UpdateDate", "UpdateProcess")
 INACTIVE_COLS = ("InactiveInd", "InactiveReason", "InactiveDate")
 LOAD_COLS = ("LoadBy", "LoadDate", "LoadProcess")
 
-_T, _S = "__wharf_t", "__wharf_s"
+_S = "__wharf_s"
 
 
 @dataclass
@@ -103,25 +104,30 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
         inserts = src.where(null_key).select(*as_insert(src))
         src = src.where(~null_key)
 
-    t = matchable.withColumn(_T, F.lit(True)).alias("t")
+    def key_match(left: str, right: str) -> Column:
+        cond = None
+        for k in keys:
+            l, r = F.col(f"{left}.{k}"), F.col(f"{right}.{k}")
+            c = l.eqNullSafe(r) if null_safe else l == r
+            cond = c if cond is None else cond & c
+        return cond
+
+    # Matched and untouched target rows: target LEFT JOIN source. A small
+    # delta is broadcast by AQE at runtime, so the big target is not shuffled.
+    t = matchable.alias("t")
     s = src.withColumn(_S, F.lit(True)).alias("s")
-    cond = None
-    for k in keys:
-        c = F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) if null_safe else F.col(f"t.{k}") == F.col(f"s.{k}")
-        cond = c if cond is None else cond & c
-    joined = t.join(s, cond, "full_outer")
-
-    in_t, in_s = F.col(f"t.{_T}").isNotNull(), F.col(f"s.{_S}").isNotNull()
+    in_s = F.col(f"s.{_S}").isNotNull()
     proj = []
     for c in out_cols:
         tv = F.col(f"t.{c}")
-        sv = F.col(f"s.{c}") if c in src_cols else F.lit(None)
-        matched_value = sv if (c in update_cols and c in src_cols) else tv
-        proj.append(F.when(in_t & in_s, matched_value)
-                    .when(in_t, tv)
-                    .otherwise(sv.cast(out_types[c]))
-                    .alias(c))
-    out = joined.select(*proj).unionByName(bypass)
+        use_source = c in update_cols and c in src_cols
+        proj.append((F.when(in_s, F.col(f"s.{c}")).otherwise(tv) if use_source else tv)
+                    .cast(out_types[c]).alias(c))
+    kept = t.join(s, key_match("t", "s"), "left").select(*proj)
+    # New rows: source LEFT ANTI the target's keys (only key columns move).
+    tk = matchable.select(*keys).alias("tk")
+    new = src.alias("s").join(tk, key_match("s", "tk"), "left_anti").select(*as_insert(src))
+    out = kept.unionByName(new).unionByName(bypass)
     return out if inserts is None else out.unionByName(inserts)
 
 
