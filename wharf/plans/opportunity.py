@@ -66,7 +66,7 @@ GROUP_KEYS = (
 
 
 def datekey_summary(snapshot: DataFrame, anchors: AnchorSpec = AnchorSpec()) -> DataFrame:
-    """One checkpointed row per snapshot date feeding the X-01 slot and X-02 anchors."""
+    """One materialized row per snapshot date feeding the X-01 slot and X-02 anchors."""
     extra = {"has_pipeline_me": F.max((F.col("StatusDesc").isin("Pipeline")
                                        & (F.col(anchors.period_col) == anchors.month_end)).cast("int")),
              "max_reporting_date": F.max("ReportingDate")}
