@@ -83,3 +83,22 @@ def test_upsert_idempotent(spark):
     a = [r for r in once.select(cols).collect() if r.Agent is not None]
     b = [r for r in twice.select(cols).collect() if r.Agent is not None]
     assert key(a) == key(b)
+
+
+def test_hot_key_and_null_heavy_key(spark):
+    """A third of the rows on one key (and a third with a NULL key) stay whole and correct."""
+    n = 3000
+    rows = [("hot" if i % 3 == 0 else (None if i % 3 == 1 else f"k{i}"), "c1", float(i)) for i in range(n)]
+    src = spark.createDataFrame(rows, "Agent string, Company string, v double")
+    latest = latest_per_key(src, ["Agent", "Company"], [F.col("v").desc()])
+    got = {r.Agent: r.v for r in latest.where("Agent = 'hot'").collect()}
+    assert got == {"hot": float(n - 3)}
+    assert latest.count() == 1 + 1 + n // 3          # hot, the NULL group, the distinct keys
+    deduped = latest
+    out = upsert(_target(spark), deduped, ["Agent", "Company"], audit=audit())
+    # NULL-key rows never match: the target's NULL row stays, the source's NULL row is inserted
+    assert out.where("Agent IS NULL").count() == 2
+    assert out.where("Agent = 'hot'").count() == 1
+    # every target row stays (k1 untouched, k2 inactive, NULL) and all 2 + n//3 source rows insert:
+    # none of them matches an active target key ('k2' only exists inactive in the target)
+    assert out.count() == 3 + (2 + n // 3)
