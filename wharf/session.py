@@ -7,7 +7,7 @@ exist for tests, the bench and command-line use.
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -53,24 +53,24 @@ def build_session(master: str | None = None, app: str = "wharf",
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, for scratch tables.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when it is unset (local tests) is a scratch folder chosen.
+    ``spark.checkpoint.dir`` of the session if set, else the context's
+    checkpoint folder, else a folder inside the warehouse (which is shared by
+    definition). Never a machine-local temporary folder, and no setting of the
+    caller is changed.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        current = tempfile.mkdtemp(prefix="wharf-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+        if not warehouse:
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by driver and executors")
+        root = f"{warehouse.rstrip('/')}/_scratch"
+    return root.rstrip("/")
 
 
 def materialize(df, name: str = "table"):
@@ -78,16 +78,13 @@ def materialize(df, name: str = "table"):
 
     Cuts lineage like ``checkpoint()`` but as a columnar table written in one
     pass (RDD checkpointing serializes rows and recomputes the plan). The
-    folder is ``spark.checkpoint.dir`` from the session (see
-    ``ensure_checkpoint_dir``), so every executor can read it. The table is
+    folder is the session's shared one (``shared_folder``), so every executor
+    can read it. The table is
     scratch for this session: it is deleted when the session's file system
     closes (driver exit), so repeated runs do not pile up.
     """
-    import uuid
-
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/wharf-tables/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/wharf-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
