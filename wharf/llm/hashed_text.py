@@ -10,22 +10,22 @@ from pyspark.sql import functions as F
 from wharf.llm.common import text_of
 from wharf.session import materialize
 
-#: Texts are hashed in pieces of this many bytes, so a long one needs no more memory.
+#: Texts are hashed in pieces of this many characters, so a long one needs no more memory.
 PIECE = 1 << 18
 
 
 class Hasher:
-    """Ids below 2**bits of the n-grams (of the given lengths) of a text's UTF-8 bytes."""
+    """Ids below 2**bits of the n-grams (of the given lengths) of a text's characters."""
 
     def __init__(self, orders: tuple[int, ...], bits: int):
         self.orders, self.bits = orders, bits
         self._seen = np.zeros(1 << bits, dtype=bool)
 
     def _pieces(self, text: str | None):
-        data = np.frombuffer(f" {text or ''} ".lower().encode("utf-8", "replace"), np.uint8)
+        data = np.frombuffer(f" {text or ''} ".lower().encode("utf-32-le", "replace"), np.uint32)
         longest = max(self.orders)
         for at in range(0, len(data), PIECE):
-            b = data[at:at + PIECE + longest - 1].astype(np.uint32)
+            b = data[at:at + PIECE + longest - 1]
             starts = min(PIECE, len(data) - at)
             h = b
             for n in range(2, longest + 1):
@@ -36,8 +36,11 @@ class Hasher:
                     mixed = (h[:starts] ^ (h[:starts] >> np.uint32(15))) * np.uint32(0x9E3779B1 + 2 * n)
                     yield mixed >> np.uint32(32 - self.bits)
 
-    def present(self, text: str | None) -> np.ndarray:
-        """Sorted ids that occur."""
+    def present(self, text: str | None, among: np.ndarray | None = None) -> np.ndarray:
+        """Sorted ids that occur; with ``among``, a flag per id, only those."""
+        if among is not None:
+            found = [ids[among[ids]] for ids in self._pieces(text)]
+            return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint32)
         for ids in self._pieces(text):
             self._seen[ids] = True
         out = np.flatnonzero(self._seen)

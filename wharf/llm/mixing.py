@@ -7,7 +7,7 @@ the other until one of the two is at 0 or 1, by a draw that leaves both
 expectations as they were. A source's expected words thus never change, and one
 fractional document is left. Documents are dealt to groups of ``GROUP`` by a hash,
 so a hot source is many groups; what each leaves over is combined by a tree of the
-same step, and the last one of a source is rounded to the nearer side.
+same step. The last one of a source is rounded, and settled rows of its group make up for the words that this gives or takes.
 
 Draws follow from a hash of the documents, so reruns agree. Defined results: null
 text has size 0; documents of size 0 take 0 words; null is a source of its own and
@@ -99,6 +99,23 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(p=p, extra=extra)[["_row", "_key", "size", "p", "source_no", "bucket", "extra"]]
 
 
+def _settle_last(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The last group of a source: its open row is rounded to the nearer side, and the
+    words that this gives or takes go back through settled rows, the largest that fits
+    first, so that the source ends within a small document of its target."""
+    out = _settle(pdf)
+    extra, size = out["extra"].to_numpy().copy(), out["size"].to_numpy()
+    for k in np.flatnonzero(extra < 0):
+        p = float(out["p"].iloc[k])
+        extra[k] = int(np.rint(p))
+        missing = size[k] * (p - extra[k])
+        for j in np.argsort(-size, kind="stable"):
+            if j != k and extra[j] == (0 if missing > 0 else 1) and size[j] <= abs(missing):
+                extra[j] = 1 - extra[j]
+                missing += -size[j] if missing > 0 else size[j]
+    return out.assign(extra=extra)
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIMIT, seed: int = 7,
         extra_columns: tuple = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every document."""
@@ -117,12 +134,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIM
         "_row", key.alias("_key"), "size", "p", "source_no", F.pmod(F.xxhash64("doc_id", F.lit(seed)), groups).alias("bucket"))
     decided, width = None, -(-most // GROUP)
     while True:
-        level = materialize(fractions.groupBy("source_no", "bucket").applyInPandas(_settle, _LEFT), "mix-level")
-        if width <= 1:
-            done = level.select("_row", F.when(F.col("extra") < 0, F.rint("p").cast("int"))
-                                .otherwise(F.col("extra")).alias("extra"))
-        else:
-            done = level.where("extra >= 0").select("_row", "extra")
+        step = _settle if width > 1 else _settle_last
+        level = materialize(fractions.groupBy("source_no", "bucket").applyInPandas(step, _LEFT), "mix-level")
+        done = level.where("extra >= 0").select("_row", "extra")
         decided = done if decided is None else decided.unionByName(done)
         if width <= 1:
             break

@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier on character n-grams, each feature scaled by
 its naive Bayes log-count ratio.
 
-The presence of hashed 3- to 5-grams in a whole text makes its features. Over a
+The presence of hashed 4- to 6-grams in a whole text makes its features. Over a
 bounded, hash-chosen sample of labelled rows (``SAMPLE_ROWS``) Spark sums per
 feature how many toxic and clean rows hold it; the ratios come from those sums.
 A logistic regression is then fitted on the scaled features of the same sample.
@@ -25,12 +25,15 @@ from pyspark.sql import functions as F
 
 from wharf.llm.common import text_of
 from wharf.llm.hashed_text import Hasher, held_out, labelled_sample
+from wharf.session import materialize
 
-ORDERS = (3, 4, 5)
-BITS = 18
+ORDERS = (4, 5, 6)
+BITS = 20
 SAMPLE_ROWS = 12_000
 #: Features below this log-count ratio carry next to nothing and are left out.
-LEAST_RATIO = 0.7
+LEAST_RATIO = 1.0
+#: Added counts, by class share: a feature of a few rows tells little.
+SMOOTH = 20.0
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,24 +48,23 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         "toxic": np.append(held[1, some], rows[1])})
 
 
-def log_count_ratios(sample: DataFrame, smooth: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
-    """Ratios per feature (0 where unseen), and the rows of each class."""
-    sums = (sample.mapInPandas(_count, "id long, clean long, toxic long")
-            .groupBy("id").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas())
-    total = sums[sums["id"] < 0]
-    rows = np.array([total["clean"].sum(), total["toxic"].sum()], dtype=float)
-    ratio, sums = np.zeros(1 << BITS), sums[sums["id"] >= 0]
+def log_count_ratios(sample: DataFrame, smooth: float = SMOOTH, least: float = LEAST_RATIO) -> tuple[np.ndarray, np.ndarray]:
+    """Ratios per feature (0 where unseen or below ``least``), and the rows of each class."""
+    sums = materialize(sample.mapInPandas(_count, "id long, clean long, toxic long")
+                       .groupBy("id").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "class-counts")
+    total = sums.where("id < 0").toPandas()
+    rows, ratio = np.array([total["clean"].sum(), total["toxic"].sum()], dtype=float), np.zeros(1 << BITS)
     if rows.min() > 0:
         share = rows / rows.sum()
-        p = (sums["toxic"].to_numpy() + smooth * share[1]) / rows[1]
-        q = (sums["clean"].to_numpy() + smooth * share[0]) / rows[0]
-        ratio[sums["id"].to_numpy()] = np.log(p / q)
-    ratio[np.abs(ratio) < LEAST_RATIO] = 0
+        log = F.log((F.col("toxic") + float(smooth * share[1])) / float(rows[1])
+                    / ((F.col("clean") + float(smooth * share[0])) / float(rows[0])))
+        got = sums.where("id >= 0").select("id", log.alias("r")).where(F.abs("r") >= least).toPandas()
+        ratio[got["id"].to_numpy()] = got["r"].to_numpy()
     return ratio, rows
 
 
 def _fit_logistic(y: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, width: int,
-                  l2: float = 2.0, rounds: int = 150) -> tuple[np.ndarray, float]:
+                  l2: float = 5.0, rounds: int = 150) -> tuple[np.ndarray, float]:
     """Adam on the whole sample; sparse features as (row, col, value)."""
     w, b = np.zeros(width), 0.0
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
@@ -91,8 +93,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_ROWS) -> tu
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         r, hasher = scale.value, Hasher(ORDERS, BITS)
         pdf = pdf.sort_values(["y", "text"])  # rounding, and so the model, doesn't depend on arrival
-        ids = [(k := hasher.present(t))[r[k] != 0] for t in pdf["text"]]
-        col = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        ids = [hasher.present(t, r != 0) for t in pdf["text"]]
+        col = np.concatenate(ids).astype(np.int64)
         row = np.repeat(np.arange(len(ids)), [len(k) for k in ids])
         used, dense = np.unique(col, return_inverse=True)
         w, b = _fit_logistic(pdf["y"].to_numpy(float), row, dense, r[col], len(used))
@@ -113,8 +115,9 @@ def score_column(spark, model: tuple[np.ndarray, float]):
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         (weights, b), hasher = shared.value, Hasher(ORDERS, BITS)
+        used = weights != 0
         for texts in batches:
-            z = np.array([weights[hasher.present(t)].sum() + b for t in texts], dtype=float)
+            z = np.array([weights[hasher.present(t, used)].sum() + b for t in texts], dtype=float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
     return score
 
