@@ -73,7 +73,7 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df, name: str = "table"):
+def materialize(df, name: str = "table", compression: str = "snappy"):
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
     Cuts lineage like ``checkpoint()`` but as a columnar table written in one
@@ -85,7 +85,7 @@ def materialize(df, name: str = "table"):
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/wharf-tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").option("compression", compression).parquet(path)
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
