@@ -59,9 +59,10 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = 256, hash_all: bool = False
         "doc_id", F.monotonically_increasing_id().alias("_row"), "_again",
         (full if hash_all else F.when(F.col("_again"), full)).alias("full_hash")), "dedup-rows")
 
-    copies = (rows.where("_again").groupBy(F.col("full_hash").alias("_h"))
-              .agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("doc_id", "_row")).alias("_k"))
-              .where("_n > 1"))
+    # Written, so that the join below stands alone and Spark can split its hot keys.
+    copies = materialize(rows.where("_again").groupBy(F.col("full_hash").alias("_h"))
+                         .agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("doc_id", "_row")).alias("_k"))
+                         .where("_n > 1"), "dedup-copies")
     grouped = (rows.where("_again").join(copies, F.col("full_hash") == F.col("_h"), "left")
                .select("doc_id", F.when(F.col("_n").isNull(), F.col("doc_id"))
                                   .otherwise(F.col("_k.doc_id")).alias("keep_id"),
