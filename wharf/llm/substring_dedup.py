@@ -10,9 +10,11 @@ The reference is the whole corpus, so it is narrowed before anything is matched:
    windows have equal seeds and a text has few distinct ones. Seeds that occur in
    two documents go, in shards, into bitmaps of fixed size which are broadcast.
 3. Streaming. Documents are streamed past the shards; windows with a repeated
-   seed are candidates. Per (seed, window hash) - 128 bits - the smallest doc_id
-   is found by an aggregate and joined back; windows of larger doc_ids are marked
-   and their words removed.
+   seed are candidates. Neighbouring candidates with one seed make a segment. Where
+   all segments of a seed are equal, its smallest doc_id decides for all of them;
+   else their windows are compared one by one, by seed and hash (128 bits). Smallest
+   doc_ids come from aggregates and are joined back; windows of larger doc_ids are
+   marked and their words removed.
 
 A bit set by chance adds candidates but never a removal. Suffix automata of the
 whole reference do not fit the limits (figures in README); the windows that
@@ -42,12 +44,12 @@ from wharf.session import materialize
 WINDOW = 13
 RUN = 5
 #: Bits of the bitmap of first documents, and of each shard of repeated seeds.
-FIRST_BITS = 1 << 27
+FIRST_BITS = 1 << 26
 SEED_BITS = 1 << 27
 #: A shard holds at most this many repeated seeds.
 SHARD_SEEDS = 1 << 25
 
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _MULT = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -170,7 +172,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     low = F.shiftrightunsigned("seed", 1)  # not negative
     parts = [build(repeated.where(F.pmod(F.xxhash64("seed"), F.lit(shards)) == s)
                            .select(bit_of(low, SEED_BITS).alias("b")), "b", SEED_BITS) for s in range(shards)]
-    looked = materialize(_candidates(docs, first, parts), "windows")
+    looked = materialize(_candidates(docs, first, parts), "windows", "zstd")
     return _finish(looked)
 
 
@@ -182,7 +184,8 @@ def _candidates(docs: DataFrame, first, parts: list[np.ndarray]) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     shared = [sc.broadcast(p) for p in parts]
 
-    @F.pandas_udf("n_words long, gone boolean, kept_sha256 string, seed array<long>, hash array<long>, at array<int>")
+    @F.pandas_udf("n_words long, gone boolean, kept_sha256 string, seed array<long>, segment array<long>, "
+                  "at array<int>, n array<int>, first array<int>, hash array<long>")
     def look(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         windows = Windows()
         for texts, bits in batches:
@@ -192,7 +195,7 @@ def _candidates(docs: DataFrame, first, parts: list[np.ndarray]) -> DataFrame:
                 if not use:
                     n = len(data.split())  # a copy of an earlier document
                     gone = n >= WINDOW
-                    rows.append((n, gone, _kept(b"" if gone else data, None)[1], [], [], []))
+                    rows.append((n, gone, _kept(b"" if gone else data, None)[1], [], [], [], [], [], []))
                     continue
                 w, seed, whole = windows.of(data)
                 hit = np.zeros(len(seed), bool)
@@ -200,42 +203,76 @@ def _candidates(docs: DataFrame, first, parts: list[np.ndarray]) -> DataFrame:
                 for bitmap in shared:
                     hit |= test(bitmap.value, number)
                 at = np.flatnonzero(hit)
-                sha = None if len(at) else _kept(data, None)[1]
-                rows.append((len(w), False, sha, _signed(seed[at]), _signed(whole[at]), at.astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["n_words", "gone", "kept_sha256", "seed", "hash", "at"])
+                if not len(at):
+                    rows.append((len(w), False, _kept(data, None)[1], [], [], [], [], [], []))
+                    continue
+                start, n, segment = segments(at, seed[at], whole[at])
+                rows.append((len(w), False, None, _signed(seed[at[start]]), _signed(segment),
+                             at[start].astype(np.int32), n.astype(np.int32), start.astype(np.int32), _signed(whole[at])))
+            yield pd.DataFrame(rows, columns=["n_words", "gone", "kept_sha256", "seed", "segment", "at", "n", "first", "hash"])
 
     return (docs.select("doc_id", text_of().alias("_t"), look(text_of(), _own_bit()).alias("w"))
                 .select("doc_id", F.monotonically_increasing_id().alias("_row"), "w.*",
                         F.when(F.size("w.at") > 0, F.col("_t")).alias("_t")))
 
 
+def segments(at: np.ndarray, seed: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows (at ``at``) with one seed: first index, length, hash."""
+    new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (seed[1:] != seed[:-1])])
+    start = np.flatnonzero(new)
+    n = np.diff(np.append(start, len(at)))
+    place = (np.arange(len(at)) - np.repeat(start, n)).astype(np.uint64)
+    return start, n, _mix(np.add.reduceat(_mix(whole + place * np.uint64(_MULT)), start))
+
+
 _CUT = StructType([StructField("n_removed", LongType()), StructField("kept_sha256", StringType())])
 
 
 @F.pandas_udf(_CUT)
-def _remove(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for texts, places in batches:
+def _remove(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for texts, starts, counts in batches:
         rows = []
-        for text, at in zip(texts, places):
+        for text, at, n in zip(texts, starts, counts):
             data = _encode(text)
             covered = np.zeros(len(data.split()) + 1, np.int64)
             if at is not None and len(at):
                 np.add.at(covered, at, 1)
-                np.add.at(covered, np.asarray(at) + WINDOW, -1)
+                np.add.at(covered, np.asarray(at) + np.asarray(n) + (WINDOW - 1), -1)
             rows.append(_kept(data, np.cumsum(covered)[:-1] > 0))
         yield pd.DataFrame(rows, columns=["n_removed", "kept_sha256"])
 
 
+def _marked(looked: DataFrame) -> DataFrame:
+    """(_row, at, n): runs of n windows, from word ``at``, that also start in a document
+    with a smaller doc_id."""
+    segment = (looked.where(F.size("at") > 0)
+               .select("_row", "doc_id", "hash", F.explode(F.arrays_zip("seed", "segment", "at", "n", "first")).alias("s"))
+               .select("_row", "doc_id", "s.seed", "s.segment", "s.at", "s.n",
+                       F.slice("hash", F.col("s.first") + 1, F.col("s.n")).alias("hash")))
+    # Written tables on the small side leave the joins to themselves: hot keys can be split.
+    by_seed = materialize(
+        segment.groupBy("seed").agg(F.min("segment").alias("_lo"), F.max("segment").alias("_hi"),
+                                    F.min("doc_id").alias("_min"), F.max("doc_id").alias("_max"))
+        .where(F.col("_min") < F.col("_max")).select("seed", (F.col("_lo") == F.col("_hi")).alias("_same"), "_min"),
+        "seed-segments")
+    met = segment.join(by_seed, "seed")
+    equal = met.where(F.col("_same") & (F.col("doc_id") > F.col("_min"))).select("_row", "at", "n")
+
+    window = (met.where(~F.col("_same")).select("_row", "doc_id", "seed", "at", F.posexplode("hash").alias("k", "hash"))
+              .select("_row", "doc_id", "seed", "hash", (F.col("at") + F.col("k")).alias("at")))
+    firsts = materialize(
+        window.groupBy("seed", "hash").agg(F.min("doc_id").alias("_min"), F.max("doc_id").alias("_max"))
+        .where(F.col("_min") < F.col("_max")).drop("_max"), "window-firsts")
+    later = (window.join(firsts, ["seed", "hash"]).where(F.col("doc_id") > F.col("_min"))
+             .select("_row", "at", F.lit(1).alias("n")))
+    return equal.unionByName(later)
+
+
 def _finish(looked: DataFrame) -> DataFrame:
-    window = (looked.where(F.size("at") > 0)
-              .select("_row", "doc_id", F.explode(F.arrays_zip("seed", "hash", "at")).alias("w"))
-              .select("_row", "doc_id", "w.*"))
-    firsts = (window.groupBy("seed", "hash").agg(F.min("doc_id").alias("_min"), F.max("doc_id").alias("_max"))
-              .where(F.col("_min") < F.col("_max")).drop("_max"))
-    marked = (window.join(firsts, ["seed", "hash"]).where(F.col("doc_id") > F.col("_min"))
-              .groupBy("_row").agg(F.collect_list("at").alias("_at")))
+    marked = _marked(looked).groupBy("_row").agg(F.collect_list(F.struct("at", "n")).alias("_m"))
     cut = (looked.where(F.size("at") > 0).select("_row", "doc_id", "n_words", "_t")
-           .join(marked, "_row", "left").select("doc_id", "n_words", _remove("_t", "_at").alias("r"))
+           .join(marked, "_row", "left")
+           .select("doc_id", "n_words", _remove("_t", F.col("_m.at"), F.col("_m.n")).alias("r"))
            .select("doc_id", "n_words", "r.n_removed", "r.kept_sha256"))
     whole = looked.where(F.size("at") == 0).select(
         "doc_id", "n_words", F.when(F.col("gone"), F.col("n_words")).otherwise(0).cast("long").alias("n_removed"),
