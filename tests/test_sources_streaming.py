@@ -69,14 +69,14 @@ def test_intake_with_only_rejected_rows(spark, tmp_dir):
     landing = f"{tmp_dir}/landing"
     write_csv(f"{landing}/f1.csv", spec.columns, [["", "co", "", "f", "l", "rp", "x", "y", "z"]])
     q = incremental_intake(spark, landing, spec, parent_id=3462, system_id=3464,
-                           snapshot_path=f"{tmp_dir}/snap", ods_path=f"{tmp_dir}/ods", checkpoint=f"{tmp_dir}/ck")
+                           snapshot_path=f"{tmp_dir}/snap", ods_path=f"{tmp_dir}/ods", checkpoint=f"{tmp_dir}/ck", carry_rejects=False)
     q.awaitTermination(120)
     assert q.exception() is None
     # no row passed validation: the partitioned ODS holds no data files yet
     assert not list(__import__("pathlib").Path(f"{tmp_dir}/ods").rglob("*.parquet"))
     write_csv(f"{landing}/f2.csv", spec.columns, [["c", "co", "a", "f", "l", "rp", "x", "y", "5"]])
     q = incremental_intake(spark, landing, spec, parent_id=3462, system_id=3464,
-                           snapshot_path=f"{tmp_dir}/snap", ods_path=f"{tmp_dir}/ods", checkpoint=f"{tmp_dir}/ck")
+                           snapshot_path=f"{tmp_dir}/snap", ods_path=f"{tmp_dir}/ods", checkpoint=f"{tmp_dir}/ck", carry_rejects=False)
     q.awaitTermination(120)
     assert q.exception() is None and spark.read.parquet(f"{tmp_dir}/ods").count() == 1
 

@@ -68,20 +68,21 @@ def percent_numeric(s, safe: bool = True) -> Column:
 
 # A trailing zone designator after a time of day.
 _HAS_ZONE = r"(?i)\d{1,2}:\d{2}(:\d{2}(\.\d*)?)?\s*(z|utc|gmt|[+-]\d{1,2}(:?\d{2})?)$"
+_WALL_FORM = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"
+_DATED = r"^\d{4}-\d{1,2}-\d{1,2}($|[T\s])"
 _DATE_ONLY = r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$"
 
 
 def wall_datetime(s, safe: bool = True) -> Column:
     """T-07 wall-clock DATETIME from the first 19 characters; the offset is ignored.
 
-    The cast accepts 'yyyy-MM-ddTHH:mm:ss' (or a space); requiring all 19
-    characters rejects date-only and unpadded text as the reference's format
-    does. Strict form: a plain cast, which raises on bad text under ANSI.
+    Only 'yyyy-MM-ddTHH:mm:ss' is accepted. Strict form: a plain cast, which
+    raises on bad text under ANSI.
     """
     head = F.substring(_c(s), 1, 19)
     if not safe:
         return head.cast("timestamp_ntz")
-    return F.when(F.length(head) == 19, head.try_cast("timestamp_ntz"))
+    return F.when(head.rlike(_WALL_FORM), head.try_cast("timestamp_ntz"))
 
 
 def _with_zone(s: Column) -> Column:
@@ -91,17 +92,6 @@ def _with_zone(s: Column) -> Column:
             .otherwise(F.concat(s, F.lit("Z"))))
 
 
-def _session_is_utc() -> bool:
-    """Plan-time check: zone-less strings already read as UTC in a UTC session."""
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return False
-    # No default argument: Spark validates a supplied default against the zone checker.
-    tz = spark.conf.get("spark.sql.session.timeZone") or ""
-    return tz.upper() in ("UTC", "GMT", "Z", "+00:00", "ETC/UTC", "ETC/GMT")
-
-
 def instant_to_utc_ntz(ts: Column) -> Column:
     """An instant (TIMESTAMP) as its UTC wall time (TIMESTAMP_NTZ), zone-free."""
     epoch = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
@@ -109,9 +99,17 @@ def instant_to_utc_ntz(ts: Column) -> Column:
 
 
 def utc_datetime(s, safe: bool = True) -> Column:
-    """T-08/T-09 CAST(TIMESTAMP(s) AS DATETIME): offset applied, result in UTC."""
-    zoned = _c(s) if _session_is_utc() else _with_zone(_c(s))
-    inst = zoned.try_cast("timestamp") if safe else zoned.cast("timestamp")
+    """T-08/T-09 CAST(TIMESTAMP(s) AS DATETIME): offset applied, result in UTC.
+
+    The text must begin with a whole date: Spark's cast alone would also take a
+    time of day (as of today), a year or a month. In the strict form other text
+    reaches the cast unchanged but for a mark that no cast accepts, and raises.
+    """
+    whole = F.trim(_c(s)).rlike(_DATED)
+    if safe:
+        inst = F.when(whole, _with_zone(_c(s))).try_cast("timestamp")
+    else:
+        inst = F.when(whole | _c(s).isNull(), _with_zone(_c(s))).otherwise(F.concat(F.lit("no date: "), _c(s))).cast("timestamp")
     return instant_to_utc_ntz(inst)
 
 
@@ -210,8 +208,17 @@ def blank_default(c, default: str = "blank") -> Column:
 
 
 def normalize_blank_to_empty(c) -> Column:
-    """P-05 COALESCE(NULLIF(TRIM(c), ''), '')."""
-    return F.coalesce(F.nullif(F.trim(_c(c)), F.lit("")), F.lit(""))
+    """P-05 COALESCE(NULLIF(TRIM(c), ''), ''), with all white space trimmed."""
+    return F.coalesce(F.nullif(trim_space(c), F.lit("")), F.lit(""))
+
+
+# Fixed value: the characters that TRIM removes (Unicode white space).
+WHITE_SPACE = " \t\n\x0b\x0c\r\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def trim_space(c) -> Column:
+    """TRIM of all white space; Spark's own default trims spaces only."""
+    return F.btrim(_c(c), F.lit(WHITE_SPACE))
 
 
 def first_match(c, patterns: Sequence[tuple[str, str]], default=None,

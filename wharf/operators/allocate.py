@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NUMERIC = "decimal(38,9)"
-# Operand widths whose product fits decimal(38,18) without Spark's precision loss.
-MEASURE_T, SHARE_T = "decimal(24,9)", "decimal(13,9)"
+SHARE_T = "decimal(13,9)"
+_E9 = 1_000_000_000
 
 
 def _scale(df: DataFrame, c: Column | str) -> int | None:
@@ -31,8 +31,18 @@ def _scale(df: DataFrame, c: Column | str) -> int | None:
 
 
 def share_product(measure: Column, share: Column) -> Column:
-    """measure * IFNULL(share, 1) at NUMERIC precision, rounded per row like NUMERIC."""
-    return (measure.cast(MEASURE_T) * F.coalesce(share, F.lit(1)).cast(SHARE_T)).cast(NUMERIC)
+    """measure * IFNULL(share, 1) at NUMERIC precision, rounded per row like NUMERIC.
+
+    A product of two wide decimals would lose places in Spark, so the measure is
+    taken in two parts, billions and the rest: each product is exact, the first is
+    whole, and only the second is rounded. Good for amounts below 9.2 * 10^27.
+    """
+    m, s = measure.cast(NUMERIC), F.coalesce(share, F.lit(1)).cast(SHARE_T)
+    e9 = F.lit(_E9).cast("decimal(10,0)")
+    billions = F.call_function("div", m, e9).cast("decimal(19,0)")
+    whole = ((billions * s) * e9).cast("decimal(37,9)")
+    rest = ((m % e9).cast("decimal(18,9)") * s).cast("decimal(23,9)")
+    return (whole + rest).cast(NUMERIC)
 
 
 def allocate(facts: DataFrame, shares: DataFrame, on: Sequence[tuple[str, str]],
@@ -61,22 +71,14 @@ def allocate(facts: DataFrame, shares: DataFrame, on: Sequence[tuple[str, str]],
 
     pre_cols = list(dict.fromkeys([*fact_keys, *plain_groups]))
     if preaggregate:
-        # sum(m) * s is exact here: the product needs at most 9 decimals. Widths
-        # are chosen so the product type stays within 38 digits without loss.
-        s_share = _scale(shares, share_col)
-        share_t = f"decimal({s_share + 3},{s_share})"
+        # sum(m) * s is exact here: the product needs at most 9 decimals.
         facts = facts.groupBy(*pre_cols).agg(*[F.sum(m).alias(f"__m_{n}") for n, m in measures.items()])
-
-        def product(n: str, share: Column) -> Column:
-            m = F.col(f"__m_{n}")
-            m = m.cast(f"decimal({34 - s_share},{_scale(facts, m)})")
-            return (m * F.coalesce(share, F.lit(1)).cast(share_t)).cast(NUMERIC)
     else:
         facts = facts.select(*pre_cols, *[m.alias(f"__m_{n}") for n, m in measures.items()],
                              *[m.alias(f"__f_{n}") for n, m in float_measures.items()])
 
-        def product(n: str, share: Column) -> Column:
-            return share_product(F.col(f"__m_{n}"), share)
+    def product(n: str, share: Column) -> Column:
+        return share_product(F.col(f"__m_{n}"), share)
 
     right = shares.select(*[F.col(s).alias(f"__k_{i}") for i, (_, s) in enumerate(on)],
                           F.col(share_col).alias("__share"),

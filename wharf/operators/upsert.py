@@ -7,14 +7,17 @@ only active target rows can match. Matched rows take the source's values
 unmatched source rows are inserted as active; nothing is deleted.
 
 Plain parquet has no MERGE, so the result is a new DataFrame to be written to
-a fresh path and swapped in. Plan: active target rows LEFT JOIN source (AQE
-broadcasts a small delta at runtime, so the target is not shuffled), plus
-source LEFT ANTI the target's key columns for the inserts; inactive target
-rows bypass both joins untouched. With NULL in a key column ``=`` never matches, so such source
-rows insert again on every run (U-03); they also bypass the join (target rows
-unchanged, source rows inserted), so a NULL-heavy key cannot skew one join
-task. ``null_safe=True`` uses ``<=>`` instead. The source is expected unique
-per key (``latest_per_key``), so no key multiplies in the join.
+a fresh path and swapped in. Plan: one FULL OUTER JOIN of target and source on
+the key, so either side is read once; matched rows, rows of the target alone and
+rows of the source alone are told apart by two markers. Rows that cannot match
+(inactive target rows; rows with a NULL in a key, unless ``null_safe``) carry a
+hash of their own as one more join column, so they spread over the tasks instead
+of piling up behind one key. With NULL in a key column ``=`` never matches, so
+such source rows insert again on every run (U-03).
+
+As MERGE does, the plan fails if a target row meets several source rows (U-04):
+the source carries its row count per key, and a match with a count above one
+raises an error instead of multiplying rows.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wharf.operators.dedup import duplicates
@@ -33,7 +36,7 @@ UPDATE_COLS = ("UpdateBy", "UpdateDate", "UpdateProcess")
 INACTIVE_COLS = ("InactiveInd", "InactiveReason", "InactiveDate")
 LOAD_COLS = ("LoadBy", "LoadDate", "LoadProcess")
 
-_S = "__wharf_s"
+_S, _T, _N, _HIT, _ALONE = "__wharf_s", "__wharf_t", "__wharf_n", "__wharf_hit", "__wharf_alone"
 
 
 @dataclass
@@ -81,54 +84,39 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     if preserve_created:
         update_cols -= set(CREATE_COLS)
 
-    is_active = F.col(active_col) == F.lit(False)
+    is_active = F.coalesce(F.col(active_col) == F.lit(False), F.lit(False))
     src_cols = set(src.columns)
     out_types = {f.name: f.dataType for f in target.schema.fields}
-
-    def as_insert(df: DataFrame, prefix: str = "") -> list[Column]:
-        return [(F.col(f"{prefix}{c}") if c in src_cols else F.lit(None)).cast(out_types[c]).alias(c)
-                for c in out_cols]
-
-    matchable = target.where(is_active)
-    bypass = target.where(~is_active | F.col(active_col).isNull())
-    inserts = None
+    null_key = F.lit(False)
     if not null_safe:
-        # With '=' a NULL in any key column never matches: such rows skip the
-        # join (target rows stay, source rows insert), so a NULL-heavy key
-        # cannot pile up in one join task.
-        null_key = F.lit(False)
         for k in keys:
             null_key = null_key | F.col(k).isNull()
-        bypass = bypass.unionByName(matchable.where(null_key))
-        matchable = matchable.where(~null_key)
-        inserts = src.where(null_key).select(*as_insert(src))
-        src = src.where(~null_key)
 
-    def key_match(left: str, right: str) -> Column:
-        cond = None
-        for k in keys:
-            l, r = F.col(f"{left}.{k}"), F.col(f"{right}.{k}")
-            c = l.eqNullSafe(r) if null_safe else l == r
-            cond = c if cond is None else cond & c
-        return cond
-
-    # Matched and untouched target rows: target LEFT JOIN source. A small
-    # delta is broadcast by AQE at runtime, so the big target is not shuffled.
-    t = matchable.alias("t")
-    s = src.withColumn(_S, F.lit(True)).alias("s")
-    in_s = F.col(f"s.{_S}").isNotNull()
+    def spread(df: DataFrame, alone: Column) -> Column:
+        # 0 for rows that may match; an odd hash of the row for those that cannot.
+        plain = [c for c, t in df.dtypes if not t.startswith("map")]
+        return F.when(alone, F.xxhash64(*plain).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long"))
+
+    t = target.withColumn(_ALONE, spread(target, null_key | ~is_active)).withColumn(_T, F.lit(True)).alias("t")
+    per_key = Window.partitionBy(*keys, _ALONE)
+    s = (src.withColumn(_ALONE, spread(src, null_key)).withColumn(_S, F.lit(True))
+            .withColumn(_N, F.count(F.lit(1)).over(per_key)).alias("s"))
+    cond = F.col(f"t.{_ALONE}") == F.col(f"s.{_ALONE}")
+    for k in keys:
+        l, r = F.col(f"t.{k}"), F.col(f"s.{k}")
+        cond = cond & (l.eqNullSafe(r) if null_safe else l == r)
+
+    in_t, in_s = F.col(f"t.{_T}").isNotNull(), F.col(f"s.{_S}").isNotNull()
+    checked = F.when(in_t & (F.col(f"s.{_N}") > 1),
+                     F.raise_error(F.lit("merge: a target row matches several source rows"))).otherwise(in_s)
+    joined = t.join(s, cond, "full_outer").withColumn(_HIT, checked)
     proj = []
     for c in out_cols:
         tv = F.col(f"t.{c}")
-        use_source = c in update_cols and c in src_cols
-        proj.append((F.when(in_s, F.col(f"s.{c}")).otherwise(tv) if use_source else tv)
-                    .cast(out_types[c]).alias(c))
-    kept = t.join(s, key_match("t", "s"), "left").select(*proj)
-    # New rows: source LEFT ANTI the target's keys (only key columns move).
-    tk = matchable.select(*keys).alias("tk")
-    new = src.alias("s").join(tk, key_match("s", "tk"), "left_anti").select(*as_insert(src))
-    out = kept.unionByName(new).unionByName(bypass)
-    return out if inserts is None else out.unionByName(inserts)
+        sv = F.col(f"s.{c}") if c in src_cols else F.lit(None)
+        both = sv if c in update_cols and c in src_cols else tv
+        proj.append(F.when(~in_t, sv).when(F.col(_HIT), both).otherwise(tv).cast(out_types[c]).alias(c))
+    return joined.select(*proj)
 
 
 def assert_unique(source: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -222,7 +222,7 @@ def stage_summary(validated: DataFrame, spec: FeedSpec) -> DataFrame:
 
 
 def snapshot_rows(validated: DataFrame, spec: FeedSpec, audit: Audit | None = None,
-                  carry_rejects: bool = False) -> DataFrame:
+                  carry_rejects: bool = True) -> DataFrame:
     """S-04 for a feed."""
     return stage_to_snapshot(validated, spec.columns, audit, spec.snapshot_from, carry_rejects)
 
@@ -230,12 +230,12 @@ def snapshot_rows(validated: DataFrame, spec: FeedSpec, audit: Audit | None = No
 def _interval_value(name: str, mode: str, strict: bool) -> Column:
     c = F.col(name)
     if mode == "utc":
-        return casts.utc_datetime(c, safe=not strict)
+        return casts.utc_datetime(c, safe=False)
     return casts.wall_datetime(c, safe=not strict)
 
 
 def ods_source(snapshot: DataFrame, spec: FeedSpec, audit: Audit | None = None,
-               tiebreak: Sequence = ("CreateDate", "FileLoadAuditId", "LineNum")) -> DataFrame:
+               tiebreak: Sequence = ("CreateDate", "FileEffectiveDate", "FileLoadAuditId", "LineNum")) -> DataFrame:
     """Typed, de-duplicated MERGE source (W-01..W-03, P-05, P-08, P-09, T-*).
 
     ``tiebreak`` is our addition: the reference orders by LoadDate only.
@@ -265,7 +265,7 @@ def ods_source(snapshot: DataFrame, spec: FeedSpec, audit: Audit | None = None,
         typed_done.add(c)
     if spec.utc_columns:
         for n in spec.intervals:
-            cols.append(casts.utc_datetime(F.col(n), safe=not strict).alias(f"Utc{n}"))
+            cols.append(casts.utc_datetime(F.col(n), safe=False).alias(f"Utc{n}"))
     stamps = audit.stamps()
     if spec.load_stamp == "source":
         cols += [F.col("LoadBy"), F.col("LoadDate")]
@@ -378,7 +378,6 @@ def register_feed_functions(spark, snapshots: dict[str, DataFrame],
 
 # Partition columns of a partitioned ODS: the system and the month of StartInterval.
 ODS_PARTITIONS = ("ParentSystemId", "StartMonth")
-BROADCAST_PARTITION_LIMIT = 10_000
 
 
 def ods_partitions(spec: FeedSpec) -> tuple[str, ...]:
@@ -398,16 +397,17 @@ def merge_ods_partitions(spark, ods_path: str, source: DataFrame, spec: FeedSpec
     """U-01 on a partitioned ODS, rewriting only the partitions the source touches.
 
     A month-to-date delivery touches one or two (system, month) partitions, so
-    a run reads and rewrites those instead of the whole ODS. The list of
-    touched partitions is counted first: within ``BROADCAST_PARTITION_LIMIT``
-    rows it is broadcast to a left-semi join (which also drives dynamic
-    partition pruning of the ODS scan); beyond it a plain join is used.
+    a run reads and rewrites those instead of the whole ODS. The source is written
+    once; the touched partitions are read off the written rows and matched
+    NULL-safely, so a partition without a month keeps its stored rows.
     """
     parts = list(ods_partitions(spec))
-    src = with_ods_partition(source, spec)
-    touched = src.select(*parts).distinct()
-    small = touched.count() <= BROADCAST_PARTITION_LIMIT
-    right = F.broadcast(touched) if small else touched
-    target = spark.read.parquet(ods_path).join(right, parts, "left_semi")
+    src = materialize(with_ods_partition(source, spec), f"{spec.name}_source")
+    touched = src.select(*[F.col(c).alias(f"__{c}") for c in parts]).distinct()
+    stored = spark.read.parquet(ods_path)
+    same = F.lit(True)
+    for c in parts:
+        same = same & stored[c].cast(src.schema[c].dataType).eqNullSafe(F.col(f"__{c}"))
+    target = stored.join(touched, same, "left_semi")
     merged = merge_ods(target, src, spec, audit, **kw)
     return replace_partitions(materialize(merged, f"{spec.name}_merged"), ods_path, parts)

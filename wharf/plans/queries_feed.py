@@ -57,11 +57,13 @@ def d05_stage_to_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d06_upsert_ods(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders up to 1999 are the stored ODS, those from 1999 on are delivered anew: the
+    overlap updates, the rest inserts, NULL keys insert, inactive rows stay."""
     orders = table(spark, sf, "orders")
     audit = fixed_audit()
     target = orders_ods_target(orders)
     fresh = orders.where(F.col("o_orderdate") >= F.lit(SOURCE_FROM).cast("timestamp_ntz"))
-    stage = feeds.validate_stage(orders_stage(fresh, price_bump=1), ORDERS_FEED, audit.now)
+    stage = feeds.validate_stage(orders_stage(fresh, price_bump=1, loadable=True), ORDERS_FEED, audit.now)
     snap = feeds.snapshot_rows(stage, ORDERS_FEED, audit)
     src = feeds.ods_source(snap, ORDERS_FEED, audit)
     return feeds.merge_ods(target, src, ORDERS_FEED, audit).drop("InactiveDate")
@@ -113,7 +115,9 @@ FROM latest
 """
 
 
-def orders_stage_sql(where: str = "TRUE", bump: int = 0) -> str:
+def orders_stage_sql(where: str = "TRUE", bump: int = 0, loadable: bool = False) -> str:
+    def bad(text: str) -> str:
+        return "NULL" if loadable else text
     price = f"CAST(CAST(o_totalprice AS DECIMAL(18,2)) + {bump} AS VARCHAR)"
     online = "CAST(CAST(floor(o_totalprice / 250) AS BIGINT) AS VARCHAR)"
     return f"""
@@ -122,12 +126,12 @@ def orders_stage_sql(where: str = "TRUE", bump: int = 0) -> str:
          o_orderstatus AS Cosa, o_orderpriority AS Company,
          CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS Agent,
          'RP-' || substr(o_orderpriority, 1, 1) AS RoutingProfile,
-         CASE WHEN o_orderkey % 61 = 0 THEN 'not-a-date'
+         CASE WHEN o_orderkey % 61 = 0 THEN {bad("'not-a-date'")}
               ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS StartInterval,
          strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS EndInterval,
-         CASE WHEN o_orderkey % 47 = 0 THEN {price} || '%' ELSE {price} END AS AgentIdleTime,
+         CASE WHEN o_orderkey % 47 = 0 THEN {bad(price + " || '%'")} ELSE {price} END AS AgentIdleTime,
          CASE WHEN o_orderkey % 7 = 0 THEN {online} || '.5' ELSE {online} END AS OnlineTime,
-         CASE WHEN o_orderkey % 59 = 0 THEN 'x' || CAST(o_custkey % 100 AS VARCHAR)
+         CASE WHEN o_orderkey % 59 = 0 THEN {bad("'x' || CAST(o_custkey % 100 AS VARCHAR)")}
               ELSE CAST(o_custkey % 100 AS VARCHAR) END AS ContactsHandled,
          CAST(year(o_orderdate) - 1994 AS BIGINT) AS FileLoadAuditId,
          o_orderkey AS LineNum, o_orderdate AS FileEffectiveDate,
@@ -153,12 +157,12 @@ ORDERS_ERRORS_SQL = f"""concat_ws(', ',
          THEN 'ContactsHandled parse error' END)"""
 
 
-def validated_sql(where: str = "TRUE", bump: int = 0) -> str:
+def validated_sql(where: str = "TRUE", bump: int = 0, loadable: bool = False) -> str:
     return f"""
   SELECT s.*, length(e.errs) > 0 AS InactiveInd,
          CASE WHEN length(e.errs) > 0 THEN TIMESTAMP '2024-06-30 00:00:00' END AS InactiveDate,
          CASE WHEN length(e.errs) > 0 THEN 'Validation failure: ' || e.errs END AS InactiveReason
-  FROM ({orders_stage_sql(where, bump)}) s,
+  FROM ({orders_stage_sql(where, bump, loadable)}) s,
        LATERAL (SELECT {ORDERS_ERRORS_SQL} AS errs) e"""
 
 
@@ -179,7 +183,7 @@ GROUP BY ParentSystemId, SystemId
 _BUSINESS = "Cosa, Company, Agent, RoutingProfile, StartInterval, EndInterval, AgentIdleTime, OnlineTime, ContactsHandled"
 
 
-def snapshot_sql(where: str = "TRUE", bump: int = 0) -> str:
+def snapshot_sql(where: str = "TRUE", bump: int = 0, loadable: bool = False) -> str:
     return f"""
   SELECT ParentSystemId, SystemId, {_BUSINESS},
          TRY_STRPTIME(substr(StartInterval, 1, 19), '%Y-%m-%dT%H:%M:%S') AS SnapshotRowDateTime,
@@ -187,8 +191,7 @@ def snapshot_sql(where: str = "TRUE", bump: int = 0) -> str:
          'wharf' AS CreateBy, TIMESTAMP '2024-06-30 00:00:00' AS CreateDate, 'wharf.testdata' AS CreateProcess,
          'wharf' AS UpdateBy, TIMESTAMP '2024-06-30 00:00:00' AS UpdateDate, 'wharf.testdata' AS UpdateProcess,
          FileLoadAuditId, LineNum, FileEffectiveDate, FALSE AS InactiveInd, '' AS InactiveReason
-  FROM ({validated_sql(where, bump)}) v
-  WHERE NOT InactiveInd"""
+  FROM ({validated_sql(where, bump, loadable)}) v"""
 
 
 D05_SQL = f"SELECT * FROM ({snapshot_sql()}) s"
@@ -220,12 +223,13 @@ WITH target AS (
          (o_orderstatus = 'P' AND year(o_orderdate) = 1999) AS InactiveInd,
          CASE WHEN o_orderstatus = 'P' AND year(o_orderdate) = 1999 THEN 'closed' ELSE '' END AS InactiveReason
   FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01'),
-snap AS ({snapshot_sql("o_orderdate >= TIMESTAMP '" + SOURCE_FROM + "'", 1)}),
+snap AS ({snapshot_sql("o_orderdate >= TIMESTAMP '" + SOURCE_FROM + "'", 1, True)}),
 latest AS (
   SELECT * FROM snap WHERE InactiveInd = FALSE
   QUALIFY row_number() OVER (
     PARTITION BY ParentSystemId, SystemId, Cosa, Company, Agent, RoutingProfile, StartInterval, EndInterval
-    ORDER BY LoadDate DESC NULLS LAST, CreateDate DESC NULLS LAST, FileLoadAuditId DESC NULLS LAST,
+    ORDER BY LoadDate DESC NULLS LAST, CreateDate DESC NULLS LAST, FileEffectiveDate DESC NULLS LAST,
+             FileLoadAuditId DESC NULLS LAST,
              LineNum DESC NULLS LAST) = 1),
 src AS (
   SELECT ParentSystemId, SystemId, Cosa, Company, Agent, RoutingProfile,

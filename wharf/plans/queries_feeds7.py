@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wharf.functions.casts import format_wall
 from wharf.operators.upsert import upsert
-from wharf.operators.validate import AtMost, Parses, Required
+
 from wharf.plans import feeds
 from wharf.plans.feeds import FEEDS, FeedSpec
 from wharf.plans.testdata import dec2, fixed_audit, iso, table
@@ -36,15 +36,15 @@ def feed_stage(lineitem: DataFrame, spec: FeedSpec) -> DataFrame:
     numeric = _numeric_cols(spec)
     values: dict[str, Column] = {
         "Cosa": F.col("l_returnflag"), "Company": F.col("l_linestatus"),
-        "Agent": F.col("l_suppkey").cast("string"),
+        "Agent": F.when(k % 101 != 0, F.col("l_suppkey").cast("string")),
         "RoutingProfile": F.concat(F.lit("RP"), F.col("l_linenumber").cast("string")),
         "Queue": F.when(F.col("l_partkey") % 11 == 0, F.lit("  "))
                   .otherwise(F.concat(F.lit(" Q"), (F.col("l_partkey") % 5).cast("string"), F.lit(" "))),
-        "StartInterval": F.when(k % 89 == 0, F.lit("n/a"))
+        "StartInterval": F.when(k % 89 == 0, F.lit("n/a") if spec.safe_intervals else F.lit(None).cast("string"))
                           .otherwise(F.concat(F.substring(iso(start_ts, ""), 1, 19), offset)),
         "EndInterval": F.concat(F.substring(iso(F.timestamp_add("MINUTE", F.lit(30), start_ts), ""), 1, 19),
                                 offset),
-        "Logout": F.when(k % 83 == 0, F.lit("bad"))
+        "Logout": F.when(k % 83 == 0, F.lit(None).cast("string"))
                    .otherwise(format_wall(F.timestamp_add("HOUR", k % 24, F.col("l_shipdate")),
                                           "MMM d, yyyy h:mm:ss a")),
     }
@@ -55,8 +55,8 @@ def feed_stage(lineitem: DataFrame, spec: FeedSpec) -> DataFrame:
         if spec.types[c] == "percent":
             text = F.when(k % 3 == 0, F.concat(text, F.lit("%"))).otherwise(text)
         values[c] = text
-    if numeric:  # one planted parse error per feed
-        values[numeric[0]] = F.when(k % 97 == 0, F.lit("x")).otherwise(values[numeric[0]])
+    if numeric:
+        values[numeric[0]] = F.when(k % 97 != 0, values[numeric[0]])
     if "OnlineTime" in spec.columns:
         values["OnlineTime"] = F.floor(F.col("l_extendedprice") / 50).cast("string")
     for j, c in enumerate(c for c, t in spec.types.items() if t in ("int", "int_float")):
@@ -96,11 +96,6 @@ def _q(v: str) -> str:
     return "'" + v.replace("'", "''") + "'"
 
 
-_PARSE = {
-    "numeric": "TRY_CAST({c} AS DECIMAL(38,9))",
-    "int": "TRY_CAST(ROUND(TRY_CAST({c} AS DECIMAL(38,9)), 0) AS BIGINT)",
-    "datetime": "TRY_CAST({c} AS TIMESTAMPTZ)",
-}
 _UTC = "make_timestamp(epoch_us(TRY_CAST({c} AS TIMESTAMPTZ)))"
 _WALL = "CASE WHEN length(substr({c}, 1, 19)) = 19 THEN TRY_CAST(substr({c}, 1, 19) AS TIMESTAMP) END"
 _NOW = "TIMESTAMP '2024-06-30 00:00:00'"
@@ -112,12 +107,12 @@ def _stage_sql(spec: FeedSpec) -> str:
     off = "CASE WHEN l_returnflag = 'A' THEN '-05:00' ELSE 'Z' END"
     numeric = _numeric_cols(spec)
     cols = {
-        "Cosa": "l_returnflag", "Company": "l_linestatus", "Agent": "CAST(l_suppkey AS VARCHAR)",
+        "Cosa": "l_returnflag", "Company": "l_linestatus", "Agent": "CASE WHEN l_orderkey % 101 <> 0 THEN CAST(l_suppkey AS VARCHAR) END",
         "RoutingProfile": "'RP' || CAST(l_linenumber AS VARCHAR)",
         "Queue": "CASE WHEN l_partkey % 11 = 0 THEN '  ' ELSE ' Q' || CAST(l_partkey % 5 AS VARCHAR) || ' ' END",
-        "StartInterval": f"CASE WHEN l_orderkey % 89 = 0 THEN 'n/a' ELSE strftime({start_ts}, '%Y-%m-%dT%H:%M:%S') || {off} END",
+        "StartInterval": f"CASE WHEN l_orderkey % 89 = 0 THEN {_q('n/a') if spec.safe_intervals else 'NULL'} ELSE strftime({start_ts}, '%Y-%m-%dT%H:%M:%S') || {off} END",
         "EndInterval": f"strftime({start_ts} + INTERVAL 30 MINUTE, '%Y-%m-%dT%H:%M:%S') || {off}",
-        "Logout": "CASE WHEN l_orderkey % 83 = 0 THEN 'bad' ELSE strftime(l_shipdate + to_hours(CAST(l_orderkey % 24 AS BIGINT)), '%b %-d, %Y %-I:%M:%S %p') END",
+        "Logout": "CASE WHEN l_orderkey % 83 = 0 THEN NULL ELSE strftime(l_shipdate + to_hours(CAST(l_orderkey % 24 AS BIGINT)), '%b %-d, %Y %-I:%M:%S %p') END",
     }
     for c in _NAME_COLS:
         cols[c] = f"'{c[0]}' || CAST(l_partkey AS VARCHAR)"
@@ -127,7 +122,7 @@ def _stage_sql(spec: FeedSpec) -> str:
             text = f"CASE WHEN l_orderkey % 3 = 0 THEN {text} || '%' ELSE {text} END"
         cols[c] = text
     if numeric:
-        cols[numeric[0]] = f"CASE WHEN l_orderkey % 97 = 0 THEN 'x' ELSE {cols[numeric[0]]} END"
+        cols[numeric[0]] = f"CASE WHEN l_orderkey % 97 <> 0 THEN {cols[numeric[0]]} END"
     if "OnlineTime" in spec.columns:
         cols["OnlineTime"] = "CAST(CAST(floor(l_extendedprice / 50) AS BIGINT) AS VARCHAR)"
     for j, c in enumerate(c for c, t in spec.types.items() if t in ("int", "int_float")):
@@ -137,25 +132,11 @@ def _stage_sql(spec: FeedSpec) -> str:
   SELECT CAST(CASE WHEN l_linestatus = 'O' THEN 3462 ELSE 3463 END AS BIGINT) AS ParentSystemId,
          CAST(CASE WHEN l_linestatus = 'O' THEN 3464 ELSE 3465 END AS BIGINT) AS SystemId,
          {body},
-         l_partkey AS FileLoadAuditId, l_orderkey * 8 + l_linenumber AS LineNum,
+         l_partkey AS FileLoadAuditId, l_shipdate AS FileEffectiveDate, l_orderkey * 8 + l_linenumber AS LineNum,
          'loader' AS LoadBy, l_shipdate + to_days(CAST(l_partkey % 10 AS INTEGER)) AS LoadDate
   FROM lineitem"""
 
 
-def _errors_sql(spec: FeedSpec) -> str:
-    chains: dict[str, list[str]] = {}
-    for r in spec.rules:
-        if isinstance(r, Required):
-            cond, msg = f"{r.column} IS NULL", f"{r.label or r.column} missing value"
-        elif isinstance(r, Parses):
-            cond = f"{r.column} IS NOT NULL AND {_PARSE[r.kind].format(c=r.column)} IS NULL"
-            msg = f"{r.label or r.column} parse error"
-        elif isinstance(r, AtMost):
-            cond, msg = f"{_PARSE[r.kind].format(c=r.column)} > {r.limit}", r.message
-        chains.setdefault(r.column, []).append(f"WHEN {cond} THEN {_q(msg)}")
-    return "concat_ws(', ', " + ", ".join(f"CASE {' '.join(w)} END" for w in chains.values()) + ")"
-
-
 def _typed(spec: FeedSpec, c: str) -> str:
     kind = spec.types.get(c)
     if c in spec.intervals:
@@ -179,12 +160,11 @@ def feed_oracle_sql(spec: FeedSpec) -> str:
     select = ", ".join([*(f"{_typed(spec, c)} AS {c}" for c in spec.columns), *utc])
     return f"""
 WITH stage AS ({_stage_sql(spec)}),
-v AS (SELECT *, {_errors_sql(spec)} AS errs FROM stage),
 latest AS (
-  SELECT * FROM v WHERE length(errs) = 0 AND {parsable}
+  SELECT * FROM stage WHERE {parsable}
   QUALIFY row_number() OVER (
     PARTITION BY ParentSystemId, SystemId, {", ".join(dedup)}
-    ORDER BY LoadDate DESC NULLS LAST, FileLoadAuditId DESC NULLS LAST, LineNum DESC NULLS LAST) = 1)
+    ORDER BY LoadDate DESC NULLS LAST, FileEffectiveDate DESC NULLS LAST, FileLoadAuditId DESC NULLS LAST, LineNum DESC NULLS LAST) = 1)
 SELECT ParentSystemId, SystemId, {select},
        {load}, 'wharf.testdata' AS LoadProcess,
        'wharf' AS CreateBy, {_NOW} AS CreateDate, 'wharf.testdata' AS CreateProcess,

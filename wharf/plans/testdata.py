@@ -60,14 +60,17 @@ ORDERS_FEED = FeedSpec(
 )
 
 
-def orders_stage(orders: DataFrame, price_bump: int = 0) -> DataFrame:
+def orders_stage(orders: DataFrame, price_bump: int = 0, loadable: bool = False) -> DataFrame:
     """Orders as an all-string feed stage with lineage and planted defects.
 
     Defects by key residue: NULL Agent (53), unparsable StartInterval (61),
     '%' in AgentIdleTime (47), fractional OnlineTime '.5' (7), non-numeric
     ContactsHandled (59). OnlineTime = floor(price / 250) exceeds 1800 for
-    the most expensive orders.
+    the most expensive orders. ``loadable``: NULL in place of text that the strict
+    casts of the ODS load cannot take.
     """
+    def bad(text):
+        return F.lit(None).cast("string") if loadable else text
     k = F.col("o_orderkey")
     d = F.col("o_orderdate")
     parent = F.when(F.col("o_orderstatus").isin("F", "O"), F.lit(3462)).otherwise(F.lit(3463))
@@ -80,12 +83,12 @@ def orders_stage(orders: DataFrame, price_bump: int = 0) -> DataFrame:
         F.col("o_orderpriority").alias("Company"),
         F.when(k % 53 == 0, F.lit(None)).otherwise(F.col("o_custkey").cast("string")).alias("Agent"),
         F.concat(F.lit("RP-"), F.substring("o_orderpriority", 1, 1)).alias("RoutingProfile"),
-        F.when(k % 61 == 0, F.lit("not-a-date")).otherwise(iso(d, "+00:00")).alias("StartInterval"),
+        F.when(k % 61 == 0, bad(F.lit("not-a-date"))).otherwise(iso(d, "+00:00")).alias("StartInterval"),
         iso(F.timestamp_add("DAY", F.lit(1), d), "+00:00").alias("EndInterval"),
-        F.when(k % 47 == 0, F.concat(price.cast("string"), F.lit("%")))
+        F.when(k % 47 == 0, bad(F.concat(price.cast("string"), F.lit("%"))))
          .otherwise(price.cast("string")).alias("AgentIdleTime"),
         F.when(k % 7 == 0, F.concat(online, F.lit(".5"))).otherwise(online).alias("OnlineTime"),
-        F.when(k % 59 == 0, F.concat(F.lit("x"), (F.col("o_custkey") % 100).cast("string")))
+        F.when(k % 59 == 0, bad(F.concat(F.lit("x"), (F.col("o_custkey") % 100).cast("string"))))
          .otherwise((F.col("o_custkey") % 100).cast("string")).alias("ContactsHandled"),
         (F.year(d) - 1994).cast("bigint").alias("FileLoadAuditId"),
         k.alias("LineNum"),

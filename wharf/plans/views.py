@@ -110,7 +110,7 @@ def view7_mom_flag(layoffs: DataFrame, market_dim: DataFrame) -> DataFrame:
     flag = first_match_flag([(at_year & (m == maxmonth), 1), (at_year & (m == maxmonth - 1), 2)])
     a = layoffs.select("Primary_Market", parsed.alias("date"), "count",
                        flag.cast("int").alias("MoMFlag"), "DataAsOf")
-    out = dim_lookup(a, market_dim, F.trim(F.col("Primary_Market")), "market_description",
+    out = dim_lookup(a, market_dim, casts.trim_space("Primary_Market"), "market_description",
                      ["market_dim_key"])
     return out.select("Primary_Market", "market_dim_key", "date", "count", "MoMFlag", "DataAsOf")
 

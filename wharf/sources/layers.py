@@ -24,14 +24,14 @@ LINEAGE = ("FileLoadAuditId", "LineNum", "FileEffectiveDate")
 def stage_to_snapshot(stage: DataFrame, business_cols: Sequence[str],
                       audit: Audit | None = None,
                       snapshot_from: str | None = "StartInterval",
-                      carry_rejects: bool = False) -> DataFrame:
+                      carry_rejects: bool = True) -> DataFrame:
     """S-04 snapshot rows from a validated stage.
 
     Copies business columns, derives SnapshotRowDateTime (wall time of
     ``snapshot_from``; NULL when it does not parse; omitted when None, as for
     LoginDaily), keeps Load*, stamps Create*/Update*, resets Inactive*.
-    The reference resets rejects to active; ``carry_rejects=False`` (default)
-    leaves rejected rows out instead, ``True`` reproduces the reference.
+    Rejected rows are carried and reset to active, as the reference does;
+    ``carry_rejects=False`` leaves them out.
     """
     audit = audit or Audit()
     df = stage if carry_rejects else stage.where(~F.coalesce(F.col("InactiveInd"), F.lit(False)))
@@ -72,6 +72,12 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def has_rows(spark: SparkSession, path: str) -> bool:
+    """Whether a table folder holds data (files or partitions); other errors are raised."""
+    fs, p = _fs(spark, path)
+    return fs.exists(p) and any(st.getPath().getName()[0] not in "_." for st in fs.listStatus(p))
+
+
 def rebuild_table(df: DataFrame, path: str, fmt: str = "parquet",
                   partition_by: Sequence[str] = ()) -> str:
     """S-06/S-07 CTAS: write to a fresh sibling path, then swap it in.
@@ -86,16 +92,36 @@ def rebuild_table(df: DataFrame, path: str, fmt: str = "parquet",
     w.save(fresh)
     fs, target = _fs(spark, path)
     _, fresh_p = _fs(spark, fresh)
-    if fs.exists(target):
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.__old_{uuid.uuid4().hex}")
-        fs.rename(target, old)
-        fs.rename(fresh_p, target)
-        fs.delete(old, True)
-    else:
-        fs.rename(fresh_p, target)
+    _swap(fs, fresh_p, target, _fs(spark, f"{path.rstrip('/')}.__old_{uuid.uuid4().hex}")[1])
     return path
 
 
+def _move(fs, src, dest) -> None:
+    """Rename, or an error: a file system may refuse by returning false."""
+    if not fs.rename(src, dest):
+        raise OSError(f"could not move {src} to {dest}")
+
+
+def _swap(fs, fresh, target, aside) -> None:
+    """Put ``fresh`` in the place of ``target``: move aside, move in, then delete.
+
+    A failed second move puts the old folder back; a crash between the moves
+    leaves it whole under ``aside``. Nothing is deleted before its replacement
+    is in place.
+    """
+    had = fs.exists(target)
+    if had:
+        _move(fs, target, aside)
+    try:
+        _move(fs, fresh, target)
+    except Exception:
+        if had:
+            _move(fs, aside, target)
+        raise
+    if had:
+        fs.delete(aside, True)
+
+
 def run_audit(summary: DataFrame, run_id: int, job: str, scheduled_at: Column | None = None,
               now: Column | None = None) -> DataFrame:
     """S-09 one audit row per (run, feed, system) from V-05 summaries.
@@ -119,9 +145,11 @@ def replace_partitions(df: DataFrame, path: str, partition_cols: Sequence[str])
     """Write ``df`` partitioned to a fresh folder, then move each written
     partition folder into ``path``, replacing the folder it supersedes.
 
-    Partitions absent from ``df`` are untouched. Each move is a rename (metadata
-    only); the set of moves is not atomic as a whole. Returns the partition
-    folders replaced (relative paths).
+    Partitions absent from ``df`` are untouched. Each move is a checked rename
+    (metadata only): the old folder is moved aside and deleted only when the new
+    one is in place. The set of moves is not atomic as a whole; after a crash,
+    folders moved aside lie next to ``path``. Returns the partition folders
+    replaced (relative paths).
     """
     spark = df.sparkSession
     fresh = f"{path.rstrip('/')}.__parts_{uuid.uuid4().hex}"
@@ -143,10 +171,9 @@ def replace_partitions(df: DataFrame, path: str, partition_cols: Sequence[str])
     moved = []
     for leaf, rel in leaves(root, "", 0):
         dest = jvm.org.apache.hadoop.fs.Path(target_root, rel)
-        if fs.exists(dest):
-            fs.delete(dest, True)
         fs.mkdirs(dest.getParent())
-        fs.rename(leaf, dest)
+        aside = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.__old_{uuid.uuid4().hex}")
+        _swap(fs, leaf, dest, aside)
         moved.append(rel)
     fs.delete(root, True)
     return moved

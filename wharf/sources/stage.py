@@ -24,18 +24,20 @@ def string_schema(columns: Sequence[str]) -> T.StructType:
 
 def read_stage(spark: SparkSession, path: str, columns: Sequence[str], *,
                parent_id: int, system_id: int, audit_id: int,
-               mask: str | None = None, load_by: str = "wharf",
+               mask: str | Sequence[str] | None = None, load_by: str = "wharf",
                load_process: str = "wharf.read_stage", sep: str = ",") -> DataFrame:
     """S-03 load CSV sheets as strings with lineage columns.
 
     FileLoadAuditId = ``audit_id``; FileEffectiveDate = file modification time
-    (UTC wall clock); LineNum = 1-based data line within its file.
+    (UTC wall clock); LineNum = 1-based data line within its file. A file whose
+    header is not ``columns`` in their order is an error. ``mask``: one glob or
+    several, of which any may match (S-01).
     """
     reader = (spark.read.schema(string_schema(columns))
               .option("header", True).option("sep", sep)
-              .option("recursiveFileLookup", True).option("mode", "PERMISSIVE"))
+              .option("recursiveFileLookup", True).option("mode", "PERMISSIVE").option("enforceSchema", False))
     if mask:
-        reader = reader.option("pathGlobFilter", mask)  # S-01 file mask
+        reader = reader.option("pathGlobFilter", any_mask(mask))
     raw = reader.csv(path).select(
         *columns,
         F.col("_metadata.file_path").alias(_FILE),
@@ -59,6 +61,11 @@ def read_stage(spark: SparkSession, path: str, columns: Sequence[str], *,
     )
 
 
+def any_mask(mask: str | Sequence[str]) -> str:
+    """S-01 one glob for a file mask or a list of them."""
+    return mask if isinstance(mask, str) else "{" + ",".join(mask) + "}"
+
+
 def with_line_numbers(raw: DataFrame) -> DataFrame:
     """Line number per file without funnelling a file through one task.
 
@@ -75,7 +82,7 @@ def with_line_numbers(raw: DataFrame) -> DataFrame:
     return (raw.join(offsets.select(_FILE, _BLOCK, "offset", "first_mid"), [_FILE, _BLOCK])
                .withColumn("LineNum", (F.col("offset") + F.col(_MID) - F.col("first_mid") + 1)
                            .cast("bigint"))
-               .drop("offset", "first_mid", _BLOCK, _MID, _FILE))
+               .drop("offset", "first_mid", _BLOCK, _MID))
 
 
 def route_by_folder(df_path_col: str = "_metadata.file_path", pattern: str = r"/([^/]+)/[^/]+$"):

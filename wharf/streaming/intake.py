@@ -21,7 +21,6 @@ its rows are newer loads of the same keys, so the upsert updates in place.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -29,7 +28,8 @@ from pyspark.sql.streaming import StreamingQuery
 from wharf.functions.casts import instant_to_utc_ntz
 from wharf.operators.upsert import Audit
 from wharf.plans import feeds
-from wharf.sources.stage import _BLOCK, _FILE, _MID, string_schema, with_line_numbers
+from wharf.sources.layers import has_rows
+from wharf.sources.stage import _BLOCK, _FILE, _MID, any_mask, string_schema, with_line_numbers
 
 
 def _stage_batch(batch: DataFrame, spec: feeds.FeedSpec, parent_id: int, system_id: int,
@@ -39,7 +39,8 @@ def _stage_batch(batch: DataFrame, spec: feeds.FeedSpec, parent_id: int, system_
         F.lit(parent_id).cast("bigint").alias("ParentSystemId"),
         F.lit(system_id).cast("bigint").alias("SystemId"),
         *spec.columns,
-        F.lit(epoch_id).cast("bigint").alias("FileLoadAuditId"),
+        # One audit id per file and run: (FileLoadAuditId, LineNum) names a row.
+        F.pmod(F.xxhash64(F.lit(epoch_id), F.col(_FILE)), F.lit(1 << 62)).alias("FileLoadAuditId"),
         "LineNum", "FileEffectiveDate",
         F.current_user().alias("LoadBy"), F.current_timestamp().alias("LoadDate"),
         F.lit(process).alias("LoadProcess"),
@@ -49,12 +50,17 @@ def _stage_batch(batch: DataFrame, spec: feeds.FeedSpec, parent_id: int, system_
 
 def process_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, spec: feeds.FeedSpec,
                   parent_id: int, system_id: int, snapshot_path: str, ods_path: str,
-                  process: str = "wharf.intake") -> None:
-    """One micro-batch of the feed pipeline (also usable as a plain batch job)."""
+                  process: str = "wharf.intake", carry_rejects: bool = True) -> None:
+    """One micro-batch of the feed pipeline (also usable as a plain batch job).
+
+    Rejected rows are carried as in ``stage_to_snapshot``; text that the strict
+    casts of the ODS load cannot take then fails the batch. ``carry_rejects=False``
+    leaves rejects out.
+    """
     audit = Audit(process=process)
     stage = _stage_batch(batch, spec, parent_id, system_id, epoch_id, process)
     validated = feeds.validate_stage(stage, spec)
-    snap = feeds.snapshot_rows(validated, spec, audit)
+    snap = feeds.snapshot_rows(validated, spec, audit, carry_rejects)
     (snap.write.mode("overwrite").partitionBy("ParentSystemId")
          .parquet(f"{snapshot_path.rstrip('/')}/batch={epoch_id}"))
     # Every row of this batch was loaded after all earlier history, so for the
@@ -62,9 +68,7 @@ def process_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, spec: fe
     # instead of re-reading the whole snapshot history every micro-batch.
     written = spark.read.schema(snap.schema).parquet(f"{snapshot_path.rstrip('/')}/batch={epoch_id}")
     source = feeds.ods_source(written, spec, audit)
-    try:
-        spark.read.parquet(ods_path)
-    except AnalysisException:  # first run: the ODS is the merge of the batch into nothing
+    if not has_rows(spark, ods_path):  # first run: the ODS is the merge of the batch into nothing
         empty = source.limit(0).withColumns(
             {c: F.lit(None).cast(t) for c, t in (("CreateBy", "string"), ("CreateDate", "timestamp"),
                                                  ("CreateProcess", "string"), ("UpdateBy", "string"),
@@ -73,7 +77,7 @@ def process_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, spec: fe
                                                  ("InactiveDate", "timestamp"))})
         first = feeds.with_ods_partition(feeds.merge_ods(empty, source, spec, audit), spec)
         # A partitioned write of no rows leaves no files; the ODS starts with the first rows.
-        first.write.mode("overwrite").partitionBy(*feeds.ods_partitions(spec)).parquet(ods_path)
+        first.write.mode("append").partitionBy(*feeds.ods_partitions(spec)).parquet(ods_path)
         return
     # Later runs rewrite only the (system, month) partitions this batch touches.
     feeds.merge_ods_partitions(spark, ods_path, source, spec, audit)
@@ -82,12 +86,12 @@ def process_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, spec: fe
 def incremental_intake(spark: SparkSession, landing: str, spec: feeds.FeedSpec, *,
                        parent_id: int, system_id: int, snapshot_path: str, ods_path: str,
                        checkpoint: str, mask: str | None = None,
-                       available_now: bool = True) -> StreamingQuery:
+                       available_now: bool = True, carry_rejects: bool = True) -> StreamingQuery:
     """Start the intake stream; ``available_now`` processes what has landed, then stops."""
     reader = (spark.readStream.schema(string_schema(spec.columns))
-              .option("header", True).option("recursiveFileLookup", True))
+              .option("header", True).option("recursiveFileLookup", True).option("enforceSchema", False))
     if mask:
-        reader = reader.option("pathGlobFilter", mask)
+        reader = reader.option("pathGlobFilter", any_mask(mask))
     stream = reader.csv(landing).select(
         *spec.columns,
         F.col("_metadata.file_path").alias(_FILE),
@@ -95,7 +99,8 @@ def incremental_intake(spark: SparkSession, landing: str, spec: feeds.FeedSpec,
         instant_to_utc_ntz(F.col("_metadata.file_modification_time")).alias("FileEffectiveDate"))
 
     def run(batch: DataFrame, epoch_id: int) -> None:
-        process_batch(spark, batch, epoch_id, spec, parent_id, system_id, snapshot_path, ods_path)
+        process_batch(spark, batch, epoch_id, spec, parent_id, system_id, snapshot_path, ods_path,
+                      carry_rejects=carry_rejects)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
