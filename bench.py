@@ -30,6 +30,7 @@ HEADLINE = {
     "q_opportunity_mart": "D-15_opportunity_mart",
     "q_mom_flag": "D-10_mom_flag",
     "q_data_as_of": "D-16_data_as_of",
+    "q_agent_daily_feed": "M-14_AgentDaily_feed",
 }
 
 
