@@ -188,12 +188,6 @@ def datekey_to_date(k) -> Column:
     return F.try_to_date(_c(k).cast("string"), "yyyyMMdd")
 
 
-def date_to_datekey(d) -> Column:
-    """T-14 DATE -> INT64 yyyyMMdd."""
-    d = _c(d)
-    return (F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("bigint")
-
-
 def typed_null(data_type: str) -> Column:
     """P-15 a NULL of a given type."""
     return F.lit(None).cast(data_type)

@@ -64,15 +64,6 @@ def fiscal_slot_label(d, anchor_slot: Column) -> Column:
     return F.when(quarter_slot(m) == anchor_slot, label)
 
 
-def month_start(d) -> Column:
-    return F.trunc(_c(d), "month")
-
-
-def minus_months(d, n: int) -> Column:
-    """DATE_SUB(d, INTERVAL n MONTH); QUARTER = 3n, YEAR = 12n. Month ends clamp."""
-    return F.add_months(_c(d), -n)
-
-
 def data_as_of_label(datekey_text) -> Column:
     """X-11 'yyyyMMdd...' text -> 'End Of Mon yyyy'; NULL when the month is not 01..12."""
     k = _c(datekey_text)
@@ -88,8 +79,3 @@ def fyq_as_of_label(fyq) -> Column:
     fyq = _c(fyq)
     return F.concat(F.substring(fyq, 5, 2), F.lit(" Of "),
                     F.concat(F.lit("20"), F.substring(fyq, 3, 2)))
-
-
-def datekey_of_date(d) -> Column:
-    """X-12 REPLACE(CAST(date AS STRING), '-', '')."""
-    return F.replace(_c(d).cast("string"), F.lit("-"), F.lit(""))

@@ -29,15 +29,3 @@ def first_match_flag(cases: Sequence[tuple[Column, object]], otherwise=None) ->
     if otherwise is not None:
         out = out.otherwise(otherwise if isinstance(otherwise, Column) else F.lit(otherwise))
     return out
-
-
-def flag_periods(df: DataFrame, name: str, cases: Sequence[tuple[Column, object]]) -> DataFrame:
-    """X-03..X-09: add a flag column from (predicate, value) cases."""
-    return df.withColumn(name, first_match_flag(cases))
-
-
-def first_in_window(dates: DataFrame, date_col: str, anchor: Column,
-                    back_from: Column, back_to: Column) -> Column:
-    """A-02 MIN(date) with date in [back_to, back_from] (both relative to ``anchor``)."""
-    d = F.col(date_col)
-    return scalar(dates, F.min(F.when((d <= back_from) & (d >= back_to), d)))

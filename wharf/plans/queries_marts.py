@@ -137,10 +137,10 @@ _SLOT_VALUES = ", ".join(
 SLOT_SQL = f"""
   SELECT CASE WHEN month(max(ReportingDate)) IN (9, 12, 3, 6) THEN 1
               WHEN month(max(ReportingDate)) IN (10, 1, 4, 7) THEN 2
-              WHEN month(max(ReportingDate)) IN (11, 2, 5, 8) THEN 3 END AS mnlable
+              WHEN month(max(ReportingDate)) IN (11, 2, 5, 8) THEN 3 END AS newest_slot
   FROM T WHERE Datekey IN (SELECT max(Datekey) FROM T WHERE StatusDesc IN ('Pipeline') AND PeriodCd = 'ME')"""
 
-LABEL_SQL = """CASE WHEN s.slot = (SELECT mnlable FROM slot)
+LABEL_SQL = """CASE WHEN s.slot = (SELECT newest_slot FROM slot)
        THEN 'FY' || substr(CAST(year(ReportingDate) + s.yoff AS VARCHAR), 3) || 'Q' || s.q || '-M' || s.mq END"""
 
 D12_SQL = f"""
