@@ -179,7 +179,7 @@ def _routing_feed(name: str, interval: bool) -> FeedSpec:
         types=types, dedup_keys=keys, merge_keys=keys, rules=tuple(rules),
         asof_keys=("StartInterval", "EndInterval", *COMMON, "Queue", "RoutingProfile"),
         start_mode="utc" if interval else "wall", normalize_queue=True,
-        asof_types={c: "percent" for c in ROUTING_PERCENTS},
+        asof_types={c: "numeric" for c in ROUTING_PERCENTS},  # the table functions cast plainly
     )
 
 

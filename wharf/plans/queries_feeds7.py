@@ -1,10 +1,15 @@
-"""Registered whole-table queries for the seven reference feed specs (M-14).
+"""Registered whole-table queries for the seven reference feed specs (M-14, F-01).
 
-Each feed runs end to end -- stage, validation, snapshot, latest per key,
-typing, upsert into an empty ODS -- over a stage derived from all of
-``lineitem``. The DuckDB oracle text is generated from the same feed spec
-(rules, interval mode, dedup keys, column kinds), so every spec is checked
-against an independent engine.
+``M-14_<feed>_feed`` is a second run of a feed: lines with an odd line number are the
+history loaded before (snapshot and a non-empty ODS with legacy stamps, older
+measures and some inactive rows), the others are the new delivery; stage, validation,
+snapshot, latest per key over all of the history, typing and merge follow, so
+rows are updated, inserted beside inactive ones, and inserted again for NULL keys.
+``F-01_<feed>_asof`` runs the feed's two table functions, one as a DataFrame and
+one in SQL. All of ``lineitem`` is read.
+
+The oracles state key lists, casts, intervals and update lists on their own, read
+from the reference's merges, not from the feed specs.
 """
 
 from __future__ import annotations
@@ -13,12 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wharf.functions.casts import format_wall
-from wharf.operators.upsert import upsert
-
 from wharf.plans import feeds
 from wharf.plans.feeds import FEEDS, FeedSpec
 from wharf.plans.testdata import dec2, fixed_audit, iso, table
-from wharf.session import materialize
 
 _NAME_COLS = ("AgentFirstName", "AgentLastName", "FirstName", "LastName", "Login")
 
@@ -27,8 +29,12 @@ def _numeric_cols(spec: FeedSpec) -> list[str]:
     return [c for c, t in spec.types.items() if t in ("numeric", "percent")]
 
 
-def feed_stage(lineitem: DataFrame, spec: FeedSpec) -> DataFrame:
-    """Lineitem as a stage of ``spec``: one row per line, every business column a string."""
+def feed_stage(lineitem: DataFrame, spec: FeedSpec, plain: bool = False) -> DataFrame:
+    """Lineitem as a stage of ``spec``: one row per line, every business column a string.
+
+    ``plain``: without '%' and with NULL for unparsable intervals, as the plain strict
+    casts of the table functions need it.
+    """
     k = F.col("l_orderkey")
     start_ts = F.timestamp_add("MINUTE", (k % 48) * 30, F.col("l_shipdate"))
     offset = F.when(F.col("l_returnflag") == "A", F.lit("-05:00")).otherwise(F.lit("Z"))
@@ -40,7 +46,7 @@ def feed_stage(lineitem: DataFrame, spec: FeedSpec) -> DataFrame:
         "RoutingProfile": F.concat(F.lit("RP"), F.col("l_linenumber").cast("string")),
         "Queue": F.when(F.col("l_partkey") % 11 == 0, F.lit("  "))
                   .otherwise(F.concat(F.lit(" Q"), (F.col("l_partkey") % 5).cast("string"), F.lit(" "))),
-        "StartInterval": F.when(k % 89 == 0, F.lit("n/a") if spec.safe_intervals else F.lit(None).cast("string"))
+        "StartInterval": F.when(k % 89 == 0, F.lit("n/a") if spec.safe_intervals and not plain else F.lit(None).cast("string"))
                           .otherwise(F.concat(F.substring(iso(start_ts, ""), 1, 19), offset)),
         "EndInterval": F.concat(F.substring(iso(F.timestamp_add("MINUTE", F.lit(30), start_ts), ""), 1, 19),
                                 offset),
@@ -52,7 +58,7 @@ def feed_stage(lineitem: DataFrame, spec: FeedSpec) -> DataFrame:
         values[c] = F.concat(F.lit(c[0]), F.col("l_partkey").cast("string"))
     for i, c in enumerate(numeric):
         text = (qty * (i + 1)).cast("string")
-        if spec.types[c] == "percent":
+        if spec.types[c] == "percent" and not plain:
             text = F.when(k % 3 == 0, F.concat(text, F.lit("%"))).otherwise(text)
         values[c] = text
     if numeric:
@@ -75,19 +81,46 @@ def feed_stage(lineitem: DataFrame, spec: FeedSpec) -> DataFrame:
         F.lit(None).cast("string").alias("InactiveReason"))
 
 
+def legacy_ods(source: DataFrame, spec: FeedSpec) -> DataFrame:
+    """The ODS as an earlier run left it: legacy stamps, the first measure one lower, UTC
+    columns a day off, and the rows of routing profile RP3 inactive."""
+    first = _numeric_cols(spec)[0]
+    old = F.lit("2023-01-01").cast("timestamp_ntz")
+    closed = F.col("RoutingProfile") == "RP3"
+    cols = {first: (F.col(first) - 1).cast("decimal(38,9)"), "LoadBy": F.lit("legacy"), "LoadDate": old,
+            "LoadProcess": F.lit("legacy"), "InactiveInd": closed,
+            "InactiveReason": F.when(closed, F.lit("closed")).otherwise(F.lit("")),
+            "InactiveDate": F.when(closed, old)}
+    for who in ("Create", "Update"):
+        cols |= {f"{who}By": F.lit("legacy"), f"{who}Date": old, f"{who}Process": F.lit("legacy")}
+    if spec.utc_columns:
+        cols |= {f"Utc{n}": F.timestamp_add("DAY", F.lit(-1), F.col(f"Utc{n}")) for n in spec.intervals}
+    # A measure that is part of the merge key stays as it is.
+    if first in spec.merge_keys:
+        del cols[first]
+    return source.withColumns(cols)
+
+
 def run_feed_query(spark: SparkSession, sf: str, spec: FeedSpec) -> DataFrame:
     audit = fixed_audit()
-    # The stage is a loaded table in the reference: materialize the adapter's output.
-    stage = materialize(feed_stage(table(spark, sf, "lineitem"), spec), f"{spec.name}_testdata_stage")
-    validated = materialize(feeds.validate_stage(stage, spec, audit.now), f"{spec.name}_validated")
-    source = feeds.ods_source(feeds.snapshot_rows(validated, spec, audit), spec, audit)
-    empty = {**{c: F.lit(None).cast("string") for c in
-                ("CreateBy", "CreateProcess", "UpdateBy", "UpdateProcess", "InactiveReason")},
-             **{c: F.lit(None).cast("timestamp_ntz") for c in ("CreateDate", "UpdateDate", "InactiveDate")},
-             "InactiveInd": F.lit(None).cast("boolean")}
-    target = source.limit(0).withColumns(empty)
-    keys = ["ParentSystemId", "SystemId", *spec.merge_keys]
-    return upsert(target, source, keys, audit=audit).drop("InactiveDate")
+    lines = table(spark, sf, "lineitem")
+    earlier = F.col("l_linenumber") % 2 == 1
+    history = feeds.snapshot_rows(feed_stage(lines.where(earlier), spec), spec, audit)
+    target = legacy_ods(feeds.ods_source(history, spec, audit), spec)
+    delivery = feed_stage(lines.where(~earlier), spec)
+    return feeds.run_feed(delivery, target, spec, audit, history=history)["ods"].drop("InactiveDate")
+
+
+ASOF_FROM, ASOF_TO = "1994-01-01 00:00:00", "1997-12-31 23:30:00"
+
+
+def run_asof_query(spark: SparkSession, sf: str, spec: FeedSpec) -> DataFrame:
+    snapshot = feeds.snapshot_rows(feed_stage(table(spark, sf, "lineitem"), spec, plain=True), spec, fixed_audit())
+    (one, _), (two, _) = feeds.SYSTEMS
+    lo, hi = (F.lit(t).cast("timestamp_ntz") for t in (ASOF_FROM, ASOF_TO))
+    name = feeds.register_asof_function(spark, f"ft_{spec.name}FileSnapshot_{two}", snapshot, spec, two)
+    in_sql = spark.sql(f"SELECT * FROM {name}(TIMESTAMP_NTZ'{ASOF_FROM}', TIMESTAMP_NTZ'{ASOF_TO}')")
+    return feeds.feed_asof(snapshot, spec, one, lo, hi).unionByName(in_sql)
 
 
 # --------------------------------------------------------------------------- oracle text
@@ -101,7 +134,7 @@ _WALL = "CASE WHEN length(substr({c}, 1, 19)) = 19 THEN TRY_CAST(substr({c}, 1,
 _NOW = "TIMESTAMP '2024-06-30 00:00:00'"
 
 
-def _stage_sql(spec: FeedSpec) -> str:
+def _stage_sql(spec: FeedSpec, plain: bool = False) -> str:
     qty = "CAST(l_quantity AS DECIMAL(18,2))"
     start_ts = "(l_shipdate + to_minutes(CAST((l_orderkey % 48) * 30 AS BIGINT)))"
     off = "CASE WHEN l_returnflag = 'A' THEN '-05:00' ELSE 'Z' END"
@@ -110,7 +143,7 @@ def _stage_sql(spec: FeedSpec) -> str:
         "Cosa": "l_returnflag", "Company": "l_linestatus", "Agent": "CASE WHEN l_orderkey % 101 <> 0 THEN CAST(l_suppkey AS VARCHAR) END",
         "RoutingProfile": "'RP' || CAST(l_linenumber AS VARCHAR)",
         "Queue": "CASE WHEN l_partkey % 11 = 0 THEN '  ' ELSE ' Q' || CAST(l_partkey % 5 AS VARCHAR) || ' ' END",
-        "StartInterval": f"CASE WHEN l_orderkey % 89 = 0 THEN {_q('n/a') if spec.safe_intervals else 'NULL'} ELSE strftime({start_ts}, '%Y-%m-%dT%H:%M:%S') || {off} END",
+        "StartInterval": f"CASE WHEN l_orderkey % 89 = 0 THEN {_q('n/a') if spec.safe_intervals and not plain else 'NULL'} ELSE strftime({start_ts}, '%Y-%m-%dT%H:%M:%S') || {off} END",
         "EndInterval": f"strftime({start_ts} + INTERVAL 30 MINUTE, '%Y-%m-%dT%H:%M:%S') || {off}",
         "Logout": "CASE WHEN l_orderkey % 83 = 0 THEN NULL ELSE strftime(l_shipdate + to_hours(CAST(l_orderkey % 24 AS BIGINT)), '%b %-d, %Y %-I:%M:%S %p') END",
     }
@@ -118,7 +151,7 @@ def _stage_sql(spec: FeedSpec) -> str:
         cols[c] = f"'{c[0]}' || CAST(l_partkey AS VARCHAR)"
     for i, c in enumerate(numeric):
         text = f"CAST({qty} * {i + 1} AS VARCHAR)"
-        if spec.types[c] == "percent":
+        if spec.types[c] == "percent" and not plain:
             text = f"CASE WHEN l_orderkey % 3 = 0 THEN {text} || '%' ELSE {text} END"
         cols[c] = text
     if numeric:
@@ -133,53 +166,129 @@ def _stage_sql(spec: FeedSpec) -> str:
          CAST(CASE WHEN l_linestatus = 'O' THEN 3464 ELSE 3465 END AS BIGINT) AS SystemId,
          {body},
          l_partkey AS FileLoadAuditId, l_shipdate AS FileEffectiveDate, l_orderkey * 8 + l_linenumber AS LineNum,
-         'loader' AS LoadBy, l_shipdate + to_days(CAST(l_partkey % 10 AS INTEGER)) AS LoadDate
+         'loader' AS LoadBy, l_shipdate + to_days(CAST(l_partkey % 10 AS INTEGER)) AS LoadDate,
+         l_linenumber % 2 = 1 AS earlier
   FROM lineitem"""
 
 
-def _typed(spec: FeedSpec, c: str) -> str:
-    kind = spec.types.get(c)
-    if c in spec.intervals:
-        return (_UTC if spec.start_mode == "utc" else _WALL).format(c=c)
-    if c == "Queue" and spec.normalize_queue:
-        return "COALESCE(NULLIF(trim(Queue), ''), '')"
-    return {
-        "numeric": f"CAST({c} AS DECIMAL(38,9))",
-        "percent": f"CAST(replace({c}, '%', '') AS DECIMAL(38,9))",
-        "int": f"CAST(ROUND(CAST({c} AS DECIMAL(38,9)), 0) AS BIGINT)",
-        "int_float": f"CAST(ROUND(CAST({c} AS DOUBLE)) AS BIGINT)",
-        "logout": f"strftime(try_strptime({c}, '%b %d, %Y %I:%M:%S %p'), '%m/%d/%Y %I:%M:%S %p')",
-    }.get(kind, c)
+# Of each merge of the reference, the window's keys, the match keys, how
+# intervals are read (wall clock or UTC), whether rows without parsable intervals
+# are left out, how counts are rounded, which measures lose their '%', whether the
+# snapshot's load stamp is kept, and the columns that an update leaves alone.
+_AGENT = "Cosa, Company, Agent, RoutingProfile, StartInterval, EndInterval"
+_AGENT_QUEUE = "Cosa, Company, Agent, RoutingProfile, Queue, StartInterval, EndInterval"
+_ROUTING = "Cosa, Company, Queue, RoutingProfile, StartInterval, EndInterval"
+_LEVELS = "ServiceLevel30Seconds, ServiceLevel60Seconds"
+_MERGES = {
+    "AgentDaily": dict(window=_AGENT, match=_AGENT, read="wall", parsable=False, counts="double",
+                       percent="", own_load=True, kept=""),
+    "AgentInterval": dict(window=_AGENT, match=_AGENT, read="utc", parsable=True, counts="double",
+                          percent="", own_load=True, kept="UtcStartInterval, UtcEndInterval", window_utc=True),
+    "AgentQueueDaily": dict(window=_AGENT_QUEUE, match=_AGENT_QUEUE, read="wall", parsable=False, counts="decimal",
+                            percent="", own_load=False, kept=""),
+    "AgentQueueInterval": dict(window=_AGENT_QUEUE, match=_AGENT_QUEUE, read="wall", parsable=True, counts="decimal",
+                               percent="", own_load=False, kept=""),
+    "LoginDaily": dict(window="Cosa, Company, RoutingProfile, Duration",
+                       match="Cosa, Company, Agent, RoutingProfile, Duration", read="", parsable=False,
+                       counts="decimal", percent="", own_load=False, kept=""),
+    "QueueRoutingDaily": dict(window=_ROUTING, match=_ROUTING, read="wall", parsable=False, counts="decimal",
+                              percent="AgentAnswerRate, " + _LEVELS, own_load=False, kept=""),
+    "QueueRoutingInterval": dict(window=_ROUTING, match=_ROUTING, read="utc", parsable=False, counts="decimal",
+                                 percent=_LEVELS, own_load=False, kept=""),
+}
+# The counts among the measures; text columns; the rest are amounts.
+_COUNTS = ("ContactsAgentHungUpFirst", "ContactsHandled", "ContactsTransferredOut", "ContactsMissed",
+           "ContactsAbandonedIn15Seconds", "ContactsAnsweredIn30Seconds", "ContactsAnsweredIn60Seconds",
+           "ContactsAbandoned", "ContactsQueued", "ContactsTransferredIn")
+_TEXTS = ("Cosa", "Company", "Agent", "RoutingProfile", "Queue", *_NAME_COLS)
+# The keys of the table functions.
+_ASOF_KEYS = {"AgentDaily": _AGENT, "AgentInterval": _AGENT, "AgentQueueDaily": _AGENT_QUEUE,
+              "AgentQueueInterval": _AGENT_QUEUE, "QueueRoutingDaily": _ROUTING, "QueueRoutingInterval": _ROUTING}
+
+
+def _names(text: str) -> list[str]:
+    return [n.strip() for n in text.split(",") if n.strip()]
+
+
+def _cast_sql(c: str, read: str, counts: str, percent: list[str]) -> str:
+    if c in ("StartInterval", "EndInterval"):
+        return (_UTC if read == "utc" else _WALL).format(c=c)
+    if c in _TEXTS:
+        return c
+    if c == "Logout":
+        return f"strftime(try_strptime({c}, '%b %d, %Y %I:%M:%S %p'), '%m/%d/%Y %I:%M:%S %p')"
+    if c in _COUNTS:
+        return f"CAST(ROUND(CAST({c} AS {'DOUBLE' if counts == 'double' else 'DECIMAL(38,9)'})) AS BIGINT)"
+    return f"CAST({f'replace({c}, {_q(chr(37))}, {_q(str())})' if c in percent else c} AS DECIMAL(38,9))"
 
 
 def feed_oracle_sql(spec: FeedSpec) -> str:
-    parsable = " AND ".join(_WALL.format(c=c) + " IS NOT NULL" for c in spec.intervals) if spec.safe_intervals else "TRUE"
-    dedup = [(_UTC.format(c=k) if spec.dedup_on_utc and k in spec.intervals else k) for k in spec.dedup_keys]
-    utc = [f"{_UTC.format(c=n)} AS Utc{n}" for n in spec.intervals] if spec.utc_columns else []
-    load = "LoadBy, LoadDate" if spec.load_stamp == "source" else f"'wharf' AS LoadBy, {_NOW} AS LoadDate"
-    select = ", ".join([*(f"{_typed(spec, c)} AS {c}" for c in spec.columns), *utc])
+    m = _MERGES[spec.name]
+    match = ["ParentSystemId", "SystemId", *_names(m["match"])]
+    window = ["ParentSystemId", "SystemId", *(_UTC.format(c=k) if m.get("window_utc") and k.endswith("Interval") else k
+                                              for k in _names(m["window"]))]
+    parsable = (" AND ".join(_WALL.format(c=c) + " IS NOT NULL" for c in ("StartInterval", "EndInterval"))
+                if m["parsable"] else "TRUE")
+    typed = ["COALESCE(NULLIF(trim(Queue), ''), '') AS Queue" if c == "Queue"
+             else f"{_cast_sql(c, m['read'], m['counts'], _names(m['percent']))} AS {c}" for c in spec.columns]
+    utc = ["UtcStartInterval", "UtcEndInterval"] if m["read"] else []
+    typed += [f"{_UTC.format(c=u[3:])} AS {u}" for u in utc]
+    load = "LoadBy, LoadDate" if m["own_load"] else f"'wharf' AS LoadBy, {_NOW} AS LoadDate"
+
+    def latest(where: str) -> str:
+        return f"""SELECT ParentSystemId, SystemId, {", ".join(typed)}, {load}, 'wharf.testdata' AS LoadProcess
+  FROM stage WHERE {parsable} AND {where}
+  QUALIFY row_number() OVER (
+    PARTITION BY {", ".join(window)}
+    ORDER BY LoadDate DESC NULLS LAST, FileEffectiveDate DESC NULLS LAST, FileLoadAuditId DESC NULLS LAST, LineNum DESC NULLS LAST) = 1"""
+
+    measure = next(c for c in spec.columns if c not in _TEXTS and c not in _COUNTS
+                   and c not in ("StartInterval", "EndInterval", "Logout"))
+    older = [f"{u} - INTERVAL 1 DAY AS {u}" for u in utc]
+    if measure not in match:
+        older.append(f"CAST({measure} - 1 AS DECIMAL(38,9)) AS {measure}")
+    then = "TIMESTAMP '2023-01-01 00:00:00'"
+    older += ["'legacy' AS LoadBy", f"{then} AS LoadDate", "'legacy' AS LoadProcess"]
+    stamps = ["CreateBy", "CreateDate", "CreateProcess", "UpdateBy", "UpdateDate", "UpdateProcess"]
+    new = dict(zip(stamps, ["'wharf'", _NOW, "'wharf.testdata'"] * 2))
+    old = dict(zip(stamps, ["'legacy'", then, "'legacy'"] * 2))
+    biz = ["ParentSystemId", "SystemId", *spec.columns, *utc, "LoadBy", "LoadDate", "LoadProcess"]
+    on = " AND ".join(f"t.{k} = s.{k}" for k in match) + " AND NOT t.InactiveInd"
+    kept = _names(m["kept"])
+    merged = [f"t.{c}" if c in kept else f"CASE WHEN s.hit THEN s.{c} ELSE t.{c} END AS {c}" for c in biz]
+    merged += [f"CASE WHEN s.hit THEN {new[c]} ELSE t.{c} END AS {c}" for c in stamps]
     return f"""
 WITH stage AS ({_stage_sql(spec)}),
-latest AS (
-  SELECT * FROM stage WHERE {parsable}
-  QUALIFY row_number() OVER (
-    PARTITION BY ParentSystemId, SystemId, {", ".join(dedup)}
-    ORDER BY LoadDate DESC NULLS LAST, FileEffectiveDate DESC NULLS LAST, FileLoadAuditId DESC NULLS LAST, LineNum DESC NULLS LAST) = 1)
-SELECT ParentSystemId, SystemId, {select},
-       {load}, 'wharf.testdata' AS LoadProcess,
-       'wharf' AS CreateBy, {_NOW} AS CreateDate, 'wharf.testdata' AS CreateProcess,
-       'wharf' AS UpdateBy, {_NOW} AS UpdateDate, 'wharf.testdata' AS UpdateProcess,
-       FALSE AS InactiveInd, '' AS InactiveReason
-FROM latest
+s AS (SELECT *, TRUE AS hit FROM ({latest("TRUE")})),
+t AS (SELECT * REPLACE ({", ".join(older)}), {", ".join(f"{v} AS {c}" for c, v in old.items())},
+             COALESCE(RoutingProfile = 'RP3', FALSE) AS InactiveInd,
+             CASE WHEN RoutingProfile = 'RP3' THEN 'closed' ELSE '' END AS InactiveReason
+      FROM ({latest("earlier")}))
+SELECT {", ".join(merged)}, t.InactiveInd, t.InactiveReason FROM t LEFT JOIN s ON {on}
+UNION ALL
+SELECT {", ".join(f"s.{c}" for c in biz)}, {", ".join(f"{new[c]} AS {c}" for c in stamps)}, FALSE, ''
+FROM s WHERE NOT EXISTS (SELECT 1 FROM t WHERE {on})
+"""
+
+
+def asof_oracle_sql(spec: FeedSpec) -> str:
+    cols = [f"{_cast_sql(c, 'wall', 'decimal', [])} AS {c}" for c in spec.columns]
+    utc = [f"{_UTC.format(c=c)} AS Utc{c}" for c in ("StartInterval", "EndInterval")]
+    wall = _WALL.format(c="StartInterval")
+    return f"""
+WITH stage AS ({_stage_sql(spec, plain=True)})
+SELECT ParentSystemId, SystemId, {", ".join(cols + utc)}, FileEffectiveDate, FileLoadAuditId, FALSE AS InactiveInd
+FROM stage WHERE {wall} BETWEEN TIMESTAMP '{ASOF_FROM}' AND TIMESTAMP '{ASOF_TO}'
+QUALIFY row_number() OVER (PARTITION BY ParentSystemId, {_ASOF_KEYS[spec.name]}
+                           ORDER BY FileEffectiveDate DESC, FileLoadAuditId DESC, LineNum DESC) = 1
 """
 
 
-def _query(spec: FeedSpec):
-    def q(spark: SparkSession, sf: str) -> DataFrame:
-        return run_feed_query(spark, sf, spec)
-    q.__name__ = f"m14_{spec.name}"
-    return q
+def _query(run, spec: FeedSpec):
+    return lambda spark, sf: run(spark, sf, spec)
 
 
-QUERIES = {f"M-14_{name}_feed": _query(spec) for name, spec in FEEDS.items()}
+QUERIES = {f"M-14_{name}_feed": _query(run_feed_query, spec) for name, spec in FEEDS.items()}
 ORACLES = {f"M-14_{name}_feed": feed_oracle_sql(spec) for name, spec in FEEDS.items()}
+QUERIES |= {f"F-01_{name}_asof": _query(run_asof_query, FEEDS[name]) for name in _ASOF_KEYS}
+ORACLES |= {f"F-01_{name}_asof": asof_oracle_sql(FEEDS[name]) for name in _ASOF_KEYS}
