@@ -10,9 +10,9 @@ Plan here, for a table of any size:
    'ME' snapshot exists): partial aggregation map-side; the result has one row
    per snapshot date, i.e. it grows with the calendar, not with the data;
 2. base facts and the per-month newest datekey from that small table;
-3. anchors = months whose prefix is one of the computed prefixes (at most one
-   row per prefix, so at most 24 rows: a proven bound), broadcast to a
-   left-semi join with the facts.
+3. the prefixes as rows, joined to the per-datekey table: anchors = months whose prefix
+   is one of them (at most one row per prefix, so at most 24 rows: a proven bound),
+   broadcast to a left-semi join with the facts.
 """
 
 from __future__ import annotations
@@ -76,16 +76,14 @@ def anchor_dates(facts: DataFrame, spec: AnchorSpec = AnchorSpec(),
     is_me = F.col("has_me") == 1
     # All base facts in one pass over the small per-datekey table; one row per
     # datekey, so max(struct(k, q)).q is "MAX(QuarterClosed) at the newest k".
-    base = keys.select(F.struct(
-        F.max(k).alias("max_any"),
+    newest = F.struct(k, F.col("max_quarter").alias("q"))
+    base = keys.agg(
         F.max(F.when(is_me, k)).alias("max_me"),
-        F.max(F.struct(k, F.col("max_quarter").alias("q")))["q"].alias("q_any"),
-        F.max(F.when(is_me, F.struct(k, F.col("max_quarter").alias("q"))))["q"].alias("q_me"),
-    )).scalar()
-    max_me = base["max_me"]
+        F.max(newest)["q"].alias("q_any"), F.max(F.when(is_me, newest))["q"].alias("q_me"))
+    max_me = F.col("max_me")
     # SUBSTR(MAX(QuarterClosed), -4, 2) at the newest datekey of any period / of 'ME'.
-    fy_any = base["q_any"].substr(-4, 2)
-    fy_me = base["q_me"].substr(-4, 2)
+    fy_any = F.col("q_any").substr(-4, 2)
+    fy_me = F.col("q_me").substr(-4, 2)
     year_me = max_me.cast("string").substr(1, 4).try_cast("bigint")
 
     prefixes = [_prefix_back(max_me, 3 * q) for q in spec.quarters_back]
@@ -95,11 +93,14 @@ def anchor_dates(facts: DataFrame, spec: AnchorSpec = AnchorSpec(),
     for d in (-1, 0, -2):
         prefixes += [_fy_prefix(fy_me, d, mm) for mm in ("12", "03", "06")]
 
-    # "LIKE 'yyyyMM%'" on the stringified key = equality of its first six characters.
+    # The one row of facts becomes the prefixes, at most one row each; "LIKE 'yyyyMM%'"
+    # on the stringified key is equality of its first six characters.
+    asked = base.select(F.explode(F.array(*prefixes)).alias("prefix"))
     months = (keys.select(k.cast("string").substr(1, 6).alias("prefix"), k)
-                  .where(F.col("prefix").isin(*prefixes))
+                  .join(asked, "prefix", "left_semi")
                   .groupBy("prefix").agg(F.max(k).alias(spec.key)))
-    fixed = keys.where(k.isin(*spec.fixed, max_me)).select(k)
+    single = base.select(F.explode(F.array(max_me, *[F.lit(f) for f in spec.fixed])).alias("__single"))
+    fixed = keys.select(k).join(single, k == F.col("__single"), "left_semi")
     return months.select(spec.key).unionByName(fixed).distinct()
 
 

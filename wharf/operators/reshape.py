@@ -42,36 +42,29 @@ def dim_lookup(df: DataFrame, dim: DataFrame, left_key: Column, right_key: str,
     return (df.join(right, left_key == F.col("__dim_key"), "left").drop("__dim_key"))
 
 
-def latest_value(name: str, df: DataFrame, key: Column, kind: str = "datekey") -> DataFrame:
-    """One freshness probe: (View_name, datekey) for one table (O-02 branch).
-
-    ``kind``: 'datekey' CAST(MAX(k) AS STRING); 'date' REPLACE(CAST(MAX(d) AS
-    STRING), '-', ''); 'fyq' MAX(FYQ). A global aggregate: partial max per task.
-    """
-    agg = F.max(key)
-    if kind == "date":
-        val = F.replace(agg.cast("string"), F.lit("-"), F.lit(""))
-    else:
-        val = agg.cast("string")
-    return df.select(F.lit(name).alias("View_name"), val.alias("datekey"))
-
-
 def data_as_of(probes: Mapping[str, tuple[DataFrame, Column, str]]) -> DataFrame:
-    """M-02/X-11 freshness table [View_name, datekey, Data_as_of].
+    """M-02/X-11 freshness table [View_name, datekey, Data_as_of] (O-02, A-05).
 
-    Datekey-like probes get 'End Of Mon yyyy', FYQ probes 'Qq Of 20yy';
-    grouped by (View_name, datekey) like the reference (A-05).
+    A probe is (table, key, kind); ``kind``: 'datekey' the maximum as text, 'date' a
+    date without its dashes, 'fyq' a quarter label. Datekey-like probes get 'End Of Mon yyyy',
+    FYQ probes 'Qq Of 20yy'. The probes of one DataFrame share one global
+    aggregate, so a table is read once however many views look at it.
     """
-    dk = [latest_value(n, df, k, kind) for n, (df, k, kind) in probes.items() if kind != "fyq"]
-    fy = [latest_value(n, df, k, kind) for n, (df, k, kind) in probes.items() if kind == "fyq"]
+    by_table: dict[int, tuple[DataFrame, list]] = {}
+    for name, (df, key, kind) in probes.items():
+        by_table.setdefault(id(df), (df, []))[1].append((name, key, kind))
     parts = []
-    if dk:
-        parts.append(union_all(dk).groupBy("View_name", "datekey")
-                     .agg(data_as_of_label(F.max("datekey")).alias("Data_as_of")))
-    if fy:
-        parts.append(union_all(fy).groupBy("View_name", "datekey")
-                     .agg(fyq_as_of_label(F.col("datekey")).alias("Data_as_of")))
-    return union_all(parts)
+    for df, asked in by_table.values():
+        tops = df.agg(*[F.max(key).alias(f"m{i}") for i, (_, key, _) in enumerate(asked)])
+        rows = []
+        for i, (name, _, kind) in enumerate(asked):
+            text = F.col(f"m{i}").cast("string")
+            if kind == "date":
+                text = F.replace(text, F.lit("-"), F.lit(""))
+            rows.append(F.struct(F.lit(name).alias("View_name"), text.alias("datekey"), F.lit(kind == "fyq").alias("fyq")))
+        parts.append(tops.select(F.inline(F.array(*rows))))
+    label = F.when(F.col("fyq"), fyq_as_of_label(F.col("datekey"))).otherwise(data_as_of_label(F.col("datekey")))
+    return union_all(parts).groupBy("View_name", "datekey").agg(F.max(label).alias("Data_as_of"))
 
 
 def kpi_freshness(kpis: DataFrame, timings: DataFrame, as_of: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ DuckDB oracle. Adapters map the generated tables onto the views' inputs."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from wharf.plans import views
 from wharf.plans.opportunity import reporting_status_date
 from wharf.plans.queries_marts import OPP_SQL, _fy, _rd
 from wharf.plans.testdata import _reporting_date, dec2, opportunity_snapshot, table
-from wharf.sources.layers import union_shards
+from wharf.session import delete_at_exit, shared_folder
+from wharf.sources.layers import read_shards, union_shards
 
 
 def _orders_geo(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,13 +145,15 @@ FROM a CROSS JOIN d LEFT JOIN m ON a.Market = m.market_description
 
 
 # --------------------------------------------------------------------------- D-10 view 7
-def layoffs_input(spark: SparkSession, sf: str) -> DataFrame:
-    g = _orders_geo(spark, sf)
+def _layoff_date() -> Column:
     ts = F.timestamp_add("HOUR", F.col("o_orderkey") % 24, _rd_col())
-    text = F.concat(casts.format_wall(ts, "dd-MMMM-yyyy HH:mm"),
+    return F.concat(casts.format_wall(ts, "dd-MMMM-yyyy HH:mm"),
                     F.when(F.hour(ts) < 12, F.lit("AM")).otherwise(F.lit("PM")))
-    return g.select(F.concat(F.lit(" "), F.col("n_name"), F.lit(" ")).alias("Primary_Market"),
-                    text.alias("Date"), F.year(_rd_col()).alias("year"),
+
+
+def layoffs_input(spark: SparkSession, sf: str) -> DataFrame:
+    return _orders_geo(spark, sf).select(F.concat(F.lit(" "), F.col("n_name"), F.lit(" ")).alias("Primary_Market"),
+                    _layoff_date().alias("Date"), F.year(_rd_col()).alias("year"),
                     (F.col("o_custkey") % 50).alias("count"),
                     casts.format_wall(_rd_col(), "yyyy-MM-dd").alias("DataAsOf"))
 
@@ -156,7 +161,9 @@ def layoffs_input(spark: SparkSession, sf: str) -> DataFrame:
 def d10_mom_flag(spark, sf):
     dim = table(spark, sf, "nation").select(F.col("n_name").alias("market_description"),
                                             F.col("n_nationkey").cast("bigint").alias("market_dim_key"))
-    return views.view7_mom_flag(layoffs_input(spark, sf), dim)
+    # Every order has its customer, nation and region, so orders alone hold all dates.
+    dates = table(spark, sf, "orders").select(_layoff_date().alias("Date"), F.year(_rd_col()).alias("year"))
+    return views.view7_mom_flag(layoffs_input(spark, sf), dim, dates)
 
 
 D10_SQL = f"""
@@ -265,8 +272,10 @@ def kpi_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
                     F.lit("Daily").alias("data_refresh_cycle"),
                     F.concat(F.lit("kpi_"), F.col("r_regionkey").cast("string")).alias("kpi"),
                     view.alias("view"))
-    timings = (_orders_geo(spark, sf).where(F.col("r_name") != "MIDDLE EAST")
-               .groupBy(F.concat(F.lit("feed_"), F.col("r_name")).alias("DataFeedName"))
+    # One region's feed goes by another name in the timings, so its KPI finds none.
+    feed = F.when(F.col("r_name") == "MIDDLE EAST", F.lit("other_")).otherwise(F.lit("feed_"))
+    timings = (_orders_geo(spark, sf)
+               .groupBy(F.concat(feed, F.col("r_name")).alias("DataFeedName"))
                .agg(F.max("o_orderdate").alias("DataLoadCompletionDTM"),
                     F.timestamp_add("HOUR", F.lit(1), F.max("o_orderdate")).alias("PBICompletionDTM")))
     return kpis, timings
@@ -283,9 +292,9 @@ k AS (SELECT r_name AS data_source, 'feed_' || r_name AS data_refresh_feed_sourc
              'kpi_' || CAST(r_regionkey AS VARCHAR) AS kpi,
              CASE r_regionkey % 3 WHEN 0 THEN 'orders_vw' WHEN 1 THEN 'industry_fyq_vw' ELSE 'missing_vw' END AS view
       FROM region),
-t AS (SELECT 'feed_' || r_name AS DataFeedName, max(o_orderdate) AS DataLoadCompletionDTM,
+t AS (SELECT CASE WHEN r_name = 'MIDDLE EAST' THEN 'other_' ELSE 'feed_' END || r_name AS DataFeedName, max(o_orderdate) AS DataLoadCompletionDTM,
              max(o_orderdate) + INTERVAL 1 HOUR AS PBICompletionDTM
-      FROM {_GEO_SQL} WHERE r_name <> 'MIDDLE EAST' GROUP BY 1)
+      FROM {_GEO_SQL} GROUP BY 1)
 SELECT k.data_source, k.data_refresh_feed_source_name, k.data_refresh_cycle, k.kpi, k.view,
        dk.Data_as_of, t.DataLoadCompletionDTM, t.PBICompletionDTM
 FROM k LEFT JOIN t ON k.data_refresh_feed_source_name = t.DataFeedName
@@ -413,15 +422,18 @@ FROM t
 
 # --------------------------------------------------------------------------- D-22 wildcard union
 def d22_wildcard_union(spark, sf):
-    li = table(spark, sf, "lineitem")
-    shards = [li.where(F.col("l_returnflag") == f).withColumn("shard", F.lit(f)) for f in ("A", "N")]
-    shards.append(li.where(F.col("l_returnflag") == "R").drop("l_tax").withColumn("shard", F.lit("R")))
-    return union_shards(shards)
+    """All shards of a table partitioned by its suffix, whatever the suffixes are (NULL too);
+    the shard 'R' comes from before the tax column."""
+    root = f"{shared_folder(spark)}/wharf-tables/shards-{uuid.uuid4().hex}"
+    table(spark, sf, "lineitem").withColumn("shard", F.col("l_returnflag")).write.partitionBy("shard").parquet(root)
+    delete_at_exit(spark, root)
+    shards, old = read_shards(spark, root), F.col("shard").eqNullSafe("R")
+    return union_shards([shards.where(~old), shards.where(old).drop("l_tax")])
 
 
 D22_SQL = """
 SELECT * REPLACE (CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_tax END AS l_tax), l_returnflag AS shard
-FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R')
+FROM lineitem
 """
 
 

@@ -100,10 +100,14 @@ def view6_max_year_flag(outlook: DataFrame) -> DataFrame:
                           flag.cast("int").alias("Flag"))
 
 
-def view7_mom_flag(layoffs: DataFrame, market_dim: DataFrame) -> DataFrame:
-    """M-10 / X-07: month of the newest parsed date and max year; prior month -> 2."""
+def view7_mom_flag(layoffs: DataFrame, market_dim: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """M-10 / X-07: month of the newest parsed date and max year; prior month -> 2.
+
+    ``dates``: a table with the same Date and year values (default: ``layoffs``), for
+    callers whose layoffs are a join that need not run twice for two maxima.
+    """
     parsed = casts.parse_day_month_name(F.col("Date"))
-    tops = scalar(layoffs, F.struct(F.month(F.max(parsed)).alias("m"), F.max("year").alias("y")))
+    tops = scalar(layoffs if dates is None else dates, F.struct(F.month(F.max(parsed)).alias("m"), F.max("year").alias("y")))
     maxmonth, maxyear = tops["m"], tops["y"]
     m = F.month(parsed)
     at_year = F.col("year") == maxyear

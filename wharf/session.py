@@ -86,7 +86,11 @@ def materialize(df, name: str = "table", compression: str = "snappy"):
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/wharf-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").option("compression", compression).parquet(path)
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    delete_at_exit(spark, path)
     return spark.read.parquet(path)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Scratch of this session: deleted when its file system closes."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
