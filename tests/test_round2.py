@@ -167,3 +167,35 @@ def test_newer_file_of_one_trigger_wins(spark, tmp_dir):
     assert [r.FirstName for r in got] == ["newer"]
     audits = spark.read.parquet(f"{tmp_dir}/snap").select("FileLoadAuditId").distinct().count()
     assert audits == 2
+
+
+def test_folders_go_to_their_feeds(spark):
+    from wharf.sources.stage import route_to_feed
+    df = spark.createDataFrame([("Agent - Daily",), ("Login",), (None,)], "folder string")
+    rules = {"Agent - Daily": "AgentDaily", "Login": "LoginDaily"}
+    got = [r[0] for r in df.select(route_to_feed(rules, F.col("folder"), "Other")).collect()]
+    assert got == ["AgentDaily", "LoginDaily", "Other"]
+    with pytest.raises(PySparkException):
+        df.select(route_to_feed(rules, F.col("folder"))).collect()
+
+
+def test_run_audit_starts_and_finishes(spark):
+    from wharf.sources.layers import run_finished, run_started
+    started = run_started(spark, 7, "daily", [(3462, 3464), (3463, 3465)])
+    assert all(r.LastCompletedDate is None for r in started.collect())
+    summary = spark.createDataFrame([(3462, 3464, 3)], "ParentSystemId bigint, SystemId bigint, rejected bigint")
+    rows = {r.SystemId: r for r in run_finished(started, summary).collect()}
+    assert rows[3464].InactiveReason == "3 rows rejected" and rows[3465].InactiveReason == ""
+    assert all(r.LastCompletedDate is not None for r in rows.values())
+    failed = run_finished(started, failure="load failed").collect()
+    assert all(r.LastCompletedDate is None and r.InactiveReason == "load failed" for r in failed)
+
+
+def test_freshness_reads_a_table_once(spark):
+    from wharf.operators.reshape import data_as_of
+    df = spark.range(5).selectExpr("20240801 + id AS k", "date'2024-09-01' AS d")
+    probes = {"a": (df, F.col("k"), "datekey"), "b": (df, F.col("d"), "date")}
+    out = data_as_of(probes)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1
+    assert {r.View_name: r.datekey for r in out.collect()} == {"a": "20240805", "b": "20240901"}

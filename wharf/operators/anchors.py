@@ -10,9 +10,9 @@ Plan here, for a table of any size:
    'ME' snapshot exists): partial aggregation map-side; the result has one row
    per snapshot date, i.e. it grows with the calendar, not with the data;
 2. base facts and the per-month newest datekey from that small table;
-3. the prefixes as rows, joined to the per-datekey table: anchors = months whose prefix
-   is one of them (at most one row per prefix, so at most 24 rows: a proven bound),
-   broadcast to a left-semi join with the facts.
+3. anchors = months whose prefix is in the computed list, one scalar subquery (at most
+   one row per prefix, so at most 24 rows: a proven bound), broadcast to a left-semi
+   join with the facts.
 """
 
 from __future__ import annotations
@@ -93,14 +93,14 @@ def anchor_dates(facts: DataFrame, spec: AnchorSpec = AnchorSpec(),
     for d in (-1, 0, -2):
         prefixes += [_fy_prefix(fy_me, d, mm) for mm in ("12", "03", "06")]
 
-    # The one row of facts becomes the prefixes, at most one row each; "LIKE 'yyyyMM%'"
-    # on the stringified key is equality of its first six characters.
-    asked = base.select(F.explode(F.array(*prefixes)).alias("prefix"))
+    # One scalar subquery holds the finished list, at most one prefix per anchor; "LIKE
+    # 'yyyyMM%'" on the stringified key is equality of its first six characters.
+    asked = base.select(F.struct(F.array(*prefixes).alias("prefixes"),
+                                 F.array(max_me, *[F.lit(f) for f in spec.fixed]).alias("single"))).scalar()
     months = (keys.select(k.cast("string").substr(1, 6).alias("prefix"), k)
-                  .join(asked, "prefix", "left_semi")
+                  .where(F.array_contains(asked["prefixes"], F.col("prefix")))
                   .groupBy("prefix").agg(F.max(k).alias(spec.key)))
-    single = base.select(F.explode(F.array(max_me, *[F.lit(f) for f in spec.fixed])).alias("__single"))
-    fixed = keys.select(k).join(single, k == F.col("__single"), "left_semi")
+    fixed = keys.select(k).where(F.array_contains(asked["single"], k))
     return months.select(spec.key).unionByName(fixed).distinct()
 
 

@@ -51,6 +51,15 @@ def d14_allocate(spark: SparkSession, sf: str) -> DataFrame:
                             "ISS_IndustrySegment": "IndustrySegment"})
 
 
+def d29_wide_amounts(spark: SparkSession, sf: str) -> DataFrame:
+    """L-01 with amounts of up to 19 digits before the point."""
+    amount = dec2(F.col("l_extendedprice")) * F.lit(10 ** 13).cast("decimal(14,0)")
+    return allocate(table(spark, sf, "lineitem"), part_shares(spark, sf), on=[("l_partkey", "p_partkey")],
+                    measures={"revenue": amount.cast("decimal(30,2)")},
+                    group_by=["ISS_IndustryGroup", "l_returnflag"],
+                    share_col="IndustrySubSegment_Percentage", labels={"ISS_IndustryGroup": "IndustryGroup"})
+
+
 def d15_opportunity_mart(spark: SparkSession, sf: str) -> DataFrame:
     mart = opportunity_mart(opportunity_snapshot(spark, sf), opportunity_shares(spark, sf),
                             market_mapping(spark, sf))
@@ -203,6 +212,16 @@ FROM lineitem l LEFT JOIN shares s ON l.l_partkey = s.p_partkey
 GROUP BY 1, 2, 3
 """
 
+# Shares in tenths (6 and 4, or 10 where there is none), amounts in cents: whole numbers throughout.
+D29_SQL = """
+SELECT COALESCE(p_brand, 'Other') AS ISS_IndustryGroup, l_returnflag,
+       CAST(SUM(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) * COALESCE(tenths, 10))::HUGEINT
+            * 10000000000::HUGEINT AS DECIMAL(38,9)) AS revenue
+FROM lineitem LEFT JOIN (SELECT p_partkey, p_brand, unnest([6, 4]) AS tenths FROM part WHERE p_size > 10)
+  ON l_partkey = p_partkey
+GROUP BY 1, 2
+"""
+
 _SUMS = ",\n  ".join(
     f"CAST(SUM(CAST(CAST({src} AS DECIMAL(24,9)) * CAST(COALESCE(IndustrySubSegment_Percentage, 1)"
     f" AS DECIMAL(13,9)) AS DECIMAL(38,9))) AS DECIMAL(38,9)) AS {out}" for src, out in MEASURES)
@@ -264,11 +283,13 @@ QUERIES = {
     "D-12_fiscal_label": d12_fiscal_label,
     "D-13_anchor_select": d13_anchor_select,
     "D-14_allocate": d14_allocate,
+    "D-29_wide_amounts": d29_wide_amounts,
     "D-15_opportunity_mart": d15_opportunity_mart,
 }
 ORACLES = {
     "D-12_fiscal_label": D12_SQL,
     "D-13_anchor_select": D13_SQL,
     "D-14_allocate": D14_SQL,
+    "D-29_wide_amounts": D29_SQL,
     "D-15_opportunity_mart": D15_SQL,
 }

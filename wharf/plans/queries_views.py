@@ -585,6 +585,34 @@ SELECT o_orderpriority AS ServiceGroup, r_name AS Market,
 FROM {_GEO_SQL} GROUP BY 1, 2
 """
 
+# --------------------------------------------------------------------------- D-28 whole dates only
+def d28_whole_dates(spark, sf):
+    """T-07, T-09, P-05 on texts that a lenient cast would take: a time of day, a year, a
+    month, a space for the T, a leading tab."""
+    k = F.col("o_orderkey")
+    ts = F.timestamp_add("HOUR", k % 24, F.col("o_orderdate"))
+    iso_text, clock = casts.format_wall(ts, "yyyy-MM-dd'T'HH:mm:ss"), casts.format_wall(ts, "HH:mm")
+    forms = (F.concat(iso_text, F.lit("-05:00")), clock, F.year(ts).cast("string"), casts.format_wall(ts, "yyyy-MM"),
+             casts.format_wall(ts, "yyyy-MM-dd HH:mm:ss"), F.concat(F.lit("T"), clock, F.lit(":00")),
+             F.concat(F.lit("\t"), iso_text))
+    priority = F.when(k % 3 == 0, F.lit("")).otherwise(F.col("o_orderpriority"))
+    df = table(spark, sf, "orders").select(
+        k, F.element_at(F.array(*forms), (k % len(forms) + 1).cast("int")).alias("s"),
+        F.concat(F.lit("\t "), priority, F.lit(" \n")).alias("p"))
+    return df.select("o_orderkey", casts.wall_datetime("s").alias("wall"), casts.utc_datetime("s").alias("utc"),
+                     casts.normalize_blank_to_empty(F.col("p")).alias("priority"))
+
+
+D28_SQL = """
+SELECT o_orderkey,
+       CASE WHEN o_orderkey % 7 = 0 THEN o_orderdate + to_hours(o_orderkey % 24) END AS wall,
+       CASE o_orderkey % 7 WHEN 0 THEN o_orderdate + to_hours(o_orderkey % 24 + 5)
+                           WHEN 4 THEN o_orderdate + to_hours(o_orderkey % 24) END AS utc,
+       CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS priority
+FROM orders
+"""
+
+
 QUERIES = {
     "D-07_period_flag_qoq": d07_period_flag_qoq,
     "D-08_lookback_price_flag": d08_lookback_price_flag,
@@ -604,6 +632,7 @@ QUERIES = {
     "D-25_reporting_date": d25_reporting_date,
     "D-26_plan_projection": d26_plan_projection,
     "D-27_wins_projection": d27_wins_projection,
+    "D-28_whole_dates": d28_whole_dates,
 }
 ORACLES = {
     "D-07_period_flag_qoq": D07_SQL,
@@ -624,4 +653,5 @@ ORACLES = {
     "D-25_reporting_date": D25_SQL,
     "D-26_plan_projection": D26_SQL,
     "D-27_wins_projection": D27_SQL,
+    "D-28_whole_dates": D28_SQL,
 }

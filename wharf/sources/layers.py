@@ -141,6 +141,38 @@ def run_audit(summary: DataFrame, run_id: int, job: str, scheduled_at: Column |
     )
 
 
+def run_started(spark: SparkSession, run_id: int, job: str, systems: Sequence[tuple[int, int]],
+                scheduled_at: Column | None = None, now: Column | None = None) -> DataFrame:
+    """S-09 the rows that open a run: one per (ParentSystemId, SystemId), not completed."""
+    now = F.current_timestamp() if now is None else now
+    return spark.createDataFrame(list(systems), "ParentSystemId bigint, SystemId bigint").select(
+        F.lit(run_id).cast("bigint").alias("RunId"), F.lit(job).alias("JobName"),
+        (scheduled_at if scheduled_at is not None else now).alias("ScheduledStartDate"),
+        "ParentSystemId", "SystemId", F.lit(None).cast("timestamp").alias("LastCompletedDate"),
+        F.lit(None).cast("string").alias("InactiveReason"))
+
+
+def run_finished(started: DataFrame, summary: DataFrame | None = None, failure: str | None = None,
+                 now: Column | None = None) -> DataFrame:
+    """S-09 the same rows at the end of the run.
+
+    On success every system is completed, with the number of rejected rows of its V-05
+    ``summary`` as the reason (a system without rows has none); with ``failure`` the
+    rows stay uncompleted and carry its text.
+    """
+    if failure is not None:
+        return started.withColumn("InactiveReason", F.lit(failure))
+    now = F.current_timestamp() if now is None else now
+    done = started.drop("InactiveReason").withColumn("LastCompletedDate", now.cast("timestamp"))
+    if summary is None:
+        return done.withColumn("InactiveReason", F.lit(""))
+    keys = ["ParentSystemId", "SystemId"]
+    n = F.coalesce(F.col("rejected"), F.lit(0))
+    reason = F.when(n > 0, F.concat(n.cast("string"), F.lit(" rows rejected"))).otherwise(F.lit(""))
+    return done.join(summary.select(*keys, "rejected"), keys, "left").select(
+        "RunId", "JobName", "ScheduledStartDate", *keys, "LastCompletedDate", reason.alias("InactiveReason"))
+
+
 def replace_partitions(df: DataFrame, path: str, partition_cols: Sequence[str]) -> list[str]:
     """Write ``df`` partitioned to a fresh folder, then move each written
     partition folder into ``path``, replacing the folder it supersedes.

@@ -7,9 +7,9 @@ glob mask; no driver-side loops over files.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,3 +88,16 @@ def with_line_numbers(raw: DataFrame) -> DataFrame:
 def route_by_folder(df_path_col: str = "_metadata.file_path", pattern: str = r"/([^/]+)/[^/]+$"):
     """S-02 sheet/feed routing: the feed name is the file's parent folder."""
     return F.regexp_extract(F.col(df_path_col), pattern, 1)
+
+
+def route_to_feed(rules: Mapping[str, str], folder: Column | None = None, fallback: str | None = None) -> Column:
+    """S-02 feed name of a row by its sheet or folder name and a table of rules.
+
+    A name without a rule goes to ``fallback``; without one it is an error, so no file
+    is loaded under a wrong feed or left out silently.
+    """
+    folder = route_by_folder() if folder is None else folder
+    table = F.create_map(*[F.lit(v) for pair in rules.items() for v in pair])
+    other = (F.lit(fallback) if fallback is not None else
+             F.raise_error(F.concat(F.lit("no feed for "), F.coalesce(folder, F.lit("NULL")))).cast("string"))
+    return F.coalesce(F.try_element_at(table, folder), other)
