@@ -432,6 +432,22 @@ def test_near_copies(spark, docs, empty, rows):
     assert near_copies.near_copies(empty).count() == 0
 
 
+def test_one_near_copy_stays(spark):
+    """Also where doc_ids are null or repeat inside and across components."""
+    rng = random.Random(9)
+    made, part = [], {}
+    for c, ids in enumerate([[5, 5, 7], [3, 5, None], [None, None], [None, 4, 4], [5], [None]]):
+        w = [f"c{c}w{k}" for k in range(200)]
+        for i in ids:
+            w[rng.randrange(200)] = f"e{len(made)}"
+            made.append((i, " ".join(w)))
+            part[made[-1][1]] = c
+    made.append(made[0])
+    left = near_copies.drop_near_copies(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((part[r.text], r.doc_id) for r in left if part[r.text] not in (2, 5)) == [(0, 5), (1, 3), (3, 4), (4, 5)]
+    assert [r.doc_id for r in left if part[r.text] in (2, 5)] == [None, None] and len(left) == 6
+
+
 def test_pipeline(spark, rows, tmp_path):
     docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     item = rows[30][1]
