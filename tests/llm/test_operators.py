@@ -331,6 +331,21 @@ def test_mixing(docs, empty, rows):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_mixing_deals_repeated_ids(spark, monkeypatch):
+    """Rows of one source with null or equal doc_ids are dealt to groups like any others."""
+    monkeypatch.setattr(mixing, "GROUP", 50)
+    sizes = []
+    monkeypatch.setattr(mixing, "materialize", lambda df, name="t", real=mixing.materialize: (
+        sizes.extend(r[0] for r in df.groupBy("source_no", "bucket").count().select("count").collect())
+        if name == "mix-level" else None, real(df, name))[1])
+    made = [(None if i % 2 else 7, "a", " ".join(["w"] * (1 + i % 9) + [f"t{i % 300}"])) for i in range(2000)]
+    docs = spark.createDataFrame(made + [(i, "b", "b " * 3) for i in range(400)], "doc_id long, source string, text string")
+    out = mixing.mix(docs).collect()
+    assert len(out) == 2400 and sizes and max(sizes) <= 100
+    key = lambda r: (str(r.doc_id), r.source, r.size, r.taken)
+    assert sorted(map(key, out)) == sorted(map(key, mixing.mix(docs.repartition(5)).collect()))
+
+
 def test_pivotal_keeps_words_and_expectations():
     rng = np.random.default_rng(1)
     size, p = np.array([5, 9, 2, 7, 30]), np.array([0.3, 0.5, 0.9, 0.2, 0.4])

@@ -116,11 +116,22 @@ def _settle_last(pdf: pd.DataFrame) -> pd.DataFrame:
     return out.assign(extra=extra)
 
 
+def _dealt(rows: DataFrame, seed: int) -> DataFrame:
+    """The fractional rows with key and first-level bucket, by a hash of all that tells rows
+    apart and a number among those equal in it: null or repeated doc_ids spread as well."""
+    same = Window.partitionBy("source_no", "doc_id", "size", "_hash").orderBy("_row")
+    told = [F.coalesce("doc_id", F.lit(-1)), "size", "_hash", "_copy"]
+    groups = F.ceil(F.col("rows") / GROUP).cast("long")
+    return (rows.where((F.col("p") > 0) & (F.col("size") > 0)).withColumn("_copy", F.row_number().over(same))
+            .select("_row", F.xxhash64(F.lit(seed), *told).alias("_key"), "size", "p", "source_no",
+                    F.pmod(F.xxhash64(*told, F.lit(seed)), groups).alias("bucket")))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIMIT, seed: int = 7,
         extra_columns: tuple = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every document."""
     sized = materialize(docs.select("doc_id", "source", size_of(text_of()).alias("size"),
-                                    F.monotonically_increasing_id().alias("_row"), *extra_columns), "mix-sizes")
+                                    F.xxhash64(text_of()).alias("_hash"), F.monotonically_increasing_id().alias("_row"), *extra_columns), "mix-sizes")
     per = materialize(targets(sized, weights, share, limit), "mix-targets")
     most = per.agg(F.max("rows")).first()[0] or 0
     per = per.withColumnRenamed("source", "_source")
@@ -128,10 +139,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIM
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = (joined.withColumn("_e", expected).withColumn("whole", F.floor("_e").cast("int"))
             .withColumn("p", F.col("_e") - F.col("whole")))
-    key = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "size")
-    groups = F.ceil(F.col("rows") / GROUP).cast("long")
-    fractions = rows.where((F.col("p") > 0) & (F.col("size") > 0)).select(
-        "_row", key.alias("_key"), "size", "p", "source_no", F.pmod(F.xxhash64("doc_id", F.lit(seed)), groups).alias("bucket"))
+    fractions = _dealt(rows, seed)
     decided, width = None, -(-most // GROUP)
     while True:
         step = _settle if width > 1 else _settle_last
