@@ -274,6 +274,16 @@ def test_decontamination(spark, docs, empty):
     assert decontam.find_contaminated(mine, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["слово и дело " * 100, "λόγος " * 300, "漢字" * 1200, "क्या है " * 150, "plain words " * 150])
+def test_shards_in_any_alphabet(spark, text):
+    """The words and characters of a shard are bounded whatever the alphabet."""
+    items = spark.createDataFrame([(i, f"{text} {i}") for i in range(40)], "item_id long, text string")
+    dealt, shards = decontam._shards(items, 1000)
+    assert shards >= 12
+    held = collections.Counter(r.shard for r in dealt.collect())
+    assert max(held.values()) <= 12 and sum(held.values()) == 40
+
+
 def test_substring_dedup(docs, empty, rows):
     first = {}
     for i, text, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):

@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from wharf.llm.common import text_of
 from wharf.session import materialize
@@ -33,6 +34,8 @@ from wharf.session import materialize
 SEED = 5
 THRESHOLD = 0.5
 SHARD_WORDS = 2_000_000
+#: This many characters weigh as much as a word, so that long words bound a shard as well.
+WORD_CHARS = 8
 
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -158,11 +161,18 @@ class Shard:
                     yield self.items[k], tiled, n
 
 
+@F.pandas_udf(LongType())
+def _weight(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Words as the operator sees them, or characters / WORD_CHARS where that is more."""
+    for texts in batches:
+        yield pd.Series([max(1, len(words(t)), -(-len(t) // WORD_CHARS)) for t in texts], dtype="int64")
+
+
 def _shards(benchmark: DataFrame, shard_words: int) -> tuple[DataFrame, int]:
-    """Items (as rows) with a shard number: at most about ``shard_words`` words each,
-    but for an item that is longer by itself."""
+    """Items (as rows) with a shard number: at most about ``shard_words`` words (and
+    ``WORD_CHARS`` times as many characters) each, but for an item that is longer by itself."""
     items = materialize(benchmark.select("item_id", text_of().alias("text"))
-                        .withColumn("n", F.greatest(F.regexp_count("text", F.lit(r"\w+")), F.lit(1))), "items")
+                        .withColumn("n", _weight("text")), "items")
     total = items.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // shard_words))
     return items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))), shards
