@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from wharf.llm import decontam, mixing, near_copies, pii, simhash
+from wharf.llm import decontam, mixing, pii, simhash
 from wharf.llm.components import components
 from wharf.llm.exact_dedup import drop_exact_copies, exact_dedup
 from wharf.llm.license_scan import scan_licenses
@@ -424,51 +424,17 @@ def test_links_of_dense_clusters(spark, group):
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
 
 
-def _shingle_set(text):
-    w = _norm(text).encode().split()
-    return {b" ".join(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-
-
-def _near(a, b):
-    return 5 * len(a & b) >= 4 * len(a | b)
-
-
-def test_near_copies(spark, docs, empty, rows):
-    """Every pair of 5-word Jaccard >= 0.8 is connected, as by brute force."""
-    rng = random.Random(8)
-    made = [(r[0], r[1]) for r in rows if r[0] is not None]
-    for i in range(30):                                                       # chains of edits, around the bound
-        w = [f"v{rng.randrange(3000)}" for _ in range(rng.randint(40, 400))]
-        for _ in range(4):
-            made.append((10_000 + len(made), " ".join(w)))
-            for _ in range(rng.randint(1, max(1, len(w) // 40))):
-                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
-    sets = [_shingle_set(t) for _, t in made]
-    classes = _classes([(a, b) for a in range(len(made)) for b in range(a) if _near(sets[a], sets[b])], len(made))
-    smallest = {}
-    for (i, _), c in zip(made, classes):
-        smallest[c] = min(smallest.get(c, i), i)
-    table = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
-    got = near_copies.near_copies(table).collect()
-    assert collections.Counter((r.doc_id, r.component_id) for r in got) == \
-        collections.Counter((i, smallest[c]) for (i, _), c in zip(made, classes))
-    left = corpus_pipeline.simhash_near_dedup(spark, table, "").collect()
-    assert {r.doc_id for r in left} == set(smallest.values())
-    assert near_copies.near_copies(empty).count() == 0
-
-
 def test_one_near_copy_stays(spark):
     """Also where doc_ids are null or repeat inside and across components."""
-    rng = random.Random(9)
     made, part = [], {}
     for c, ids in enumerate([[5, 5, 7], [3, 5, None], [None, None], [None, 4, 4], [5], [None]]):
-        w = [f"c{c}w{k}" for k in range(200)]
+        w = [f"c{c}w{k}" for k in range(4000)]
         for i in ids:
-            w[rng.randrange(200)] = f"e{len(made)}"
+            w[3999] = f"e{len(made)}"
             made.append((i, " ".join(w)))
             part[made[-1][1]] = c
     made.append(made[0])
-    left = near_copies.drop_near_copies(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect()
+    left = simhash.drop_near_duplicates(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect()
     assert sorted((part[r.text], r.doc_id) for r in left if part[r.text] not in (2, 5)) == [(0, 5), (1, 3), (3, 4), (4, 5)]
     assert [r.doc_id for r in left if part[r.text] in (2, 5)] == [None, None] and len(left) == 6
 

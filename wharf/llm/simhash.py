@@ -124,18 +124,45 @@ def links_of(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS
     return pairs.unionByName(searched).distinct()
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """(_fp, root): the component of every fingerprint of ``rows``, named by one of them."""
+    distinct = materialize(rows.select("fp").distinct(), "fingerprint-classes")
+    roots = components(materialize(links_of(distinct), "simhash-links"))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
+        F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (signed long), component_id of every document."""
     rows = materialize(docs.select("doc_id", fingerprint(text_of()).alias("fp")), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
-    links = materialize(links_of(distinct.select("fp")), "simhash-links")
-    roots = components(links)
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    rooted = materialize(distinct.join(_classes(rows), F.col("fp") == F.col("_fp")).select("_fp", "root", "first"),
+                         "rooted")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id")
+    classes = rooted.join(smallest, "root").select("_fp", "component_id")
     return rows.join(classes, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` (all columns) with one row of each component.
+
+    It is the row of the smallest doc_id (null only if there is no other), then of the
+    smallest text hash; of rows that repeat both, one stays.
+    """
+    rows = materialize(docs.select("doc_id", F.xxhash64(text_of()).alias("hash"), fingerprint(text_of()).alias("fp")),
+                       "fingerprints")
+    # One candidate per fingerprint first, so that copies never meet in the join.
+    candidate = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    best = rows.groupBy("fp").agg(F.min(candidate).alias("c"))
+    kept = materialize(best.join(_classes(rows), F.col("fp") == F.col("_fp")).groupBy("root").agg(F.min("c").alias("c"))
+                       .select(F.col("c.doc_id").alias("id"), F.col("c.hash").alias("hash")), "near-kept")
+    whole = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("hash"), F.struct("*").alias("row"))
+    same = whole["id"].eqNullSafe(kept["id"]) & (whole["hash"] == kept["hash"])
+    out = whole.join(kept, same, "left_semi")
+    if rows.groupBy("doc_id", "hash").count().where("count > 1").head(1):
+        out = out.dropDuplicates(["id", "hash"])
+    return out.select("row.*")
+
+
 def hexed(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
