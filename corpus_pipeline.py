@@ -15,7 +15,7 @@ from wharf.llm.common import table
 from wharf.llm.decontam import drop_contaminated
 from wharf.llm.exact_dedup import drop_exact_copies
 from wharf.llm.mixing import mixed_documents
-from wharf.llm.near_copies import drop_near_copies
+from wharf.llm.simhash import drop_near_duplicates
 from wharf.llm.toxicity import drop_toxic
 from wharf.session import materialize
 
@@ -31,8 +31,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (5-word Jaccard >= 0.8) the smallest doc_id stays."""
-    return drop_near_copies(docs)
+    """Of each component of near copies (4-word SimHash within 4 bits) the smallest doc_id stays."""
+    return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
