@@ -150,16 +150,18 @@ def test_plan_uses_every_piece(max_gap):
         assert set(filled) == set(range(places.sequences))
 
 
-@pytest.mark.parametrize("window", [packing.WINDOW, 64])
-def test_pack_round_trip(spark, window):
+@pytest.mark.parametrize("window, name", [(packing.WINDOW, "word_bpe_49k.json"), (64, "word_bpe_49k.json"),
+                                          (64, "byte_bpe_50k.json")])
+def test_pack_round_trip(spark, window, name):
     rng = random.Random(5)
-    path = public_tokenizers.path("word_bpe_49k.json")
-    vocab = ["word", "Été", "naïve", "日本", "it's", "<|endoftext|>", "\u0085x", "a\u001cb", "é", "́", "x1y22", "☂" * 90]
+    path, by_words = public_tokenizers.path(name), name.startswith("word")
+    vocab = ["word", "Été", "naïve", "日本", "it's", "<|endoftext|>", "\u0085x", "a\u001cb", "é", "́", "x1y22", "☂" * 90, "J\u030c.", "Wort!?", "<|ENDOFTEXT|>",
+             "a<|startoftext|>.", "it's.", "12.", "e\u0301.", "...", "É.", "a\u00ad,", "Straße;"]
     made = [(i, rng.choice([" ", "\n", "\t "]).join(rng.choices(vocab, k=rng.randint(1, 400)))) for i in range(120)]
     made += [(200, None), (201, ""), (202, " \n"), (None, "null id"), (203, "long " * 9000)]
     made += made[:3]
     docs = spark.createDataFrame([(*r, "x", "y", 1, "z", 2, 3) for r in made], SCHEMA).repartition(4)
-    got = packing.pack(docs, path, window).collect()
+    got = packing.pack(docs, path, window, by_words=by_words).collect()
     tokenizer = Tokenizer.from_file(path)
     ids = {t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for _, t in made}
     pieces = collections.defaultdict(list)
@@ -182,7 +184,7 @@ def test_pack_round_trip(spark, window):
             assert off == at
             at += size
         assert at == window or at.bit_count() == 1 and at < window
-    assert packing.pack(docs.limit(0), path, window).count() == 0
+    assert packing.pack(docs.limit(0), path, window, by_words=by_words).count() == 0
 
 
 # --------------------------------------------------------------------------- whitening

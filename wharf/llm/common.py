@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +31,9 @@ def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id (null included) is in ``ids``; all columns."""
     ids = ids.select(F.col("doc_id").alias("_keep_id")).distinct()
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_keep_id"]), "left_semi")
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All of starts[0]..starts[0]+lengths[0]-1, then of starts[1].. in one array."""
+    before = np.cumsum(lengths) - lengths
+    return np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths)

@@ -18,31 +18,38 @@ added up, make the numbers consecutive over all tasks, and a number names its pl
 in the plan. Texts are tokenized once and only remainders are joined.
 
 Defined results: null and empty texts are the end id alone; repeated ids and texts
-are separate rows, each with its own pieces; very long texts are encoded in blocks
-of words; an empty table gives an empty result; columns other than doc_id and text
+are separate rows, each with its own pieces; very long texts are encoded alone, memory grows
+with the longest text; an empty table gives an empty result; columns other than doc_id and text
 are not read.
 """
 
 from __future__ import annotations
 
 import os
+import sys
+import types
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wharf.llm.common import ranges
 from wharf.session import materialize
 
 WINDOW = 2048
 END_ID = 1
 LENGTHS_PER_SOLVE = 64
-#: Words whose ids a task remembers, and words encoded at a time.
-CACHED_WORDS = 400_000
-_BLOCK = 100_000
+#: About how many words a worker remembers with their ids.
+CACHED_WORDS = 1_000_000
+#: Bytes of the texts that are encoded at a time (a longer text is encoded alone).
+_BLOCK = 1 << 22
+_ENCODED = 500
 _LONG_WORD = 64
 _RANKS = 40
 
@@ -217,63 +224,114 @@ class Places:
 
 # --------------------------------------------------------------------------- Spark
 
-def _encoder(path: str):
+def _worker_state() -> dict:
+    """Lives as long as the Python worker, over its tasks: functions travel by value, their globals don't."""
+    return sys.modules.setdefault("_wharf_packing", types.ModuleType("_wharf_packing")).__dict__
+
+
+def _encoder(path: str, by_words: bool):
+    """A function from words to their ids (little-endian bytes)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[bytes, bytes] = {}
-
-    def ids(words: list[bytes]) -> list[bytes]:
-        got = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
-
-    def encode(text: bytes) -> bytes:
-        """Little-endian ids. No token spans white space, so words can be encoded apart."""
-        words, out = text.split(), []
-        for at in range(0, len(words), _BLOCK):
-            block = words[at:at + _BLOCK]
-            new = [w for w in dict.fromkeys(block) if w not in known]
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(block))
-            known.update(zip(new, ids(new)))
-            out += [known[w] for w in block]
-            for w in new:
-                if len(w) > _LONG_WORD:
-                    del known[w]
-        return b"".join(out)
+    state = _worker_state()
+    if state.get("path") != (path, by_words):
+        state.update(path=(path, by_words), tokenizer=Tokenizer.from_file(path), known={})
+    tokenizer, known = state["tokenizer"], state["known"]
+    special = [t.content.lower().encode() for t in tokenizer.get_added_tokens_decoder().values()]
+
+    # Where the vocabulary's own rules leave lower-case letters as they are, these go to its model at once.
+    kept = by_words and tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str("word"))
+    plain = kept == [("word", (0, 4))]
+
+    def ids_of(parts: list[bytes]) -> dict[bytes, bytes]:
+        out, rest = {}, []
+        for p in parts:
+            if plain and p.isalpha() and p.isascii() and p.islower():
+                out[p] = array("I", [t.id for t in tokenizer.model.tokenize(p.decode())]).tobytes()
+            else:
+                rest.append(p)
+        for at in range(0, len(rest), _ENCODED):
+            some = rest[at:at + _ENCODED]
+            got = tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)
+            out.update((p, array("I", e.ids).tobytes()) for p, e in zip(some, got))
+        return out
+
+    def parts_of(word: bytes) -> tuple[bytes, ...]:
+        """The word without case (ASCII alone) and closing punctuation, which is a token run of its own."""
+        low = word.lower()
+        if any(s in low for s in special):
+            return (word,)
+        stem = low.rstrip(b".,;:!?")
+        if not low.isascii():
+            low, stem = word, word[:len(stem)]
+        return (stem, low[len(stem):]) if len(stem) < len(low) and stem[-1:].isalnum() else (low,)
+
+    def encode(words: list[bytes]) -> list[bytes]:
+        """Ids of different words (or, not ``by_words``, of texts)."""
+        if not by_words:
+            return list(map(ids_of(words).__getitem__, words))
+        new = {w: parts_of(w) for w in set(words).difference(known)}
+        parts = list({p for own in new.values() for p in own}.difference(known))
+        known.update(ids_of(parts))
+        for w, own in new.items():
+            if w not in known:
+                known[w] = known[own[0]] if len(own) == 1 else known[own[0]] + known[own[1]]
+        out = list(map(known.__getitem__, words))
+        full = len(known) > CACHED_WORDS
+        for w in [w for w in {*new, *parts} if full or len(w) > _LONG_WORD]:
+            del known[w]
+        return out
 
     return encode
 
 
+def _encode_texts(texts: pa.Array, encode, by_words: bool) -> list[bytes]:
+    """Ids of each text. No token spans white space, so each different word is encoded once."""
+    words = pc.ascii_split_whitespace(texts) if by_words else pa.array([[t] for t in texts.to_pylist()],
+                                                                       pa.list_(pa.string()))
+    coded = words.flatten().dictionary_encode()
+    ids = encode(coded.dictionary.cast(pa.binary()).to_pylist())
+    data = np.frombuffer(b"".join(ids), dtype="<u4")
+    sizes = np.array([len(i) // 4 for i in ids], dtype=np.int64)
+    word = coded.indices.to_numpy()
+    own = sizes[word]
+    tokens = data[ranges((np.cumsum(sizes) - sizes)[word], own)]
+    edges = np.concatenate([[0], np.cumsum(own)])[words.offsets.to_numpy() - words.offsets[0].as_py()]
+    return [tokens[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+
+
 _PIECES = "doc_tokens long, start long, length long, ids binary, part int, rank long"
 
 
-def _tokenize(path: str, window: int, end_id: int):
+def _tokenize(path: str, window: int, end_id: int, by_words: bool):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = _encoder(path), TaskContext.get().partitionId(), Counter()
+        encode, part, seen = _encoder(path, by_words), TaskContext.get().partitionId(), Counter()
+
+        def pieces(owner: int, ids: bytes) -> Iterator[tuple]:
+            total = len(ids) // 4
+            for at in range(0, total, window):
+                length = min(window, total - at)
+                yield owner, total, at, length, ids[4 * at:4 * (at + length)], part, seen[length]
+                seen[length] += 1
+
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            owner, rows, size = [], [], 0
-            for i in range(len(batch)):
-                ids = encode(texts[i].as_py() or b"") + end
-                total = len(ids) // 4
-                for at in range(0, total, window):
-                    length = min(window, total - at)
-                    owner.append(i)
-                    rows.append((total, at, length, ids[4 * at:4 * (at + length)], part, seen[length]))
-                    seen[length] += 1
-                size += len(ids)
-                if size > 1 << 24 or i + 1 == len(batch):
-                    columns = [pa.array(c) for c in zip(*rows)]
-                    columns[4] = columns[4].cast(pa.int32())
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(owner)), *columns],
-                        names=["doc_id", "doc_tokens", "start", "length", "ids", "part", "rank"])
-                    owner, rows, size = [], [], 0
+            texts, at = pc.fill_null(batch.column("text"), ""), 0
+            ends = np.cumsum(pc.binary_length(texts).to_numpy())
+            while at < len(batch):
+                done = int(ends[at - 1]) if at else 0
+                stop = max(at + 1, int(np.searchsorted(ends, done + _BLOCK, "right")))
+                rows = []
+                for k, ids in enumerate(_encode_texts(texts.slice(at, stop - at), encode, by_words), at):
+                    rows += pieces(k, ids + end)
+                at = stop
+                owner, *columns = (list(c) for c in zip(*rows))
+                types = [pa.int64()] * 3 + [pa.binary(), pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(owner)), *[pa.array(c, t) for c, t in zip(columns, types)]],
+                    names=["doc_id", "doc_tokens", "start", "length", "ids", "part", "rank"])
     return run
 
 
@@ -299,12 +357,17 @@ def _place(places: Places):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, max_gap: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, max_gap: int = 0,
+         by_words: bool = True) -> DataFrame:
     """Pieces of all documents: doc_id, doc_tokens, start, length, ids (binary, little-endian
-    unsigned 32 bits), sequence_id and offset. ``tokenizer``: path of a vocabulary file."""
+    unsigned 32 bits), sequence_id and offset. ``tokenizer``: path of a vocabulary file.
+
+    ``by_words`` is for vocabularies that drop white space, lower-case and separate closing
+    punctuation: words are encoded once a worker. Otherwise each text is encoded as a whole.
+    """
     key = docs.schema["doc_id"].dataType.simpleString()
     pieces = materialize(docs.select("doc_id", F.col("text").cast("string").alias("text"))
-                         .mapInArrow(_tokenize(tokenizer, window, end_id), f"doc_id {key}, {_PIECES}"),
+                         .mapInArrow(_tokenize(tokenizer, window, end_id, by_words), f"doc_id {key}, {_PIECES}"),
                          "pieces", "zstd")
     counts = materialize(pieces.where(F.col("length") < window).groupBy("part", "length")
                          .agg(F.count(F.lit(1)).alias("n")), "piece-counts")

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wharf.llm.common import ranges
+
 LEAST_WORDS = 6
 LEAST_PERIODS = 4
 #: Words of one chunk of documents; a longer document is a chunk of its own.
@@ -44,15 +46,9 @@ def _codes(values: np.ndarray) -> np.ndarray:
     return pd.factorize(values)[0].astype(np.int64)
 
 
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """All of starts[0]..starts[0]+lengths[0]-1, then of starts[1].. in one array."""
-    before = np.cumsum(lengths) - lengths
-    return np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths)
-
-
 def _narrow(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stretches (starts, lengths) in which every 4-gram repeats within its old stretch."""
-    at = _ranges(starts, lengths)
+    at = ranges(starts, lengths)
     seg = np.repeat(np.arange(len(starts)), lengths)
     if len(at) < _GRAM:
         return starts[:0], lengths[:0]
@@ -139,7 +135,7 @@ def _squares(rank: np.ndarray, sa: np.ndarray, isa: np.ndarray, lcp: np.ndarray)
     while at < len(small):
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _EXPANDED, "right")))
         part = small[at:stop]
-        i = sa[_ranges(child_lo[part], width[part])]
+        i = sa[ranges(child_lo[part], width[part])]
         g = np.repeat(parent[part], width[part])
         d, a, b = size[g], lo[g], hi[g]
         for shift in (0, 1):                                   # the square starts at i, or at i - d
@@ -169,7 +165,7 @@ def _runs(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     # different stretches are different.
     marks = np.cumsum(lengths + 1) - 1
     seg = np.repeat(np.arange(len(starts)), lengths + 1)
-    origin = _ranges(starts, lengths + 1)
+    origin = ranges(starts, lengths + 1)
     word = codes[np.minimum(origin, len(codes) - 1)]
     word[marks] = int(codes.max()) + 1
     rank = np.unique(seg * (int(word.max()) + 1) + word, return_inverse=True)[1].astype(np.int32)
