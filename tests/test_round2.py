@@ -15,6 +15,7 @@ from wharf.plans import feeds, queries_feed
 from wharf.plans.feeds import FEEDS
 from wharf.sources import layers
 from wharf.sources.stage import read_stage
+from wharf.sources.versions import VersionedTable
 from wharf.streaming.intake import incremental_intake
 
 
@@ -163,7 +164,7 @@ def test_newer_file_of_one_trigger_wins(spark, tmp_dir):
                            ods_path=f"{tmp_dir}/ods", checkpoint=f"{tmp_dir}/ck")
     q.awaitTermination(120)
     assert q.exception() is None
-    got = [r for r in spark.read.parquet(f"{tmp_dir}/ods").collect() if r.RoutingProfile == "rp"]
+    got = [r for r in VersionedTable(spark, f"{tmp_dir}/ods").read().collect() if r.RoutingProfile == "rp"]
     assert [r.FirstName for r in got] == ["newer"]
     audits = spark.read.parquet(f"{tmp_dir}/snap").select("FileLoadAuditId").distinct().count()
     assert audits == 2

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from wharf.plans.feeds import FEEDS
 from wharf.sources.layers import append_snapshot, read_shards, rebuild_table, run_audit, union_shards
 from wharf.sources.stage import read_stage
+from wharf.sources.versions import VersionedTable
 from wharf.streaming.intake import incremental_intake
 
 
@@ -53,13 +54,13 @@ def test_incremental_intake_is_idempotent(spark, tmp_dir):
     q = incremental_intake(spark, landing, spec, parent_id=3462, system_id=3464, snapshot_path=snap,
                            ods_path=ods, checkpoint=ckpt)
     q.awaitTermination(120)
-    assert spark.read.parquet(ods).count() == 4
+    assert VersionedTable(spark, ods).read().count() == 4
     # the month-to-date file is delivered again (same rows, new file): still 4 ODS rows
     write_csv(f"{landing}/f2.csv", spec.columns, rows)
     q = incremental_intake(spark, landing, spec, parent_id=3462, system_id=3464, snapshot_path=snap,
                            ods_path=ods, checkpoint=ckpt)
     q.awaitTermination(120)
-    out = spark.read.parquet(ods)
+    out = VersionedTable(spark, ods).read()
     assert out.count() == 4 and out.where("InactiveInd").count() == 0
     assert spark.read.parquet(snap).count() == 8
 
@@ -72,13 +73,13 @@ def test_intake_with_only_rejected_rows(spark, tmp_dir):
                            snapshot_path=f"{tmp_dir}/snap", ods_path=f"{tmp_dir}/ods", checkpoint=f"{tmp_dir}/ck", carry_rejects=False)
     q.awaitTermination(120)
     assert q.exception() is None
-    # no row passed validation: the partitioned ODS holds no data files yet
+    # no row passed validation: the ODS holds no data files yet
     assert not list(__import__("pathlib").Path(f"{tmp_dir}/ods").rglob("*.parquet"))
     write_csv(f"{landing}/f2.csv", spec.columns, [["c", "co", "a", "f", "l", "rp", "x", "y", "5"]])
     q = incremental_intake(spark, landing, spec, parent_id=3462, system_id=3464,
                            snapshot_path=f"{tmp_dir}/snap", ods_path=f"{tmp_dir}/ods", checkpoint=f"{tmp_dir}/ck", carry_rejects=False)
     q.awaitTermination(120)
-    assert q.exception() is None and spark.read.parquet(f"{tmp_dir}/ods").count() == 1
+    assert q.exception() is None and VersionedTable(spark, f"{tmp_dir}/ods").read().count() == 1
 
 
 def test_route_by_folder(spark, tmp_dir):

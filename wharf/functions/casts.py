@@ -26,8 +26,16 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _checked(s: Column, form: str) -> Column:
+    """``s`` where it has the form; other text gets a mark that no cast accepts, so a strict cast raises."""
+    return F.when(s.isNull() | s.rlike(form), s).otherwise(F.concat(s, F.lit(" (not of the form)")))
+
+
 # --------------------------------------------------------------------------- numbers
 
+_FLOAT_FORM = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def to_numeric(s) -> Column:
     """T-01 strict NUMERIC cast (raises on malformed text under ANSI)."""
     return _c(s).cast(NUMERIC)
@@ -54,8 +62,12 @@ def safe_int(s) -> Column:
 
 
 def int_from_float_round(s) -> Column:
-    """T-04 CAST(ROUND(CAST(s AS FLOAT64)) AS INT64); +-2.5 -> +-3."""
-    return F.round(_c(s).cast("double")).cast("bigint")
+    """T-04 CAST(ROUND(CAST(s AS FLOAT64)) AS INT64); +-2.5 -> +-3.
+
+    Decimal digits with an optional point and exponent; other text that Java reads as
+    a number ('1.5d', '0x1p3') raises like any malformed text.
+    """
+    return F.round(_checked(_c(s), _FLOAT_FORM).cast("double")).cast("bigint")
 
 
 def percent_numeric(s, safe: bool = True) -> Column:
@@ -76,12 +88,12 @@ _DATE_ONLY = r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$"
 def wall_datetime(s, safe: bool = True) -> Column:
     """T-07 wall-clock DATETIME from the first 19 characters; the offset is ignored.
 
-    Only 'yyyy-MM-ddTHH:mm:ss' is accepted. Strict form: a plain cast, which
-    raises on bad text under ANSI.
+    Only 'yyyy-MM-ddTHH:mm:ss' is accepted; other text, a year or a month alone
+    included, is NULL in the safe form and raises in the strict one (under ANSI).
     """
     head = F.substring(_c(s), 1, 19)
     if not safe:
-        return head.cast("timestamp_ntz")
+        return _checked(head, _WALL_FORM).cast("timestamp_ntz")
     return F.when(head.rlike(_WALL_FORM), head.try_cast("timestamp_ntz"))
 
 

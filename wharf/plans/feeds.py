@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 from wharf.functions import casts
 from wharf.operators.asof import snapshot_asof
 from wharf.operators.dedup import latest_per_key
+from wharf.operators.history import BATCH, advance_latest, files_between, record_run, valid_at
+from wharf.operators.merge_files import merge_into
 from wharf.operators.upsert import Audit, upsert
 from wharf.operators.validate import AtMost, Parses, Required, Rule, summarize, validate
 from wharf.session import materialize
 from wharf.sources.layers import replace_partitions, stage_to_snapshot
+from wharf.sources.versions import VersionedTable
 
 COMMON = ("Cosa", "Company")
 
@@ -234,22 +237,37 @@ def _interval_value(name: str, mode: str, strict: bool) -> Column:
     return casts.wall_datetime(c, safe=not strict)
 
 
-def ods_source(snapshot: DataFrame, spec: FeedSpec, audit: Audit | None = None,
-               tiebreak: Sequence = ("CreateDate", "FileEffectiveDate", "FileLoadAuditId", "LineNum")) -> DataFrame:
-    """Typed, de-duplicated MERGE source (W-01..W-03, P-05, P-08, P-09, T-*).
+ODS_ORDER = ("LoadDate",)
+# Our addition: the reference orders by LoadDate only.
+ODS_TIEBREAK = ("CreateDate", "FileEffectiveDate", "FileLoadAuditId", "LineNum")
 
-    ``tiebreak`` is our addition: the reference orders by LoadDate only.
-    """
-    audit = audit or Audit()
+
+def ods_eligible(snapshot: DataFrame, spec: FeedSpec) -> DataFrame:
+    """The snapshot rows that the ODS reads (P-08, P-09)."""
     df = snapshot.where(F.col("InactiveInd") == F.lit(False))                      # P-08
     if spec.safe_intervals:                                                         # P-09
         for n in spec.intervals:
             df = df.where(casts.wall_datetime(F.col(n)).isNotNull())
-    keys: list = ["ParentSystemId", "SystemId"]
-    for k in spec.dedup_keys:
-        keys.append(casts.utc_datetime(F.col(k)) if spec.dedup_on_utc and k in spec.intervals else k)
-    df = latest_per_key(df, keys, ["LoadDate"], list(tiebreak))
+    return df
+
+
+def dedup_columns(spec: FeedSpec) -> list[Column]:
+    """W-01..W-03: the columns or expressions whose latest row counts, system ids first."""
+    return [F.col("ParentSystemId"), F.col("SystemId"),
+            *[casts.utc_datetime(F.col(k)) if spec.dedup_on_utc and k in spec.intervals else F.col(k)
+              for k in spec.dedup_keys]]
 
+
+def ods_source(snapshot: DataFrame, spec: FeedSpec, audit: Audit | None = None,
+               tiebreak: Sequence = ODS_TIEBREAK) -> DataFrame:
+    """Typed, de-duplicated MERGE source (W-01..W-03, P-05, P-08, P-09, T-*)."""
+    latest = latest_per_key(ods_eligible(snapshot, spec), dedup_columns(spec), list(ODS_ORDER), list(tiebreak))
+    return ods_typed(latest, spec, audit)
+
+
+def ods_typed(df: DataFrame, spec: FeedSpec, audit: Audit | None = None) -> DataFrame:
+    """The ODS columns of snapshot rows that are the latest of their keys."""
+    audit = audit or Audit()
     strict = not spec.safe_intervals
     cols: list[Column] = [F.col("ParentSystemId"), F.col("SystemId")]
     typed_done = set()
@@ -278,9 +296,43 @@ def ods_source(snapshot: DataFrame, spec: FeedSpec, audit: Audit | None = None,
 def merge_ods(target: DataFrame, source: DataFrame, spec: FeedSpec, audit: Audit | None = None,
               **kw) -> DataFrame:
     """U-01 for a feed: keys are system ids + the feed's merge keys."""
-    keys = ["ParentSystemId", "SystemId", *spec.merge_keys]
-    update = [c for c in source.columns if c not in spec.update_exclude]
-    return upsert(target, source, keys, update, audit, **kw)
+    return upsert(target, source, ods_keys(spec), ods_updates(source, spec), audit, **kw)
+
+
+def ods_keys(spec: FeedSpec) -> list[str]:
+    return ["ParentSystemId", "SystemId", *spec.merge_keys]
+
+
+def ods_updates(source: DataFrame, spec: FeedSpec) -> list[str]:
+    """U-02 the columns that a match overwrites."""
+    return [c for c in source.columns if c not in spec.update_exclude]
+
+
+def ods_table(spark, path: str, spec: FeedSpec) -> VersionedTable:
+    """The ODS of a feed as a recoverable table; files are found by their first interval column."""
+    return VersionedTable(spark, path, spec.intervals[:1])
+
+
+def merge_ods_table(table: VersionedTable, source: DataFrame, spec: FeedSpec, audit: Audit | None = None,
+                    batch: tuple[str, int] | None = None, **kw) -> list[str]:
+    """U-01 on a recoverable ODS: only files that can hold a key of ``source`` are read and replaced.
+
+    The first merge, into nothing, publishes the source's rows. Returns the files replaced.
+    """
+    if table.current() is not None:
+        return merge_into(table, source, ods_keys(spec), ods_updates(source, spec), audit, batch, **kw)
+    source = materialize(source, f"{spec.name}_source")
+    if not source.isEmpty():                                   # the table starts with its first rows
+        table.publish(merge_ods(ods_empty(source), source, spec, audit, **kw), None, batch)
+    return []
+
+
+def ods_empty(source: DataFrame) -> DataFrame:
+    """An ODS without rows for a typed source."""
+    own = {**{f"{who}{what}": t for who in ("Create", "Update")
+              for what, t in (("By", "string"), ("Date", "timestamp"), ("Process", "string"))},
+           "InactiveInd": "boolean", "InactiveReason": "string", "InactiveDate": "timestamp"}
+    return source.limit(0).withColumns({c: F.lit(None).cast(t) for c, t in own.items()})
 
 
 def asof_projection(spec: FeedSpec) -> list[Column]:
@@ -331,6 +383,54 @@ def run_feed(stage: DataFrame, target: DataFrame, spec: FeedSpec, audit: Audit |
             "snapshot": snap, "ods": merge_ods(target, src, spec, audit)}
 
 
+def latest_table(spark, path: str, spec: FeedSpec) -> VersionedTable:
+    """W-01 the table of latest snapshot rows of a feed (``operators.history``)."""
+    at = [f"key_{2 + spec.dedup_keys.index(n)}" for n in spec.intervals[:1]]
+    return VersionedTable(spark, path, [*at, BATCH])
+
+
+def run_feed_on_tables(stage: DataFrame, ods: VersionedTable, latest: VersionedTable, spec: FeedSpec,
+                       batch: tuple[str, int], audit: Audit | None = None) -> dict[str, DataFrame]:
+    """M-14 one run on kept tables: the history is not read, nor files without the delivery's keys.
+
+    The delivery's rows enter the table of latest rows; those that win are merged into
+    the ODS. Both tables are published with ``batch``, so a run lost between them can
+    be repeated. Returns ``validated``, ``summary`` and ``snapshot`` as ``run_feed``.
+    """
+    audit = audit or Audit()
+    validated = materialize(validate_stage(stage, spec, audit.now), f"{spec.name}_stage")
+    snap = snapshot_rows(validated, spec, audit)
+    won = advance_latest(latest, ods_eligible(snap, spec), dedup_columns(spec), ODS_ORDER, ODS_TIEBREAK, batch)
+    merge_ods_table(ods, ods_typed(won, spec, audit), spec, audit, batch)
+    return {"validated": validated, "summary": stage_summary(validated, spec), "snapshot": snap}
+
+
+def history_table(spark, path: str) -> VersionedTable:
+    """F-01 the snapshot with validity intervals."""
+    return VersionedTable(spark, path, ["SnapshotRowDateTime"])
+
+
+ASOF_ORDER, ASOF_TIEBREAK = ("FileEffectiveDate", "CreateDate"), ("FileLoadAuditId", "LineNum")
+
+
+def record_snapshot(table: VersionedTable, snapshot: DataFrame, spec: FeedSpec, batch: tuple[str, int]) -> None:
+    """F-01 add a run's active snapshot rows to the history."""
+    record_run(table, snapshot.where(~F.col("InactiveInd")), ["ParentSystemId", *spec.asof_keys],
+               ASOF_ORDER, ASOF_TIEBREAK, batch)
+
+
+def history_asof(table: VersionedTable, spec: FeedSpec, parent_id: int, start: Column, end: Column,
+                 at: Column | None = None) -> DataFrame:
+    """``feed_asof`` from the history: interval and date filters, no window.
+
+    ``at``: the rows as they were known at that time (by FileEffectiveDate).
+    """
+    rows = table.read(files_between(table, "SnapshotRowDateTime", start, end))
+    rows = valid_at(rows, at).where((F.col("ParentSystemId") == F.lit(parent_id))
+                                    & F.col("SnapshotRowDateTime").between(start, end))
+    return rows.select(*asof_projection(spec))
+
+
 def register_asof_function(spark, name: str, snapshot: DataFrame, spec: FeedSpec,
                            parent_id: int | None = None) -> str:
     """F-01 as a Spark SQL table function: ``SELECT * FROM name(start, end)``.

@@ -10,6 +10,7 @@ from wharf.operators.dedup import latest_per_key
 from wharf.plans import feeds
 from wharf.plans.testdata import (LINEITEM_FEED, ORDERS_FEED, fixed_audit, lineitem_snapshot,
                                   orders_ods_target, orders_stage, table)
+from wharf.session import scratch_path
 
 LINEITEM_TIEBREAK = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
                      "l_tax", "l_returnflag", "l_linestatus")
@@ -69,6 +70,21 @@ def d06_upsert_ods(spark: SparkSession, sf: str) -> DataFrame:
     return feeds.merge_ods(target, src, ORDERS_FEED, audit).drop("InactiveDate")
 
 
+def d06_merge_into_files(spark: SparkSession, sf: str) -> DataFrame:
+    """D-06 as a merge into a recoverable table in ranges of StartInterval: files before the
+    delivery are neither read nor replaced, and the repeat of the batch changes nothing."""
+    audit = fixed_audit()
+    orders = table(spark, sf, "orders")
+    ods = feeds.ods_table(spark, scratch_path(spark, "orders-ods"), ORDERS_FEED)
+    ods.publish(orders_ods_target(orders).repartitionByRange(16, "StartInterval"))
+    fresh = orders.where(F.col("o_orderdate") >= F.lit(SOURCE_FROM).cast("timestamp_ntz"))
+    stage = feeds.validate_stage(orders_stage(fresh, price_bump=1, loadable=True), ORDERS_FEED, audit.now)
+    source = feeds.ods_source(feeds.snapshot_rows(stage, ORDERS_FEED, audit), ORDERS_FEED, audit)
+    for _ in range(2):
+        feeds.merge_ods_table(ods, source, ORDERS_FEED, audit, ("orders", 1))
+    return ods.read().drop("InactiveDate")
+
+
 # --------------------------------------------------------------------------- DuckDB oracles
 
 _LI_ORDER = ", ".join(f"{c} DESC NULLS LAST" for c in ("l_shipdate", *LINEITEM_TIEBREAK))
@@ -261,6 +277,7 @@ QUERIES = {
     "D-04_validate_summary": d04_validate_summary,
     "D-05_stage_to_snapshot": d05_stage_to_snapshot,
     "D-06_upsert_ods": d06_upsert_ods,
+    "D-06_merge_into_files": d06_merge_into_files,
 }
 ORACLES = {
     "D-01_latest_per_key": D01_SQL,
@@ -270,4 +287,5 @@ ORACLES = {
     "D-04_validate_summary": D04_SQL,
     "D-05_stage_to_snapshot": D05_SQL,
     "D-06_upsert_ods": D06_SQL,
+    "D-06_merge_into_files": D06_SQL,
 }

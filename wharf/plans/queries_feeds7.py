@@ -18,9 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wharf.functions.casts import format_wall
+from wharf.operators.history import advance_latest
 from wharf.plans import feeds
 from wharf.plans.feeds import FEEDS, FeedSpec
 from wharf.plans.testdata import dec2, fixed_audit, iso, table
+from wharf.session import scratch_path
 
 _NAME_COLS = ("AgentFirstName", "AgentLastName", "FirstName", "LastName", "Login")
 
@@ -111,6 +113,35 @@ def run_feed_query(spark: SparkSession, sf: str, spec: FeedSpec) -> DataFrame:
     return feeds.run_feed(delivery, target, spec, audit, history=history)["ods"].drop("InactiveDate")
 
 
+def run_on_tables_query(spark: SparkSession, sf: str, spec: FeedSpec) -> DataFrame:
+    """The same second run on kept tables: the latest rows and the ODS of the first run are
+    published, then the delivery is run twice under one batch (the repeat changes nothing)."""
+    audit = fixed_audit()
+    lines = table(spark, sf, "lineitem")
+    earlier = F.col("l_linenumber") % 2 == 1
+    latest = feeds.latest_table(spark, scratch_path(spark, f"latest-{spec.name}"), spec)
+    ods = feeds.ods_table(spark, scratch_path(spark, f"ods-{spec.name}"), spec)
+    history = feeds.snapshot_rows(feed_stage(lines.where(earlier), spec), spec, audit)
+    first = advance_latest(latest, feeds.ods_eligible(history, spec), feeds.dedup_columns(spec),
+                           feeds.ODS_ORDER, feeds.ODS_TIEBREAK, ("runs", 0))
+    ods.publish(legacy_ods(feeds.ods_typed(first, spec, audit), spec), None, ("runs", 0))
+    delivery = feed_stage(lines.where(~earlier), spec)
+    for _ in range(2):
+        feeds.run_feed_on_tables(delivery, ods, latest, spec, ("runs", 1), audit)
+    return ods.read().drop("InactiveDate")
+
+
+def run_history_query(spark: SparkSession, sf: str, spec: FeedSpec) -> DataFrame:
+    """F-01 read from validity intervals, after two runs (lines of odd numbers came late)."""
+    snapshot = feeds.snapshot_rows(feed_stage(table(spark, sf, "lineitem"), spec, plain=True), spec, fixed_audit())
+    history = feeds.history_table(spark, scratch_path(spark, f"history-{spec.name}"))
+    for batch, part in enumerate((F.col("LineNum") % 2 == 0, F.col("LineNum") % 2 == 1)):
+        feeds.record_snapshot(history, snapshot.where(part), spec, ("runs", batch))
+    lo, hi = (F.lit(t).cast("timestamp_ntz") for t in (ASOF_FROM, ASOF_TO))
+    one, two = (feeds.history_asof(history, spec, parent, lo, hi) for parent, _ in feeds.SYSTEMS)
+    return one.unionByName(two)
+
+
 ASOF_FROM, ASOF_TO = "1994-01-01 00:00:00", "1997-12-31 23:30:00"
 
 
@@ -222,7 +253,8 @@ def _cast_sql(c: str, read: str, counts: str, percent: list[str]) -> str:
     return f"CAST({f'replace({c}, {_q(chr(37))}, {_q(str())})' if c in percent else c} AS DECIMAL(38,9))"
 
 
-def feed_oracle_sql(spec: FeedSpec) -> str:
+def feed_oracle_sql(spec: FeedSpec, won: str = "TRUE") -> str:
+    """``won``: which of the latest rows are merged."""
     m = _MERGES[spec.name]
     match = ["ParentSystemId", "SystemId", *_names(m["match"])]
     window = ["ParentSystemId", "SystemId", *(_UTC.format(c=k) if m.get("window_utc") and k.endswith("Interval") else k
@@ -236,7 +268,7 @@ def feed_oracle_sql(spec: FeedSpec) -> str:
     load = "LoadBy, LoadDate" if m["own_load"] else f"'wharf' AS LoadBy, {_NOW} AS LoadDate"
 
     def latest(where: str) -> str:
-        return f"""SELECT ParentSystemId, SystemId, {", ".join(typed)}, {load}, 'wharf.testdata' AS LoadProcess
+        return f"""SELECT ParentSystemId, SystemId, {", ".join(typed)}, {load}, 'wharf.testdata' AS LoadProcess, earlier
   FROM stage WHERE {parsable} AND {where}
   QUALIFY row_number() OVER (
     PARTITION BY {", ".join(window)}
@@ -259,7 +291,7 @@ def feed_oracle_sql(spec: FeedSpec) -> str:
     merged += [f"CASE WHEN s.hit THEN {new[c]} ELSE t.{c} END AS {c}" for c in stamps]
     return f"""
 WITH stage AS ({_stage_sql(spec)}),
-s AS (SELECT *, TRUE AS hit FROM ({latest("TRUE")})),
+s AS (SELECT *, TRUE AS hit FROM ({latest("TRUE")}) WHERE {won}),
 t AS (SELECT * REPLACE ({", ".join(older)}), {", ".join(f"{v} AS {c}" for c, v in old.items())},
              COALESCE(RoutingProfile = 'RP3', FALSE) AS InactiveInd,
              CASE WHEN RoutingProfile = 'RP3' THEN 'closed' ELSE '' END AS InactiveReason
@@ -290,5 +322,12 @@ def _query(run, spec: FeedSpec):
 
 QUERIES = {f"M-14_{name}_feed": _query(run_feed_query, spec) for name, spec in FEEDS.items()}
 ORACLES = {f"M-14_{name}_feed": feed_oracle_sql(spec) for name, spec in FEEDS.items()}
+# On kept tables only the keys whose latest row was delivered are merged.
+ON_TABLES = ("AgentDaily", "AgentInterval", "LoginDaily")
+QUERIES |= {f"M-14_{name}_on_tables": _query(run_on_tables_query, FEEDS[name]) for name in ON_TABLES}
+ORACLES |= {f"M-14_{name}_on_tables": feed_oracle_sql(FEEDS[name], "NOT earlier") for name in ON_TABLES}
+WITH_HISTORY = ("AgentDaily", "QueueRoutingInterval")
+QUERIES |= {f"F-01_{name}_history": _query(run_history_query, FEEDS[name]) for name in WITH_HISTORY}
+ORACLES |= {f"F-01_{name}_history": asof_oracle_sql(FEEDS[name]) for name in WITH_HISTORY}
 QUERIES |= {f"F-01_{name}_asof": _query(run_asof_query, FEEDS[name]) for name in _ASOF_KEYS}
 ORACLES |= {f"F-01_{name}_asof": asof_oracle_sql(FEEDS[name]) for name in _ASOF_KEYS}

@@ -84,12 +84,18 @@ def materialize(df, name: str = "table", compression: str = "snappy"):
     closes (driver exit), so repeated runs do not pile up.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/wharf-tables/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.mode("errorifexists").option("compression", compression).parquet(path)
-    delete_at_exit(spark, path)
     return spark.read.parquet(path)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted with the session."""
+    path = f"{shared_folder(spark)}/wharf-tables/{name}-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
+    return path
+
+
 def delete_at_exit(spark: SparkSession, path: str) -> None:
     """Scratch of this session: deleted when its file system closes."""
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

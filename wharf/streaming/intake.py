@@ -5,17 +5,18 @@ load win. Here a file stream over the landing folder runs the feed pipeline
 per micro-batch (``foreachBatch``):
 
   stage (CSV strings + lineage) -> validate -> snapshot rows appended under
-  ``batch=<epoch>`` -> latest per key -> upsert into the ODS, rewriting only
-  the (system, month) partitions the batch touches.
+  ``batch=<epoch>`` -> latest per key -> upsert into the ODS, a recoverable table
+  (``sources.versions``) of which only files that hold the batch's keys are replaced.
 
 Only the batch's own snapshot rows feed the upsert: they carry the newest
 LoadDate, so for every key they touch the latest row is among them, and the
-cost per micro-batch is the batch plus the ODS partitions it touches.
+cost per micro-batch is the batch plus the ODS files it touches.
 
 Exactly-once: each epoch overwrites only its own ``batch=<epoch>`` snapshot
 folder, so a replayed epoch (after a failure) rewrites the same rows instead
-of appending them twice; the file source's checkpoint remembers which files
-were consumed. A re-delivered month-to-date file is idempotent at the ODS:
+of appending them twice; the ODS publishes rows and epoch with one rename, so an
+epoch lost at any step is either not there at all or recognised and left alone; the
+file source's checkpoint remembers which files were consumed. A re-delivered month-to-date file is idempotent at the ODS:
 its rows are newer loads of the same keys, so the upsert updates in place.
 """
 
@@ -28,7 +29,6 @@ from pyspark.sql.streaming import StreamingQuery
 from wharf.functions.casts import instant_to_utc_ntz
 from wharf.operators.upsert import Audit
 from wharf.plans import feeds
-from wharf.sources.layers import has_rows
 from wharf.sources.stage import _BLOCK, _FILE, _MID, any_mask, string_schema, with_line_numbers
 
 
@@ -50,13 +50,18 @@ def _stage_batch(batch: DataFrame, spec: feeds.FeedSpec, parent_id: int, system_
 
 def process_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, spec: feeds.FeedSpec,
                   parent_id: int, system_id: int, snapshot_path: str, ods_path: str,
-                  process: str = "wharf.intake", carry_rejects: bool = True) -> None:
+                  process: str = "wharf.intake", carry_rejects: bool = True, stream: str = "intake") -> None:
     """One micro-batch of the feed pipeline (also usable as a plain batch job).
 
+    ``stream`` names the source of the epochs; an epoch that was published changes nothing.
+
     Rejected rows are carried as in ``stage_to_snapshot``; text that the strict
     casts of the ODS load cannot take then fails the batch. ``carry_rejects=False``
     leaves rejects out.
     """
+    ods = feeds.ods_table(spark, ods_path, spec)
+    if ods.has_applied(stream, epoch_id):                     # published before the driver was lost
+        return
     audit = Audit(process=process)
     stage = _stage_batch(batch, spec, parent_id, system_id, epoch_id, process)
     validated = feeds.validate_stage(stage, spec)
@@ -68,19 +73,7 @@ def process_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, spec: fe
     # instead of re-reading the whole snapshot history every micro-batch.
     written = spark.read.schema(snap.schema).parquet(f"{snapshot_path.rstrip('/')}/batch={epoch_id}")
     source = feeds.ods_source(written, spec, audit)
-    if not has_rows(spark, ods_path):  # first run: the ODS is the merge of the batch into nothing
-        empty = source.limit(0).withColumns(
-            {c: F.lit(None).cast(t) for c, t in (("CreateBy", "string"), ("CreateDate", "timestamp"),
-                                                 ("CreateProcess", "string"), ("UpdateBy", "string"),
-                                                 ("UpdateDate", "timestamp"), ("UpdateProcess", "string"),
-                                                 ("InactiveInd", "boolean"), ("InactiveReason", "string"),
-                                                 ("InactiveDate", "timestamp"))})
-        first = feeds.with_ods_partition(feeds.merge_ods(empty, source, spec, audit), spec)
-        # A partitioned write of no rows leaves no files; the ODS starts with the first rows.
-        first.write.mode("append").partitionBy(*feeds.ods_partitions(spec)).parquet(ods_path)
-        return
-    # Later runs rewrite only the (system, month) partitions this batch touches.
-    feeds.merge_ods_partitions(spark, ods_path, source, spec, audit)
+    feeds.merge_ods_table(ods, source, spec, audit, (stream, epoch_id))
 
 
 def incremental_intake(spark: SparkSession, landing: str, spec: feeds.FeedSpec, *,
@@ -100,7 +93,7 @@ def incremental_intake(spark: SparkSession, landing: str, spec: feeds.FeedSpec,
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         process_batch(spark, batch, epoch_id, spec, parent_id, system_id, snapshot_path, ods_path,
-                      carry_rejects=carry_rejects)
+                      carry_rejects=carry_rejects, stream=checkpoint)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
