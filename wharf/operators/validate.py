@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wharf.functions import casts
@@ -127,3 +127,43 @@ def summarize(stage: DataFrame, date_col: str | None, by: Sequence[str] = (),
         aggs += [F.min(d).alias("min_date"), F.max(d).alias("max_date")]
     aggs.append(F.count_if(inactive).alias("rejected"))
     return stage.groupBy(*by).agg(*aggs)
+
+
+class ObservedSummary:
+    """V-05 while the stage is written: the same figures from the write's own pass.
+
+    ``watch`` adds the aggregates of the given groups to the plan; after any one action
+    on it ``rows`` gives the summary without another scan. A value outside the groups
+    is counted too and makes ``rows`` fail, so no group goes missing unseen.
+    """
+
+    def __init__(self, date_col: str | None, by: Sequence[str], groups: Sequence[tuple],
+                 parser=casts.wall_datetime):
+        self.date_col, self.by, self.groups, self.parser = date_col, tuple(by), list(groups), parser
+        self.seen = Observation()
+
+    def watch(self, stage: DataFrame) -> DataFrame:
+        inactive = F.coalesce(F.col(INACTIVE_IND), F.lit(False))
+        aggs, known = [], F.lit(False)
+        for i, group in enumerate(self.groups):
+            own = F.lit(True)
+            for c, v in zip(self.by, group):
+                own = own & F.col(c).eqNullSafe(F.lit(v))
+            known = known | own
+            aggs += [F.count_if(own).alias(f"n_{i}"), F.count_if(own & inactive).alias(f"rejected_{i}")]
+            if self.date_col is not None:
+                d = F.when(own & ~inactive, self.parser(F.col(self.date_col)))
+                aggs += [F.min(d).alias(f"min_{i}"), F.max(d).alias(f"max_{i}")]
+        self.schema = stage.select(*self.by).schema
+        return stage.observe(self.seen, *aggs, F.count_if(~known).alias("others"))
+
+    def rows(self, spark) -> DataFrame:
+        got = self.seen.get
+        if got["others"]:
+            raise ValueError(f"{got['others']} rows belong to no known group of {self.by}")
+        dated = self.date_col is not None
+        data = [(*group, *((got[f"min_{i}"], got[f"max_{i}"]) if dated else ()), got[f"rejected_{i}"])
+                for i, group in enumerate(self.groups) if got[f"n_{i}"]]
+        own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.schema)
+        dates = "min_date timestamp_ntz, max_date timestamp_ntz, " if dated else ""
+        return spark.createDataFrame(data, f"{own}, {dates}rejected bigint")

@@ -20,7 +20,7 @@ from wharf.operators.dedup import latest_per_key
 from wharf.operators.history import BATCH, advance_latest, files_between, record_run, valid_at
 from wharf.operators.merge_files import merge_into
 from wharf.operators.upsert import Audit, upsert
-from wharf.operators.validate import AtMost, Parses, Required, Rule, summarize, validate
+from wharf.operators.validate import AtMost, ObservedSummary, Parses, Required, Rule, summarize, validate
 from wharf.session import materialize
 from wharf.sources.layers import replace_partitions, stage_to_snapshot
 from wharf.sources.versions import VersionedTable
@@ -390,19 +390,22 @@ def latest_table(spark, path: str, spec: FeedSpec) -> VersionedTable:
 
 
 def run_feed_on_tables(stage: DataFrame, ods: VersionedTable, latest: VersionedTable, spec: FeedSpec,
-                       batch: tuple[str, int], audit: Audit | None = None) -> dict[str, DataFrame]:
+                       batch: tuple[str, int], audit: Audit | None = None,
+                       systems: Sequence[tuple[int, int]] = SYSTEMS) -> dict[str, DataFrame]:
     """M-14 one run on kept tables: the history is not read, nor files without the delivery's keys.
 
     The delivery's rows enter the table of latest rows; those that win are merged into
     the ODS. Both tables are published with ``batch``, so a run lost between them can
-    be repeated. Returns ``validated``, ``summary`` and ``snapshot`` as ``run_feed``.
+    be repeated. The summary of ``systems`` comes from the write of the stage. Returns
+    ``validated``, ``summary`` and ``snapshot`` as ``run_feed``.
     """
     audit = audit or Audit()
-    validated = materialize(validate_stage(stage, spec, audit.now), f"{spec.name}_stage")
+    seen = ObservedSummary(spec.snapshot_from, ("ParentSystemId", "SystemId"), systems)
+    validated = materialize(seen.watch(validate_stage(stage, spec, audit.now)), f"{spec.name}_stage")
     snap = snapshot_rows(validated, spec, audit)
     won = advance_latest(latest, ods_eligible(snap, spec), dedup_columns(spec), ODS_ORDER, ODS_TIEBREAK, batch)
     merge_ods_table(ods, ods_typed(won, spec, audit), spec, audit, batch)
-    return {"validated": validated, "summary": stage_summary(validated, spec), "snapshot": snap}
+    return {"validated": validated, "summary": seen.rows(stage.sparkSession), "snapshot": snap}
 
 
 def history_table(spark, path: str) -> VersionedTable:

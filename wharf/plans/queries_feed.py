@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wharf.operators.asof import snapshot_asof
 from wharf.operators.dedup import latest_per_key
+from wharf.operators.validate import ObservedSummary
 from wharf.plans import feeds
 from wharf.plans.testdata import (LINEITEM_FEED, ORDERS_FEED, fixed_audit, lineitem_snapshot,
                                   orders_ods_target, orders_stage, table)
@@ -52,6 +53,13 @@ def d04_validate_summary(spark: SparkSession, sf: str) -> DataFrame:
     return feeds.stage_summary(_validated(spark, sf), ORDERS_FEED)
 
 
+def d04_observed_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """D-04 from the aggregates that the write of the stage carries along."""
+    seen = ObservedSummary(ORDERS_FEED.snapshot_from, ("ParentSystemId", "SystemId"), feeds.SYSTEMS)
+    seen.watch(_validated(spark, sf)).write.parquet(scratch_path(spark, "orders-stage"))
+    return seen.rows(spark)
+
+
 def d05_stage_to_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     snap = feeds.snapshot_rows(_validated(spark, sf), ORDERS_FEED, fixed_audit())
     return snap.drop("InactiveDate")
@@ -275,6 +283,7 @@ QUERIES = {
     "D-02b_snapshot_asof_sql": d02b_snapshot_asof_sql,
     "D-03_validate_rows": d03_validate_rows,
     "D-04_validate_summary": d04_validate_summary,
+    "D-04_observed_summary": d04_observed_summary,
     "D-05_stage_to_snapshot": d05_stage_to_snapshot,
     "D-06_upsert_ods": d06_upsert_ods,
     "D-06_merge_into_files": d06_merge_into_files,
@@ -285,6 +294,7 @@ ORACLES = {
     "D-02b_snapshot_asof_sql": D02_SQL,
     "D-03_validate_rows": D03_SQL,
     "D-04_validate_summary": D04_SQL,
+    "D-04_observed_summary": D04_SQL,
     "D-05_stage_to_snapshot": D05_SQL,
     "D-06_upsert_ods": D06_SQL,
     "D-06_merge_into_files": D06_SQL,

@@ -15,42 +15,63 @@ from pyspark.sql import types as T
 
 from wharf.functions.casts import instant_to_utc_ntz
 
-_FILE, _BLOCK, _MID = "__wharf_file", "__wharf_block", "__wharf_mid"
+_FILE, _BLOCK, _MID, _RAW = "__wharf_file", "__wharf_block", "__wharf_mid", "__wharf_raw"
+MALFORMED = "Malformed row"
 
 
 def string_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
 
 
-def read_stage(spark: SparkSession, path: str, columns: Sequence[str], *,
-               parent_id: int, system_id: int, audit_id: int,
-               mask: str | Sequence[str] | None = None, load_by: str = "wharf",
-               load_process: str = "wharf.read_stage", sep: str = ",") -> DataFrame:
-    """S-03 load CSV sheets as strings with lineage columns.
-
-    FileLoadAuditId = ``audit_id``; FileEffectiveDate = file modification time
-    (UTC wall clock); LineNum = 1-based data line within its file. A file whose
-    header is not ``columns`` in their order is an error. ``mask``: one glob or
-    several, of which any may match (S-01).
-    """
-    reader = (spark.read.schema(string_schema(columns))
-              .option("header", True).option("sep", sep)
+def _read_sheets(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str],
+                 mask: str | Sequence[str] | None, sep: str) -> DataFrame:
+    """Sheet rows with file and line; ``_RAW`` holds the text of rows with too few or too many
+    fields or an open quote. All columns are always parsed, so that this does not depend on
+    what is read later."""
+    reader = (spark.read.schema(string_schema([*columns, _RAW]))
+              .option("header", True).option("sep", sep).option("columnNameOfCorruptRecord", _RAW)
+              .option("columnPruning", False)
               .option("recursiveFileLookup", True).option("mode", "PERMISSIVE").option("enforceSchema", False))
     if mask:
         reader = reader.option("pathGlobFilter", any_mask(mask))
-    raw = reader.csv(path).select(
-        *columns,
+    # Spark does not read the text of malformed rows alone: this names a data column and holds for all rows.
+    some = F.coalesce(F.length(columns[0]), F.lit(0)) >= 0
+    raw = reader.csv(path if isinstance(path, str) else list(path)).where(some).select(
+        *columns, _RAW,
         F.col("_metadata.file_path").alias(_FILE),
         F.col("_metadata.file_block_start").alias(_BLOCK),
         instant_to_utc_ntz(F.col("_metadata.file_modification_time")).alias("FileEffectiveDate"),
         F.monotonically_increasing_id().alias(_MID),
     )
-    staged = with_line_numbers(raw)
+    return with_line_numbers(raw)
+
+
+def _lineage(parent_id: int, system_id: int, audit_id: int) -> dict[str, Column]:
+    return {"ParentSystemId": F.lit(parent_id).cast("bigint"), "SystemId": F.lit(system_id).cast("bigint"),
+            "FileLoadAuditId": F.lit(audit_id).cast("bigint")}
+
+
+def read_stage(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str], *,
+               parent_id: int, system_id: int, audit_id: int,
+               mask: str | Sequence[str] | None = None, load_by: str = "wharf",
+               load_process: str = "wharf.read_stage", sep: str = ",", keep_malformed: bool = True) -> DataFrame:
+    """S-03 load CSV sheets as strings with lineage columns.
+
+    FileLoadAuditId = ``audit_id``; FileEffectiveDate = file modification time
+    (UTC wall clock); LineNum = 1-based data line within its file. A file whose
+    header is not ``columns`` in their order is an error. ``mask``: one glob or
+    several, of which any may match (S-01). Rows of another number of fields are
+    padded or cut; without ``keep_malformed`` they are left to ``read_rejects``.
+    """
+    staged = _read_sheets(spark, path, columns, mask, sep)
+    if not keep_malformed:
+        staged = staged.where(F.col(_RAW).isNull())
+    own = _lineage(parent_id, system_id, audit_id)
     return staged.select(
-        F.lit(parent_id).cast("bigint").alias("ParentSystemId"),
-        F.lit(system_id).cast("bigint").alias("SystemId"),
+        own["ParentSystemId"].alias("ParentSystemId"),
+        own["SystemId"].alias("SystemId"),
         *columns,
-        F.lit(audit_id).cast("bigint").alias("FileLoadAuditId"),
+        own["FileLoadAuditId"].alias("FileLoadAuditId"),
         "LineNum", "FileEffectiveDate",
         F.lit(load_by).alias("LoadBy"),
         F.current_timestamp().alias("LoadDate"),
@@ -61,6 +82,22 @@ def read_stage(spark: SparkSession, path: str, columns: Sequence[str], *,
     )
 
 
+def read_rejects(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str], *,
+                 parent_id: int, system_id: int, audit_id: int,
+                 mask: str | Sequence[str] | None = None, sep: str = ",") -> DataFrame:
+    """S-03 the malformed rows of the same files: text, file and line.
+
+    They are inactive rows of their system, so a union with the stage (missing columns
+    NULL) counts them in the V-05 summary.
+    """
+    rows = _read_sheets(spark, path, columns, mask, sep).where(F.col(_RAW).isNotNull())
+    own = _lineage(parent_id, system_id, audit_id)
+    return rows.select(*[v.alias(k) for k, v in own.items()], "LineNum", "FileEffectiveDate",
+                       F.col(_FILE).alias("SourceFile"), F.col(_RAW).alias("RawRecord"),
+                       F.lit(True).alias("InactiveInd"), F.current_timestamp().alias("InactiveDate"),
+                       F.lit(MALFORMED).alias("InactiveReason"))
+
+
 def any_mask(mask: str | Sequence[str]) -> str:
     """S-01 one glob for a file mask or a list of them."""
     return mask if isinstance(mask, str) else "{" + ",".join(mask) + "}"
