@@ -93,23 +93,21 @@ def d08_lookback_price_flag(spark, sf):
 
 
 D08_SQL = """
-WITH p AS (SELECT CAST(ts AS DATE) AS date, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS SP500_Price
-           FROM events GROUP BY 1),
-dim AS (SELECT DISTINCT CAST(strftime(CAST(ts AS DATE), '%Y%m%d') AS BIGINT) AS datekey,
-               strftime(CAST(ts AS DATE), '%m/%d/%Y') AS fulldate FROM events),
-v1 AS (SELECT max(date) AS maxdate FROM p),
-v2 AS (SELECT min(date) AS mindate7 FROM p WHERE date <= (SELECT maxdate FROM v1) - INTERVAL 3 DAY
-                                          AND date >= (SELECT maxdate FROM v1) - INTERVAL 7 DAY),
-v3 AS (SELECT min(date) AS mindate30 FROM p WHERE date <= (SELECT maxdate FROM v1) - INTERVAL 23 DAY
-                                           AND date >= (SELECT maxdate FROM v1) - INTERVAL 1 MONTH),
-v4 AS (SELECT min(date) AS mindate90 FROM p WHERE date <= (SELECT maxdate FROM v1) - INTERVAL 80 DAY
-                                           AND date >= (SELECT maxdate FROM v1) - INTERVAL 3 MONTH)
-SELECT CAST(a.date AS VARCHAR) AS date, a.SP500_Price, b.datekey,
-       CASE WHEN a.date = v1.maxdate THEN '1' WHEN a.date = v2.mindate7 THEN '2'
-            WHEN a.date = v3.mindate30 THEN '3' WHEN a.date = v4.mindate90 THEN '4' END AS Flag
-FROM p a CROSS JOIN v1 CROSS JOIN v2 CROSS JOIN v3 CROSS JOIN v4
-LEFT JOIN dim b ON a.date = CAST(strptime(b.fulldate, '%m/%d/%Y') AS DATE)
-WHERE a.date IS NOT NULL
+WITH daily AS (
+  SELECT CAST(ts AS DATE) AS on_day, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS price
+  FROM events WHERE ts IS NOT NULL GROUP BY ALL),
+aged AS (SELECT on_day, max(on_day) OVER () AS newest FROM daily),
+spans(mark, reach, gap) AS (
+  VALUES ('2', INTERVAL 7 DAY, INTERVAL 3 DAY), ('3', INTERVAL 1 MONTH, INTERVAL 23 DAY),
+         ('4', INTERVAL 3 MONTH, INTERVAL 80 DAY)),
+marks AS (
+  SELECT '1' AS mark, max(newest) AS on_day FROM aged
+  UNION ALL
+  SELECT mark, min(on_day) FROM aged JOIN spans ON on_day BETWEEN newest - reach AND newest - gap GROUP BY mark)
+SELECT strftime(on_day, '%Y-%m-%d') AS date, price AS SP500_Price,
+       CAST(strftime(on_day, '%Y%m%d') AS BIGINT) AS datekey,
+       (SELECT min(mark) FROM marks WHERE marks.on_day = daily.on_day) AS Flag
+FROM daily
 """
 
 
@@ -128,19 +126,16 @@ def d09_yoy_flag(spark, sf):
 
 
 D09_SQL = f"""
-WITH a AS (
-  SELECT CAST(date_trunc('month', {_rd()}) AS DATE) AS Date_1, r_name AS Market,
-         CAST(sum(CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'
-                       THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DECIMAL(18,2)) AS Suspension_unassigned_pcnt,
-         {_ASOF_SQL}
-  FROM {_GEO_SQL} GROUP BY 1, 2),
-d AS (SELECT max(Date_1) AS maxdate, CAST(max(Date_1) - INTERVAL 1 YEAR AS DATE) AS mindate
-      FROM a WHERE Suspension_unassigned_pcnt IS NOT NULL),
-m AS (SELECT DISTINCT r_name AS market_description, CAST(r_regionkey AS BIGINT) AS market_dim_key FROM region)
-SELECT CAST(a.Date_1 AS VARCHAR) AS Date_1, a.Suspension_unassigned_pcnt, a.Market,
-       CASE WHEN a.Date_1 = d.maxdate THEN 1 WHEN a.Date_1 = d.mindate THEN 2 END AS YOYFlag,
-       m.market_dim_key, a.DataAsOf
-FROM a CROSS JOIN d LEFT JOIN m ON a.Market = m.market_description
+SELECT strftime(month_start, '%Y-%m-%d') AS Date_1, urgent AS Suspension_unassigned_pcnt, r_name AS Market,
+       CASE date_diff('month', month_start, max(month_start) FILTER (WHERE urgent IS NOT NULL) OVER ())
+            WHEN 0 THEN 1 WHEN 12 THEN 2 END AS YOYFlag,
+       (SELECT CAST(any_value(r_regionkey) AS BIGINT) FROM region WHERE region.r_name = monthly.r_name) AS market_dim_key,
+       DataAsOf
+FROM (
+  SELECT CAST(date_trunc('month', {_rd()}) AS DATE) AS month_start, r_name, {_ASOF_SQL},
+         CAST(sum(CAST(o_totalprice AS DECIMAL(18,2)))
+              FILTER (WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT') AS DECIMAL(18,2)) AS urgent
+  FROM {_GEO_SQL} GROUP BY month_start, r_name) monthly
 """
 
 
@@ -167,20 +162,14 @@ def d10_mom_flag(spark, sf):
 
 
 D10_SQL = f"""
-WITH a AS (
-  SELECT ' ' || n_name || ' ' AS Primary_Market,
-         strftime({_rd()} + to_hours(o_orderkey % 24), '%d-%B-%Y %H:%M')
-           || CASE WHEN hour({_rd()} + to_hours(o_orderkey % 24)) < 12 THEN 'AM' ELSE 'PM' END AS Date,
-         year({_rd()}) AS year, o_custkey % 50 AS count, strftime({_rd()}, '%Y-%m-%d') AS DataAsOf
-  FROM {_GEO_SQL}),
-p AS (SELECT *, strptime(regexp_replace(Date, '(AM|PM)$', ''), '%d-%B-%Y %H:%M') AS parsed FROM a),
-d AS (SELECT month(max(parsed)) AS maxmonth, max(year) AS maxyear FROM p),
-m AS (SELECT DISTINCT n_name AS market_description, CAST(n_nationkey AS BIGINT) AS market_dim_key FROM nation)
-SELECT p.Primary_Market, m.market_dim_key, p.parsed AS date, p.count,
-       CASE WHEN year = d.maxyear AND month(parsed) = d.maxmonth THEN 1
-            WHEN year = d.maxyear AND month(parsed) = d.maxmonth - 1 THEN 2 END AS MoMFlag,
-       p.DataAsOf
-FROM p CROSS JOIN d LEFT JOIN m ON trim(p.Primary_Market) = m.market_description
+SELECT ' ' || n_name || ' ' AS Primary_Market, on_time AS date, headcount AS count, as_of AS DataAsOf,
+       (SELECT CAST(any_value(n_nationkey) AS BIGINT) FROM nation WHERE nation.n_name = notices.n_name) AS market_dim_key,
+       CASE WHEN year(day) = max(year(day)) OVER ()
+            THEN CASE month(max(on_time) OVER ()) - month(on_time) WHEN 0 THEN 1 WHEN 1 THEN 2 END END AS MoMFlag
+FROM (
+  SELECT n_name, {_rd()} AS day, CAST({_rd()} + to_hours(o_orderkey % 24) AS TIMESTAMP) AS on_time,
+         o_custkey % 50 AS headcount, strftime({_rd()}, '%Y-%m-%d') AS as_of
+  FROM {_GEO_SQL}) notices
 """
 
 
