@@ -264,3 +264,68 @@ def test_strict_wall_times_are_whole(spark, text):
         df.select(casts.wall_datetime("s", safe=False)).collect()
     good = spark.createDataFrame([("2024-06-01T10:00:00-05:00",), (None,)], "s string")
     assert [r[0] for r in good.select(casts.wall_datetime("s", safe=False)).collect()] == [dt.datetime(2024, 6, 1, 10), None]
+
+
+def test_shares_of_wide_amounts(spark):
+    """Against exact arithmetic, up to 28 digits before the point."""
+    from decimal import ROUND_HALF_UP, Decimal, localcontext
+
+    from wharf.operators.allocate import share_product
+    made = [(m, s) for m in ("9999999999999999999999999998.999999999", "-9200000000000000000000000001.5", "0.000000001",
+                             "12345678901234567890123456.123456789", "999999999.999999999", "0")
+            for s in ("0.333333333", "1", "0.000000001", "1.5", None) if abs(float(m) * float(s or 1)) < 1e28]
+    df = spark.createDataFrame(made, "m string, s string").select(
+        F.col("m").cast("decimal(38,9)").alias("m"), F.col("s").cast("decimal(13,9)").alias("s"))
+    with localcontext() as ctx:
+        ctx.prec = 80
+        want = [(Decimal(m) * Decimal(s or 1)).quantize(Decimal("1e-9"), ROUND_HALF_UP) for m, s in made]
+    assert [r[0] for r in df.select(share_product(F.col("m"), F.col("s"))).collect()] == want
+    narrow = df.where(F.abs("m") < 10 ** 9).select(F.col("m").cast("decimal(18,9)").alias("m"), "s")
+    types = (narrow.schema["m"].dataType, narrow.schema["s"].dataType)
+    both = narrow.select(share_product(F.col("m"), F.col("s"), types).alias("a"), share_product(F.col("m"), F.col("s")).alias("b"))
+    assert both.where("NOT a <=> b").count() == 0 and both.count() == 10 + 5 * 1
+
+
+def test_views_are_published_in_order(spark):
+    """Inputs first; after a change only what the changed input reaches."""
+    from graphlib import CycleError
+
+    from wharf.plans import views
+    gdp = spark.createDataFrame([("GDP", "Current", "m", "a", 1.0, "x", 2024)],
+                                "Type string, Current_Prev string, Market string, Attribute string, Average double, DataAsOf string, Year int")
+    gdp.createOrReplaceTempView("t_gdp")
+    spark.createDataFrame([("m", 5)], "Market_Description string, market_dim_key long").createOrReplaceTempView("t_markets")
+    spark.createDataFrame([(2024, "l", 1.0, 2.0, 3.0, "x")],
+                          "CY int, Label string, Prior_Forecast double, Current_Forecast double, QoQ double, DataAsOf string").createOrReplaceTempView("t_outlook")
+    graph = {"v_late": ("view6", ("v_outlook",)), "v_outlook": ("view6", ("t_outlook",)), "v_gdp": ("view4", ("t_gdp", "t_markets"))}
+    order = views.publish_graph(spark, graph)
+    assert sorted(order) == sorted(graph) and order.index("v_outlook") < order.index("v_late")
+    assert spark.table("v_gdp").collect()[0].market_dim_key == 5 and spark.table("v_late").count() == 1
+    spark.createDataFrame([("m", 6)], "Market_Description string, market_dim_key long").createOrReplaceTempView("t_markets")
+    assert views.publish_graph(spark, graph, {"t_markets"}) == ["v_gdp"]
+    assert spark.table("v_gdp").collect()[0].market_dim_key == 6
+    assert views.publication_order(graph, {"t_outlook"}) == ["v_outlook", "v_late"] and views.publication_order(graph, set()) == []
+    with pytest.raises(CycleError):
+        views.publication_order({"a": ("view6", ("b",)), "b": ("view6", ("a",))})
+
+
+def test_stream_without_repeats(spark, tmp_dir):
+    """Repeats within the delay go, late rows go, a key comes again after its state expired."""
+    from wharf.streaming.intake import unique_rows
+
+    def day(d, h=0):
+        return dt.datetime(2024, 1, d, h)
+
+    batches = [[("a", 1, day(10)), ("a", 2, day(10, 1)), ("b", 3, day(10)), (None, 4, day(10)), (None, 5, day(10))],
+               [("a", 6, day(10, 2)), ("c", 7, day(11))],
+               [("d", 8, day(20)), ("d", 9, day(20))],
+               [("e", 10, day(12)), ("b", 11, day(20)), ("a", 12, day(21))]]     # e is late; a and b have expired
+    schema = "k string, n long, t timestamp"
+    got = []
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_dir}/in/{i}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_dir}/in")
+        (unique_rows(stream, ["k"], "t", "2 days").writeStream.format("parquet").option("path", f"{tmp_dir}/out")
+         .option("checkpointLocation", f"{tmp_dir}/ck").trigger(availableNow=True).start().awaitTermination())
+        got.append(sorted(r.k or "" for r in spark.read.schema(schema).parquet(f"{tmp_dir}/out").collect()))
+    assert got == [["", "a", "b"], ["", "a", "b", "c"], ["", "a", "b", "c", "d"], ["", "a", "a", "b", "b", "c", "d"]]

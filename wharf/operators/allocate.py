@@ -30,19 +30,23 @@ def _scale(df: DataFrame, c: Column | str) -> int | None:
     return dt.scale if isinstance(dt, T.DecimalType) else None
 
 
-def share_product(measure: Column, share: Column) -> Column:
+def share_product(measure: Column, share: Column, types: tuple[T.DataType, T.DataType] | None = None) -> Column:
     """measure * IFNULL(share, 1) at NUMERIC precision, rounded per row like NUMERIC.
 
-    A product of two wide decimals would lose places in Spark, so the measure is
-    taken in two parts, billions and the rest: each product is exact, the first is
-    whole, and only the second is rounded. Good for amounts below 9.2 * 10^27.
+    Where the declared ``types`` of both fit one exact product, that is taken. A
+    product of two wide decimals would lose places in Spark, so the measure is then
+    taken in two limbs, whole billions and the rest: the first product is a whole
+    number and exact, and only the second is rounded. Good for products below 10^28
+    (a wider sum of decimals would lose its last place); larger ones raise.
     """
+    if types is not None and all(isinstance(t, T.DecimalType) for t in types):
+        m, s = types
+        if m.precision + s.precision + 1 <= 38 and s.precision > s.scale:
+            return (measure * F.coalesce(share, F.lit(1).cast(s))).cast(NUMERIC)
     m, s = measure.cast(NUMERIC), F.coalesce(share, F.lit(1)).cast(SHARE_T)
-    e9 = F.lit(_E9).cast("decimal(10,0)")
-    billions = F.call_function("div", m, e9).cast("decimal(19,0)")
-    whole = ((billions * s) * e9).cast("decimal(37,9)")
-    rest = ((m % e9).cast("decimal(18,9)") * s).cast("decimal(23,9)")
-    return (whole + rest).cast(NUMERIC)
+    rest = m % F.lit(_E9).cast("decimal(10,0)")
+    whole = ((m - rest).cast("decimal(29,0)") * s).cast("decimal(37,9)")
+    return (whole + (rest.cast("decimal(18,9)") * s).cast("decimal(23,9)")).cast(NUMERIC)
 
 
 def allocate(facts: DataFrame, shares: DataFrame, on: Sequence[tuple[str, str]],
@@ -77,8 +81,10 @@ def allocate(facts: DataFrame, shares: DataFrame, on: Sequence[tuple[str, str]],
         facts = facts.select(*pre_cols, *[m.alias(f"__m_{n}") for n, m in measures.items()],
                              *[m.alias(f"__f_{n}") for n, m in float_measures.items()])
 
+    share_type = shares.schema[share_col].dataType
+
     def product(n: str, share: Column) -> Column:
-        return share_product(F.col(f"__m_{n}"), share)
+        return share_product(F.col(f"__m_{n}"), share, (facts.schema[f"__m_{n}"].dataType, share_type))
 
     right = shares.select(*[F.col(s).alias(f"__k_{i}") for i, (_, s) in enumerate(on)],
                           F.col(share_col).alias("__share"),

@@ -14,7 +14,7 @@ from wharf.session import scratch_path
 from wharf.sources import layers, stage
 from wharf.sources.ledger import FileLedger
 from wharf.sources.versions import VersionedTable
-from wharf.streaming.intake import incremental_intake
+from wharf.streaming.intake import incremental_intake, unique_rows
 
 #: Files of one delivered sheet.
 SHEET_FILES = 4
@@ -231,6 +231,22 @@ SELECT CAST(3462 AS BIGINT) AS ParentSystemId, o_orderstatus AS Cosa, o_orderpri
 FROM orders
 """
 
+def k01_unique_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The events delivered twice as a stream, in files by day: each key passes once."""
+    events = table(spark, sf, "events").where("ts IS NOT NULL")
+    landing, out = scratch_path(spark, "events"), scratch_path(spark, "unique-events")
+    for _ in range(2):
+        events.select("event_id", F.col("ts").cast("timestamp").alias("at"), "user_id").write.mode("append").parquet(landing)
+    schema = spark.read.parquet(landing).schema
+    stream = unique_rows(spark.readStream.schema(schema).parquet(landing), ["event_id", "user_id"], "at", "400 days")
+    (stream.select("event_id", "user_id").writeStream.format("parquet").option("path", out)
+     .option("checkpointLocation", scratch_path(spark, "unique-checkpoint")).trigger(availableNow=True)
+     .start().awaitTermination())
+    return spark.read.parquet(out)
+
+
+K01_UNIQUE_SQL = "SELECT DISTINCT event_id, user_id FROM events WHERE ts IS NOT NULL"
+
 QUERIES = {
     "S-01_file_ledger": s01_file_ledger,
     "S-03_stage_load": s03_stage_load,
@@ -240,6 +256,7 @@ QUERIES = {
     "S-08_publish_views": s08_publish_views,
     "S-09_run_audit": s09_run_audit,
     "K-01_login_intake": k01_login_intake,
+    "K-01_unique_rows": k01_unique_rows,
 }
 
 
@@ -263,4 +280,5 @@ ORACLES = {
     "S-08_publish_views": S08_SQL,
     "S-09_run_audit": _s09_sql(),
     "K-01_login_intake": K01_SQL,
+    "K-01_unique_rows": K01_UNIQUE_SQL,
 }

@@ -7,6 +7,8 @@ DISTINCT projection whose strategy AQE picks from the measured size.
 
 from __future__ import annotations
 
+from graphlib import TopologicalSorter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,3 +179,31 @@ def publish(spark, tables: dict[str, tuple[str, tuple[DataFrame, ...]]]) -> list
         VIEWS[key](*inputs).createOrReplaceTempView(name)
         names.append(name)
     return names
+
+
+#: Views that read other views or tables by name: {name: (registry key, names of its inputs)}.
+ViewGraph = dict[str, tuple[str, tuple[str, ...]]]
+
+
+def publication_order(graph: ViewGraph, changed: set[str] | None = None) -> list[str]:
+    """S-08 the views to publish, inputs first: all, or those that a changed input reaches.
+
+    A cycle raises ``graphlib.CycleError``.
+    """
+    order = [n for n in TopologicalSorter({v: set(ins) for v, (_, ins) in graph.items()}).static_order() if n in graph]
+    if changed is None:
+        return order
+    reached = set(changed)
+    for name in order:
+        if reached.intersection(graph[name][1]):
+            reached.add(name)
+    return [n for n in order if n in reached]
+
+
+def publish_graph(spark, graph: ViewGraph, changed: set[str] | None = None) -> list[str]:
+    """S-08 publish the views of a graph over tables and views that the session knows by name."""
+    names = publication_order(graph, changed)
+    for name in names:
+        key, inputs = graph[name]
+        publish(spark, {name: (key, tuple(spark.table(i) for i in inputs))})
+    return names

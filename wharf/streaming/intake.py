@@ -22,6 +22,8 @@ its rows are newer loads of the same keys, so the upsert updates in place.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -98,3 +100,15 @@ def incremental_intake(spark: SparkSession, landing: str, spec: feeds.FeedSpec,
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
+
+
+def unique_rows(stream: DataFrame, keys: Sequence[str], event_time: str, delay: str) -> DataFrame:
+    """K-01 rows of a stream without repeats of their business key.
+
+    The first row of a key passes; repeats whose event times lie within ``delay`` of each
+    other do not. State is kept for that long only, so it does not grow with the stream.
+    Late rule: a row older than the newest event time less ``delay`` (as of the batches
+    before) is dropped, whether or not its key was seen; a key that comes again after its
+    state has expired passes again. NULL is a key like any other.
+    """
+    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
