@@ -29,6 +29,8 @@ from wharf.llm.common import text_of
 from wharf.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
+#: Matches of a text whose starts are summed at a time.
+BLOCK = 256
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -69,12 +71,22 @@ def luhn(digits: Column) -> Column:
     return total % 10 == 0
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, as the element of a one-element array."""
+    return F.transform(F.array(value), use)[0]
+
+
 def find(text: Column, regex: str) -> Column:
-    """Leftmost non-overlapping matches: array of (start, stop, match, before)."""
+    """Leftmost non-overlapping matches: array of (start, stop, match, before).
+
+    Starts are sums of the lengths before, taken in blocks: an array that grows match by
+    match would be copied each time, which costs the square of their number.
+    """
+    spans = "array<struct<start:int,stop:int,m:string,before:string>>"
+    empty = F.coalesce(F.lit(None).cast(spans), F.array().cast(spans))
     zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(regex), 0).alias("m"),
                           F.split(text, regex, -1).alias("p"))
-    empty = F.lit(None).cast("array<struct<start:int,stop:int,m:string,before:string>>")
-    empty = F.coalesce(empty, F.array().cast("array<struct<start:int,stop:int,m:string,before:string>>"))
+    found = F.filter(zipped, lambda x: x["m"].isNotNull())
 
     def step(acc, x):
         start = acc["at"] + F.length(x["p"])
@@ -83,9 +95,25 @@ def find(text: Column, regex: str) -> Column:
                        F.substring(x["p"], -32, 32).alias("before"))
         return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    found = F.filter(zipped, lambda x: x["m"].isNotNull())
-    walk = F.aggregate(found, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(regex), walk).otherwise(empty)
+    def walk(block, at):
+        return F.aggregate(block, F.struct(at.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    def in_blocks(blocks):
+        sizes = F.transform(blocks, lambda b: F.aggregate(
+            b, F.lit(0), lambda n, x: n + F.length(x["p"]) + F.length(x["m"])))
+        none = F.array().cast("array<int>")
+        starts = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.coalesce(F.lit(None).cast("array<int>"), none).alias("out")),
+                             lambda acc, n: F.struct((acc["at"] + n).alias("at"),
+                                                     F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+                             lambda acc: acc["out"])
+        return _once(starts, lambda s: F.flatten(F.transform(blocks, lambda b, i: walk(b, F.get(s, i)))))
+
+    def split(all_found):
+        last = F.floor((F.size(all_found) - 1) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(all_found, i * BLOCK + 1, F.lit(BLOCK)))
+        return _once(blocks, in_blocks)
+
+    return F.when(text.rlike(regex), _once(found, split)).otherwise(empty)
 
 
 def _vote(yes: Column, no: Column) -> Column:
