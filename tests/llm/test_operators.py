@@ -222,6 +222,34 @@ def test_classifiers_learn(spark):
     assert all(0 <= r.expected_grade <= 2 and 0 <= r.tail_probability <= 1 for r in graded)
 
 
+def test_sample_is_bounded_by_rows(spark):
+    """Many rows of one id count once."""
+    from wharf.llm.hashed_text import labelled_sample
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(i, "other") for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, toxic int")
+    from pyspark.sql import functions as F
+    got = labelled_sample(docs, labels, F.col("toxic"), 10).collect()
+    assert len(got) == 10
+    assert len(labelled_sample(docs.where("doc_id < 3"), labels, F.col("toxic"), 100).collect()) <= 2
+
+
+def test_many_matches_in_one_text(spark):
+    """Spans over several blocks, against a plain search; time in proportion to their number."""
+    import time
+    line = "host 10.1.2.3 and\u00e9 é 192.168.0.77, mail a@b.org; "
+    took = []
+    for n in (2000, 16000):
+        text = line * n
+        table = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        begun = time.time()
+        got = pii.find_personal_data(table).first()
+        took.append(time.time() - begun)
+        want = [(KIND, m.start(), m.end()) for KIND, rx in ((0, r"a@b\.org"), (1, r"[0-9]+(?:\.[0-9]+){3}"))
+                for m in re.finditer(rx, text)]
+        assert [tuple(s) for s in got.base] == want
+    assert took[1] < 30 * took[0]                              # 64 times if it were the square
+
+
 def test_quality_edges(docs, labels, empty):
     assert score_quality(docs, labels).count() == docs.count()
     assert score_quality(empty, labels).count() == 0

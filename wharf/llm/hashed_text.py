@@ -64,11 +64,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, grade, max_rows: int) ->
     """(y, text) of at most ``max_rows`` labelled rows, chosen by a hash of doc_id.
 
     ``grade`` is a column of ``labels``. Held-out rows and rows without a grade
-    are left out. The chosen ids (at most ``max_rows``) are what is broadcast.
+    are left out. The chosen ids (at most ``max_rows``) are what is broadcast; of rows
+    that repeat an id the text with the smallest hash is taken.
     """
     ids = (labels.select("doc_id", grade.cast("int").alias("y"))
            .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull()).where(~held_out())
            .groupBy("doc_id").agg(F.max("y").alias("y"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    chosen = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id")
-    return materialize(chosen.select("y", "text"), "labelled-sample")
+    chosen = (docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id")
+              .groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")))
+    return materialize(chosen.select("y", "t.text"), "labelled-sample")
