@@ -60,15 +60,17 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, for scratch tables.
 
     ``spark.checkpoint.dir`` of the session if set, else the context's
-    checkpoint folder, else a folder inside the warehouse (which is shared by
-    definition). Never a machine-local temporary folder, and no setting of the
-    caller is changed.
+    checkpoint folder, else a folder inside the warehouse. On a cluster a
+    warehouse in a local folder is refused: it is not shared. Never a
+    machine-local temporary folder, and no setting of the caller is changed.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
         if not warehouse:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by driver and executors")
+        if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"the warehouse {warehouse} is a local folder: set spark.checkpoint.dir to a shared one")
         root = f"{warehouse.rstrip('/')}/_scratch"
     return root.rstrip("/")
 
