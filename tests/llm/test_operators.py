@@ -222,6 +222,46 @@ def test_classifiers_learn(spark):
     assert all(0 <= r.expected_grade <= 2 and 0 <= r.tail_probability <= 1 for r in graded)
 
 
+def test_ratios_against_counts(spark):
+    """Log-count ratios against a count over all pairs of feature and text."""
+    from wharf.llm import toxicity
+    from wharf.llm.hashed_text import Hasher
+    rng = random.Random(11)
+    made = [(i % 3 == 0, " ".join(rng.choices(["vile", "nice", "word", "Été", "x"], k=rng.randint(0, 9)))) for i in range(40)]
+    sample = spark.createDataFrame([(int(y), t) for y, t in made], "y int, text string").repartition(3)
+    ratio, rows = toxicity.log_count_ratios(sample, least=0.0)
+    hasher = Hasher(toxicity.ORDERS, toxicity.BITS)
+    held = [set(hasher.present(t).tolist()) for _, t in made]
+    n = [sum(not y for y, _ in made), sum(y for y, _ in made)]
+    assert rows.tolist() == n
+    for i in set().union(*held):
+        seen = [sum(i in h and y == c for h, (y, _) in zip(held, made)) for c in (0, 1)]
+        soft = [toxicity.SMOOTH * n[c] / len(made) for c in (0, 1)]
+        assert ratio[i] == pytest.approx(np.log((seen[1] + soft[1]) / n[1] / ((seen[0] + soft[0]) / n[0])))
+    assert np.count_nonzero(ratio) <= len(set().union(*held))
+
+
+def test_ordinal_fit_is_stationary():
+    """At the fit the numerical gradient of the likelihood vanishes and thresholds are ordered."""
+    from wharf.llm.quality import fit_ordinal
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 3))
+    y = np.digitize(x @ np.array([1.0, -2.0, 0.5]) + rng.logistic(size=300), [-1.0, 1.5])
+    row, col = np.repeat(np.arange(300), 3), np.tile(np.arange(3), 300)
+    l2 = 1e-3
+    w, theta = fit_ordinal(y, row, col, x.ravel(), 3, 3, l2=l2, rounds=2000)
+
+    def loss(p):
+        z, bounds = x @ p[:3], np.concatenate([[-np.inf], p[3:], [np.inf]])
+        cdf = lambda v: 1 / (1 + np.exp(-np.clip(v, -40, 40)))
+        return -np.log(cdf(bounds[y + 1] - z) - cdf(bounds[y] - z)).mean() + l2 / 2 * (p[:3] ** 2).sum()
+
+    p, h = np.concatenate([w, theta]), 1e-5
+    slope = [(loss(p + h * e) - loss(p - h * e)) / (2 * h) for e in np.eye(5)]
+    assert theta[0] < theta[1] and np.abs(slope).max() < 2e-3
+    assert w == pytest.approx([1.0, -2.0, 0.5], abs=0.6)
+
+
 def test_sample_is_bounded_by_rows(spark):
     """Many rows of one id count once."""
     from wharf.llm.hashed_text import labelled_sample

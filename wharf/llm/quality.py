@@ -81,20 +81,26 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_ROWS) -> tu
     """Shared weights, and the thresholds between grades 0..K (one row each, bounded)."""
     sample = labelled_sample(docs, labels, rating(), max_rows)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher(ORDERS, BITS)
-        pdf = pdf.sort_values(["y", "text"])
+        for pdf in batches:
+            found = [_features(hasher, t) for t in pdf["text"]]
+            yield pd.DataFrame({"y": pdf["y"], "k": pdf["k"], "ids": [i for i, _ in found], "x": [x for _, x in found]})
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "k"])
         y = pdf["y"].to_numpy(int)
         if len(np.unique(y)) < 2:  # -1: the only grade
             return pd.DataFrame({"id": [-1], "weight": [float(y[0])]})
-        found = [_features(hasher, t) for t in pdf["text"]]
-        row = np.repeat(np.arange(len(found)), [len(i) for i, _ in found])
-        w, theta = fit_ordinal(y, row, np.concatenate([i for i, _ in found]),
-                               np.concatenate([x for _, x in found]), 1 << BITS, int(y.max()) + 1)
+        row = np.repeat(np.arange(len(pdf)), [len(i) for i in pdf["ids"]])
+        w, theta = fit_ordinal(y, row, np.concatenate(list(pdf["ids"])).astype(np.int64),
+                               np.concatenate(list(pdf["x"])), 1 << BITS, int(y.max()) + 1)
         return pd.DataFrame({"id": np.concatenate([np.arange(1 << BITS), -2 - np.arange(len(theta))]),
                              "weight": np.concatenate([w, theta])})
 
-    got = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fit, "id long, weight double").toPandas()
+    # Texts are hashed in parallel; the one task that fits gets at most 2**BITS values of a row.
+    hashed = sample.withColumn("k", F.xxhash64("text")).mapInPandas(features, "y int, k long, ids array<long>, x array<double>")
+    got = hashed.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fit, "id long, weight double").toPandas()
     weights, theta = np.zeros(1 << BITS), got[got["id"] <= -2].sort_values("id", ascending=False)["weight"].to_numpy()
     some = got[got["id"] >= 0]
     weights[some["id"].to_numpy()] = some["weight"].to_numpy()

@@ -90,17 +90,22 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_ROWS) -> tu
         return np.zeros(1 << BITS), float(np.log(max(share, 1e-12) / max(1 - share, 1e-12)))
     scale = sample.sparkSession.sparkContext.broadcast(ratio)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r, hasher = scale.value, Hasher(ORDERS, BITS)
-        pdf = pdf.sort_values(["y", "text"])  # rounding, and so the model, doesn't depend on arrival
-        ids = [hasher.present(t, r != 0) for t in pdf["text"]]
-        col = np.concatenate(ids).astype(np.int64)
-        row = np.repeat(np.arange(len(ids)), [len(k) for k in ids])
+        for pdf in batches:
+            yield pdf.assign(ids=[hasher.present(t, r != 0).astype(np.int32) for t in pdf["text"]])[["y", "k", "ids"]]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "k"])  # rounding, and so the model, doesn't depend on arrival
+        col = np.concatenate(list(pdf["ids"])).astype(np.int64)
+        row = np.repeat(np.arange(len(pdf)), [len(i) for i in pdf["ids"]])
         used, dense = np.unique(col, return_inverse=True)
-        w, b = _fit_logistic(pdf["y"].to_numpy(float), row, dense, r[col], len(used))
-        return pd.DataFrame({"id": np.append(used, -1), "weight": np.append(w * r[used], b)})
+        w, b = _fit_logistic(pdf["y"].to_numpy(float), row, dense, scale.value[col], len(used))
+        return pd.DataFrame({"id": np.append(used, -1), "weight": np.append(w * scale.value[used], b)})
 
-    got = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fit, "id long, weight double").toPandas()
+    # Texts are hashed in parallel; the one task that fits gets at most 2**BITS ids of a row.
+    hashed = sample.withColumn("k", F.xxhash64("text")).mapInPandas(features, "y int, k long, ids array<int>")
+    got = hashed.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fit, "id long, weight double").toPandas()
     scale.unpersist()
     weights = np.zeros(1 << BITS)
     some = got[got["id"] >= 0]
