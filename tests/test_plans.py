@@ -9,8 +9,9 @@ from wharf.operators.anchors import AnchorSpec, anchor_dates, select_anchors
 from wharf.operators.dedup import latest_per_key
 from wharf.plans import feeds, views
 from wharf.plans.feeds import FEEDS
-from wharf.plans.queries_views import d19_dim_lookup_left, dcs_input
+from wharf.plans.queries_views import d16_footer_maxima, d19_dim_lookup_left, dcs_input
 from wharf.plans.queries_feed import d03_validate_rows
+from wharf.sources.footers import footer_reader, for_maxima, partition_values
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +75,24 @@ def test_column_pruning_reaches_scan(spark):
     p = plan(d19_dim_lookup_left(spark, SF))
     schema = [line for line in p.splitlines() if line.startswith("ReadSchema") and "c_custkey" in line][0]
     assert "c_acctbal" not in schema and "c_mktsegment" not in schema
+
+
+def test_stored_maxima_come_from_footers(spark, tmp_dir):
+    p = plan(d16_footer_maxima(spark, SF))
+    assert p.count("PushedAggregation: [MAX(") == 4 and "PushedAggregation: [COUNT(*)]" in p
+    assert "FileScan" not in p and "ColumnarToRow" not in p            # no row is read
+
+    rows = [(1, "2024-01-31", "b", "FY24Q1"), (5, None, None, "FY24Q2"), (7, "2023-01-31", "a", None)]
+    made = spark.createDataFrame(rows, "n long, d string, t string, q string").withColumn("d", F.col("d").cast("date"))
+    made.repartition(3).write.partitionBy("q").parquet(f"{tmp_dir}/t")
+    stored = footer_reader(spark, f"{tmp_dir}/t")
+    by = for_maxima(spark, f"{tmp_dir}/t", ["n", "d", "t"])
+    tops = {c: by[c].agg(F.max(c)) for c in by}
+    assert {c: str(top.first()[0]) for c, top in tops.items()} == {"n": "7", "d": "2024-01-31", "t": "b"}
+    assert "PushedAggregation: [MAX(n)]" in plan(tops["n"])
+    assert "FileScan" in plan(tops["d"]) or "Scan parquet" in plan(tops["d"])   # one file has no date at all
+    assert "PushedAggregation" not in plan(tops["t"])                           # texts: an ordinary scan
+    assert partition_values(stored, "q").agg(F.max("q")).first()[0] == "FY24Q2"
+    made.limit(0).write.parquet(f"{tmp_dir}/none")
+    assert for_maxima(spark, f"{tmp_dir}/none", ["n"])["n"].agg(F.max("n")).first()[0] is None
+    assert "parquet" in spark.conf.get("spark.sql.sources.useV1SourceList")   # the caller's reads keep their reader

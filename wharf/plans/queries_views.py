@@ -17,7 +17,8 @@ from wharf.plans import views
 from wharf.plans.opportunity import reporting_status_date
 from wharf.plans.queries_marts import OPP_SQL, _fy, _rd
 from wharf.plans.testdata import _reporting_date, dec2, opportunity_snapshot, table
-from wharf.session import delete_at_exit, shared_folder
+from wharf.session import delete_at_exit, scratch_path, shared_folder
+from wharf.sources.footers import footer_reader, for_maxima, partition_values
 from wharf.sources.layers import read_shards, union_shards
 
 
@@ -233,6 +234,24 @@ def d16_data_as_of(spark, sf):
     return data_as_of(freshness_probes(spark, sf))
 
 
+def d16_footer_maxima(spark, sf):
+    """D-16 over published tables that store their date keys, as a warehouse's tables do:
+    each maximum comes from footers, the newest quarter from the partition values."""
+    keys: dict[int, tuple[DataFrame, list]] = {}
+    for name, (df, key, kind) in freshness_probes(spark, sf).items():
+        keys.setdefault(id(df), (df, []))[1].append((name, key, kind))
+    probes = {}
+    for df, asked in keys.values():
+        path = scratch_path(spark, "keyed")
+        by = [name for name, _, kind in asked if kind == "fyq"]
+        df.select(*[key.alias(name) for name, key, _ in asked]).write.partitionBy(*by).parquet(path)
+        readers = for_maxima(spark, path, [name for name, _, _ in asked if name not in by])
+        for name, _, kind in asked:
+            stored = partition_values(footer_reader(spark, path), name) if name in by else readers[name]
+            probes[name] = (stored, F.col(name), kind)
+    return data_as_of(probes)
+
+
 _LABEL_SQL = """CASE substr(datekey, 5, 2) WHEN '01' THEN 'Jan' WHEN '02' THEN 'Feb' WHEN '03' THEN 'Mar'
   WHEN '04' THEN 'Apr' WHEN '05' THEN 'May' WHEN '06' THEN 'Jun' WHEN '07' THEN 'Jul' WHEN '08' THEN 'Aug'
   WHEN '09' THEN 'Sep' WHEN '10' THEN 'Oct' WHEN '11' THEN 'Nov' WHEN '12' THEN 'Dec' END"""
@@ -609,6 +628,7 @@ QUERIES = {
     "D-10_mom_flag": d10_mom_flag,
     "D-11_unpivot_relabel": d11_unpivot_relabel,
     "D-16_data_as_of": d16_data_as_of,
+    "D-16_footer_maxima": d16_footer_maxima,
     "D-17_kpi_freshness": d17_kpi_freshness,
     "D-18_safe_cast_view": d18_safe_cast_view,
     "D-19_dim_lookup_left": d19_dim_lookup_left,
@@ -630,6 +650,7 @@ ORACLES = {
     "D-10_mom_flag": D10_SQL,
     "D-11_unpivot_relabel": D11_SQL,
     "D-16_data_as_of": D16_SQL,
+    "D-16_footer_maxima": D16_SQL,
     "D-17_kpi_freshness": D17_SQL,
     "D-18_safe_cast_view": D18_SQL,
     "D-19_dim_lookup_left": D19_SQL,
