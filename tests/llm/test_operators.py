@@ -342,6 +342,45 @@ def test_decontamination(spark, docs, empty):
     assert decontam.find_contaminated(mine, bench.limit(0)).count() == 0
 
 
+def test_contamination_against_brute_force(spark):
+    """Random documents with pieces of items: coverage by tiling every item against every document."""
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(30)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.randint(3, 30)))) for i in range(25)]
+    items += [(100 + i, f"what is the value of item{i} now") for i in range(20)]    # one seed in many items
+    docs = []
+    for d in range(40):
+        parts = [" ".join(rng.choices(vocab, k=rng.randint(0, 20))) for _ in range(3)]
+        for _ in range(3):
+            w = rng.choice(items)[1].split()
+            a = rng.randrange(len(w))
+            parts.insert(rng.randrange(len(parts)), " ".join(w[a:a + rng.randint(4, 20)]))
+        docs.append((d, " ".join(parts)))
+    mine, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = set()
+    for d, text in docs:
+        for i, item in items:
+            covered = _greedy(item.split(), text.split(), decontam.SEED)
+            if covered and covered >= 0.5 * len(item.split()):
+                want.add((d, i, covered, len(item.split())))
+    for shard_words in (decontam.SHARD_WORDS, 60):
+        got = decontam.find_contaminated(mine, bench, shard_words=shard_words).collect()
+        assert len(got) == len(want) > 30
+        assert {(r.doc_id, r.item_id, r.covered_words, r.item_words) for r in got} == want
+        kept = decontam.drop_contaminated(mine, bench, shard_words=shard_words).collect()
+        assert sorted(r.doc_id for r in kept) == sorted({d for d, _ in docs} - {w[0] for w in want})
+
+
+def test_seed_of_many_items_is_tiled_once(monkeypatch):
+    """8,000 items that share one seed: one tiling a document; unlike items are left out before any."""
+    calls, tile = [], decontam.tile
+    monkeypatch.setattr(decontam, "tile", lambda *a: calls.append(1) or tile(*a))
+    shard = decontam.Shard([(i, f"what is the value of item{i} now") for i in range(8000)]
+                           + [(-i, "what is the value of " + " ".join(f"x{i}y{j}" for j in range(6))) for i in range(1, 2000)], 5)
+    found = list(shard.matches("so what is the value of that", 0.5))
+    assert len(found) == 8000 and {f[1:] for f in found} == {(5, 7)} and len(calls) == 1
+
+
 @pytest.mark.parametrize("text", ["слово и дело " * 100, "λόγος " * 300, "漢字" * 1200, "क्या है " * 150, "plain words " * 150])
 def test_shards_in_any_alphabet(spark, text):
     """The words and characters of a shard are bounded whatever the alphabet."""

@@ -27,10 +27,10 @@ def ascii_lower(c: Column) -> Column:
              .otherwise(F.translate(c, string.ascii_uppercase, string.ascii_lowercase)))
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id (null included) is in ``ids``; all columns."""
-    ids = ids.select(F.col("doc_id").alias("_keep_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_keep_id"]), "left_semi")
+def delete(spark: SparkSession, path: str) -> None:
+    """Scratch that nothing reads any more."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -3,7 +3,11 @@
 Seeds: runs of ``seed`` words (lower-cased ``\\w+``) that a benchmark item and a
 document share. Items come in shards of a bounded number of words; a shard's
 seed index is what is broadcast, and more items mean more shards, so the bound
-holds for a benchmark of any size. Documents are streamed past each shard whole.
+holds for a benchmark of any size. Documents are streamed past each shard whole;
+with several shards a pass is written before the next one starts, so that one
+broadcast is held at a time. Items whose seeds cover too little of them go before
+any tiling, and items that look alike outside their unshared words are tiled once,
+so a seed that thousands of items share costs a document little more than one item.
 For an item whose seeds cover enough of it, tiling repeatedly finds the longest
 match between the unmarked words of both sides (running Karp-Rabin hashes, word
 by word verification), marks it, and goes on down to the seed length. The share
@@ -28,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from wharf.llm.common import text_of
-from wharf.session import materialize
+from wharf.llm.common import delete, ranges, text_of
+from wharf.session import materialize, scratch_path
 
 SEED = 5
 THRESHOLD = 0.5
@@ -118,6 +122,7 @@ class Shard:
         place = np.concatenate([np.arange(len(h)) for h, _ in found] or [np.zeros(0, np.int64)])
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.item, self.place = hashes[order], item[order].astype(np.int64), place[order]
+        self.size = np.array([len(w) for w in self.ids], np.int64)
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
@@ -148,17 +153,32 @@ class Shard:
         inside = np.cumsum(inside)[:-1] > 0
         short = np.where(inside, t, np.uint64(0))
         short = short[inside | np.concatenate([[False], inside[:-1]])]
-        distinct = np.unique(h[at])
-        covered: dict[int, set] = defaultdict(set)
-        for a, b in zip(np.searchsorted(self.hashes, distinct), np.searchsorted(self.hashes, distinct, "right")):
-            for k, place in zip(self.item[a:b].tolist(), self.place[a:b].tolist()):
-                covered[k].update(range(place, place + self.seed))
-        for k, places in sorted(covered.items()):
-            n = len(self.ids[k])
-            if len(places) >= threshold * n:          # no tiling can cover more than the seeds do
-                tiled = tile(self.ids[k], short, self.seed)
-                if tiled >= threshold * n:
-                    yield self.items[k], tiled, n
+        tiled: dict[bytes, int] = {}
+        for k, shared in self._covered(np.unique(h[at]), threshold):
+            n, key = len(self.ids[k]), shared.tobytes()
+            if key not in tiled:
+                tiled[key] = tile(shared, short, self.seed)
+            if tiled[key] >= threshold * n:
+                yield self.items[k], tiled[key], n
+
+    def _covered(self, hashes: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Items that these seeds cover up to the threshold, as no tiling can cover more than
+        its seeds do, with their words; a gap between seeds is one word that matches nothing."""
+        lo, hi = np.searchsorted(self.hashes, hashes), np.searchsorted(self.hashes, hashes, "right")
+        at = ranges(lo, hi - lo)
+        at = at[np.lexsort((self.place[at], self.item[at]))]
+        item, place = self.item[at], self.place[at]
+        new = np.concatenate([[True], item[1:] != item[:-1]])
+        step = np.where(new, self.seed, np.minimum(np.diff(place, prepend=0), self.seed))
+        start = np.flatnonzero(new)
+        enough = np.add.reduceat(step, start) >= threshold * self.size[item[start]]
+        for a, b in zip(start[enough].tolist(), np.append(start, len(at))[1:][enough].tolist()):
+            inside = np.zeros(int(place[b - 1] - place[a]) + self.seed + 1, np.int64)
+            inside[place[a:b] - place[a]] += 1
+            inside[place[a:b] - place[a] + self.seed] -= 1
+            inside = np.cumsum(inside)[:-1] > 0
+            words_ = np.where(inside, self.ids[item[a]][place[a]:place[a] + len(inside)], np.uint64(0))
+            yield int(item[a]), words_[inside | np.concatenate([[False], inside[:-1]])]
 
 
 @F.pandas_udf(LongType())
@@ -178,11 +198,15 @@ def _shards(benchmark: DataFrame, shard_words: int) -> tuple[DataFrame, int]:
     return items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))), shards
 
 
-def _shard_index(benchmark: DataFrame, seed: int, shard_words: int) -> Iterator:
+def _shard_index(benchmark: DataFrame, seed: int, shard_words: int) -> Iterator[tuple]:
+    """(broadcast index, whether it is the last): an index is destroyed before the next is made."""
     items, shards = _shards(benchmark, shard_words)
     for s in range(shards):
         rows = items.where(F.col("shard") == s).select("item_id", "text").orderBy("item_id", "text").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(vars(Shard([tuple(r) for r in rows], seed)))
+        index = benchmark.sparkSession.sparkContext.broadcast(vars(Shard([tuple(r) for r in rows], seed)))
+        yield index, s == shards - 1
+        if s < shards - 1:
+            index.destroy()
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, threshold: float = THRESHOLD,
@@ -190,11 +214,12 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, t
     """One row per document and item at or above the threshold: doc_id, item_id,
     covered_words, item_words, coverage."""
     out = None
-    for index in _shard_index(benchmark, seed, shard_words):
+    for index, last in _shard_index(benchmark, seed, shard_words):
         hits = _matching(index, threshold, benchmark.schema["item_id"].dataType.simpleString())(text_of())
         part = docs.select("doc_id", F.explode(F.arrays_zip(hits["item_id"], hits["covered"], hits["words"])).alias("m"))
         part = part.select("doc_id", "m.item_id", F.col("m.covered").alias("covered_words"),
                            F.col("m.words").alias("item_words"))
+        part = part if last else materialize(part, "shard-hits")
         out = part if out is None else out.unionByName(part)
     return out.withColumn("coverage", F.col("covered_words") / F.col("item_words"))
 
@@ -224,7 +249,18 @@ def _clean_of(index, threshold: float):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, threshold: float = THRESHOLD,
                       shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``docs`` (all columns) without documents that cover an item: a filter per shard."""
-    for index in _shard_index(benchmark, seed, shard_words):
+    """``docs`` (all columns) without documents that cover an item: a filter per shard.
+
+    With several shards each pass but the last is written; of these tables the newest stays.
+    """
+    spark, before = docs.sparkSession, None
+    for index, last in _shard_index(benchmark, seed, shard_words):
         docs = docs.where(_clean_of(index, threshold)(text_of()))
+        if not last:
+            path = scratch_path(spark, "shard-rest")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before:
+                delete(spark, before)
+            before = path
     return docs
