@@ -194,6 +194,30 @@ def test_license_join_is_exact(spark):
         assert set(r.template_labels.split(",")) - {""} == want
 
 
+def test_licenses_of_any_length(spark, docs):
+    """Whole license texts as templates, more than a thousand of them; labels against sets of words."""
+    rng = random.Random(9)
+    vocab = [f"term{i}" for i in range(300)]
+    templates = [(f"it's {k}", " ".join(rng.choices(vocab, k=rng.choice([5, 150, 400])))) for k in range(1100)]
+    templates += [("none", " ... "), ("quoted", "Don't; 'AS IS'")]
+    texts = []
+    for _ in range(12):
+        body = rng.choice(templates)[1].split()
+        for _ in range(rng.randint(0, len(body) // 8)):
+            body[rng.randrange(len(body))] = "changed"
+        texts.append(" ".join(["before"] * rng.randint(0, 700) + body + ["after"] * 90))
+    mine = spark.createDataFrame(list(enumerate(texts + ["it is don t as is", None])), "doc_id long, text string")
+    step = max(len(t.split()) for _, t in templates)
+    assert step == 400
+    for r in scan_licenses(mine, templates).collect():
+        w = (texts + ["it is don t as is", ""])[r.doc_id].split()
+        blocks = [set(w[i:i + 2 * step]) for i in range(0, max(len(w), 1), step)]
+        sets = {label: set(re.findall("[a-z0-9]+", t.lower())) for label, t in templates}
+        want = {label for label, t in sets.items() for b in blocks if t and len(b & t) >= 0.9 * len(t) - 1e-9}
+        assert set(r.template_labels.split(",")) - {""} == want and ("quoted" in want) == (r.doc_id == 12)
+    assert {r.template_labels for r in scan_licenses(docs, []).collect()} == {""}
+
+
 def test_toxicity_scores(spark, docs, labels, empty):
     out = score_toxicity(docs, labels).collect()
     assert len(out) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)

@@ -2,9 +2,9 @@
 text blocks with license templates.
 
 Words are runs of ASCII letters, digits and non-ASCII characters after
-lower-casing A-Z. A block is a window of twice ``BLOCK_WORDS`` words that starts
-every ``BLOCK_WORDS`` words, so any passage of up to that many words lies whole
-in one. A block gets a template's label if it holds at least ``threshold`` of
+lower-casing A-Z. A block is a window of twice n words that starts every n words,
+n being ``BLOCK_WORDS`` or the words of the longest template where that is more, so
+any passage as long as a template lies whole in one. A block gets a template's label if it holds at least ``threshold`` of
 the template's distinct words. The join is exact: tokens are ordered by how few
 documents hold them (counted over all documents); a pair that reaches the
 overlap ``need`` shares a token inside both prefixes (all but ``need`` - 1
@@ -13,14 +13,16 @@ still have enough left. What passes is verified on the whole sets.
 
 Defined results: a null or empty text has no words, labels or places and scores
 0; equal texts score alike; an empty table gives an empty result; columns other
-than doc_id and text are not read. Templates are given by the program, at most
-``MAX_TEMPLATES`` of at most ``BLOCK_WORDS`` words: that bounds the side that
-is broadcast.
+than doc_id and text are not read. Templates may have any length and number, whole
+license texts included; one without words matches nothing. They are given by the
+program, so their size is known: up to ``BROADCAST_CHARS`` characters they are
+broadcast, beyond that the joins are planned without a hint.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -56,11 +58,25 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 BLOCK_WORDS = 64
-MAX_TEMPLATES = 1000
+BROADCAST_CHARS = 8_000_000
 
+_NO_TEMPLATE = "(0, '', '', 0)"
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def words_of(text: str) -> list[str]:
+    """Words of a template, as the documents' words are taken."""
+    return [w for w in re.split(_NOT_WORD, re.sub("[A-Z]+", lambda m: m[0].lower(), text)) if w]
+
+
+def _template_table(spark, labels: Sequence[str], tokens: Sequence[Sequence[str]], needs: Sequence[int]) -> DataFrame:
+    """(template, label, tokens, least): a row per template; tokens hold no quote, space or comma."""
+    rows = ", ".join("({}, '{}', '{}', {})".format(k, label.replace("\\", "\\\\").replace("'", "\\'"), " ".join(t), need)
+                     for k, (label, t, need) in enumerate(zip(labels, tokens, needs)))
+    made = spark.sql(f"SELECT * FROM VALUES {rows or _NO_TEMPLATE} AS t(template, label, tokens, least)")
+    return made.withColumn("tokens", F.split("tokens", " ")).where("least > 0")
+
+
 def _spaced(text: Column) -> Column:
     """' w0 w1 ... ' : the words with one space before and after each."""
     return F.regexp_replace(F.concat(F.lit(" "), ascii_lower(text), F.lit(" ")), _NOT_WORD, " ")
@@ -92,16 +108,14 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     base_labels, labels, score (1 with a phrase, else the best containment of a
     labelled block, else 0), template_labels."""
     spark = docs.sparkSession
-    sets = [(label, sorted(set(text.split()))) for label, text in templates]
-    if len(sets) > MAX_TEMPLATES or any(len(text.split()) > BLOCK_WORDS for _, text in templates):
-        raise ValueError(f"at most {MAX_TEMPLATES} templates of at most {BLOCK_WORDS} words")
+    worded = [(label, words_of(text)) for label, text in templates]
+    sets = [(label, sorted(set(w))) for label, w in worded if w]
+    step = max([BLOCK_WORDS] + [len(w) for _, w in worded])
     order = _global_order(docs, sorted({t for _, s in sets for t in s}))
     rank = {t: i for i, t in enumerate(order)}
     needs = [math.ceil(threshold * len(s) - 1e-9) for _, s in sets]
     ordered = [sorted(s, key=rank.get) for _, s in sets]
-    prefix_rows = [(t, k, i, len(s), need) for k, (s, need) in enumerate(zip(ordered, needs))
-                   for i, t in enumerate(s[:len(s) - need + 1])]
-    rare = sorted({r[0] for r in prefix_rows})
+    rare = sorted({t for s, need in zip(ordered, needs) for t in s[:len(s) - need + 1]})
 
     # Phrases: one scan; only the pieces before the first and after the last place are counted.
     places = "(?<= )(?:{})(?= )".format("|".join(p for p, _ in phrases))
@@ -119,30 +133,29 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
         F.transform(F.array_distinct("_m"), lambda m: F.element_at(
             F.create_map(*[F.lit(x) for pair in phrases for x in pair]), m)).alias("_base"))
     windows = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.col("n_words") - 1, F.lit(0)), F.lit(BLOCK_WORDS).cast("long")),
-        lambda i: F.array_intersect(_strings(order), F.slice("_w", i.cast("int") + 1, 2 * BLOCK_WORDS)))
+        F.sequence(F.lit(0), F.greatest(F.col("n_words") - 1, F.lit(0)), F.lit(step).cast("long")),
+        lambda i: F.array_intersect(_strings(order), F.slice("_w", i.cast("int") + 1, 2 * step)))
     least = min(needs, default=1)
     blocks = F.when(F.arrays_overlap("_w", _strings(rare)), F.filter(windows, lambda b: F.size(b) >= least))
     rows = materialize(found.select("doc_id", F.monotonically_increasing_id().alias("_row"), "n_words", "n_base",
                                     "first_word", "last_word", "_base", blocks.alias("_blocks")), "license-rows")
 
     # Block tokens come in global order, so a token's place in the block is its position.
-    values = ", ".join("('{}', {}, {}, {}, {})".format(*r) for r in prefix_rows)
-    prefixes = spark.sql(f"SELECT * FROM VALUES {values} AS p(token, template, i, size, need)")
-    texts = ", ".join("({}, '{}', array({}), {})".format(
-        k, label.replace("'", "''"), ", ".join(f"'{t}'" for t in ordered[k]), needs[k])
-        for k, (label, _) in enumerate(sets))
-    wholes = spark.sql(f"SELECT * FROM VALUES {texts} AS t(template, label, tokens, least)")
+    wholes = _template_table(spark, [label for label, _ in sets], ordered, needs)
+    prefixes = wholes.select("template", F.size("tokens").alias("size"), F.col("least").alias("need"),
+                             F.posexplode(F.slice("tokens", F.lit(1), F.size("tokens") - F.col("least") + 1)).alias("i", "token"))
+    if sum(len(t) for s in ordered for t in s) <= BROADCAST_CHARS:
+        wholes, prefixes = F.broadcast(wholes), F.broadcast(prefixes)
     block = rows.select("_row", F.explode("_blocks").alias("_b")).withColumn("_n", F.size("_b"))
     probe = block.select("_row", "_b", "_n", F.posexplode("_b").alias("_j", "_token"))
     left_over = F.least(F.col("size") - F.col("i"), F.col("_n") - F.col("_j"))
-    candidates = (probe.join(F.broadcast(prefixes), (F.col("_token") == F.col("token"))
+    candidates = (probe.join(prefixes, (F.col("_token") == F.col("token"))
                              & (F.col("_n") >= F.col("need"))                    # length
                              & (F.col("_j") <= F.col("_n") - F.col("need"))      # prefix of the block
                              & (left_over >= F.col("need")))                     # position
                   .select("_row", "template", "_b").distinct())
     share = F.size(F.array_intersect("_b", "tokens"))
-    matched = (candidates.join(F.broadcast(wholes), "template").where(share >= F.col("least"))
+    matched = (candidates.join(wholes, "template").where(share >= F.col("least"))
                .groupBy(F.col("_row").alias("_r"))
                .agg(F.collect_set("label").alias("_labels"), F.max(share / F.size("tokens")).alias("_best")))
 
