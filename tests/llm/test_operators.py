@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from wharf.llm import decontam, mixing, pii, simhash
+from wharf.llm import decontam, mixing, pii, simhash, substring_dedup
 from wharf.llm.components import components
 from wharf.llm.exact_dedup import drop_exact_copies, exact_dedup
 from wharf.llm.license_scan import scan_licenses
@@ -415,7 +415,7 @@ def test_shards_in_any_alphabet(spark, text):
     assert max(held.values()) <= 12 and sum(held.values()) == 40
 
 
-def test_substring_dedup(docs, empty, rows):
+def test_substring_dedup(docs, empty, rows, monkeypatch):
     first = {}
     for i, text, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         w = (text or "").encode().split()
@@ -430,8 +430,14 @@ def test_substring_dedup(docs, empty, rows):
                 cut[k:k + 13] = [True] * 13
         left = b" ".join(x for x, c in zip(w, cut) if not c)
         want.append((str(i), len(w), sum(cut), hashlib.sha256(left).hexdigest()))
-    got = [(str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeats(docs).collect()]
-    assert sorted(got) == sorted(want) and sum(x[2] > 0 for x in got) > 20
+    used, look = [], substring_dedup._candidates
+    monkeypatch.setattr(substring_dedup, "_candidates", lambda r, f, parts: used.append(parts) or look(r, f, parts))
+    for seeds, held in ((1 << 25, 8), (200, 1000), (1, 1)):                  # one bitmap, some, the join
+        monkeypatch.setattr(substring_dedup, "SHARD_SEEDS", seeds)
+        monkeypatch.setattr(substring_dedup, "MAX_SHARDS", held)
+        got = [(str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeats(docs).collect()]
+        assert sorted(got) == sorted(want) and sum(x[2] > 0 for x in got) > 20
+    assert len(used[0]) == 1 < len(used[1]) and used[2] is None
     assert remove_repeats(empty).count() == 0
 
 

@@ -8,8 +8,10 @@ The reference is the whole corpus, so it is narrowed before anything is matched:
    on). A bitmap of those first documents lets the scans skip the others.
 2. Seeds. Each window is known by the smallest hash of its 5-word runs, so equal
    windows have equal seeds and a text has few distinct ones. Seeds that occur in
-   two documents go, in shards, into bitmaps of fixed size which are broadcast.
-3. Streaming. Documents are streamed past the shards; windows with a repeated
+   two documents go, in shards, into bitmaps of fixed size which are broadcast; where
+   more than ``MAX_SHARDS`` would be needed, they stay a table, and the documents' seeds
+   are joined with it instead.
+3. Streaming. Each seed of a document is asked of its own shard; windows with a repeated
    seed are candidates. Neighbouring candidates with one seed make a segment. Where
    all segments of a seed are equal, its smallest doc_id decides for all of them;
    else their windows are compared one by one, by seed and hash (128 bits). Smallest
@@ -23,7 +25,8 @@ remain after narrowing are matched by hash instead, which gives the same rows.
 Defined results: null text has no words; texts under ``WINDOW`` words keep them
 all; a null doc_id is neither smaller nor larger than any other, so such rows
 keep all words; rows that repeat a doc_id are one document for the comparison and
-each give a row; an empty table gives an empty result.
+each give a row; an empty table gives an empty result; texts of any length are hashed in
+pieces; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,7 +51,11 @@ FIRST_BITS = 1 << 26
 SEED_BITS = 1 << 27
 #: A shard holds at most this many repeated seeds.
 SHARD_SEEDS = 1 << 25
+#: As many bitmaps (16 MB each) are held at once.
+MAX_SHARDS = 8
 
+#: A seed's shard is taken from bits that its bit number does not use.
+_SHARD_SHIFT = 28
 _PIECE = 1 << 18
 _MULT = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
@@ -169,28 +176,47 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     repeated = materialize(docs.select(F.explode(seeds(text_of(), _own_bit())).alias("seed"))
                            .groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed"), "seeds")
     shards = max(1, -(-repeated.count() // SHARD_SEEDS))
+    rows = docs.select("doc_id", text_of().alias("_t"), _own_bit().alias("_bit"))
+    if shards > MAX_SHARDS:
+        # Too many for bitmaps: the join tells each document its repeated seeds.
+        rows = materialize(rows.withColumn("_id", F.monotonically_increasing_id()), "rows", "zstd")
+        met = (rows.select("_id", F.explode(seeds("_t", "_bit")).alias("seed")).join(repeated, "seed", "left_semi")
+               .groupBy("_id").agg(F.collect_list("seed").alias("_hits")))
+        rows = rows.join(met, "_id", "left").drop("_id")
+        return _finish(materialize(_candidates(rows, first, None), "windows", "zstd"))
     low = F.shiftrightunsigned("seed", 1)  # not negative
-    parts = [build(repeated.where(F.pmod(F.xxhash64("seed"), F.lit(shards)) == s)
+    parts = [build(repeated.where(F.pmod(F.shiftrightunsigned("seed", _SHARD_SHIFT), F.lit(shards)) == s)
                            .select(bit_of(low, SEED_BITS).alias("b")), "b", SEED_BITS) for s in range(shards)]
-    looked = materialize(_candidates(docs, first, parts), "windows", "zstd")
-    return _finish(looked)
-
-
-def _candidates(docs: DataFrame, first, parts: list[np.ndarray]) -> DataFrame:
-    """One row per document: its words, and the windows whose seed is repeated.
-
-    Every shard's bitmap is asked; asking them all only adds candidates.
-    """
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(p) for p in parts]
+    rows = rows.withColumn("_hits", F.lit(None).cast("array<long>"))
+    return _finish(materialize(_candidates(rows, first, parts), "windows", "zstd"))
+
+
+def _candidates(rows: DataFrame, first, parts: list[np.ndarray] | None) -> DataFrame:
+    """One row per document: its words, and the windows whose seed is repeated, as the bitmaps
+    ``parts`` say or, without them, as the row's ``_hits`` do."""
+    sc = rows.sparkSession.sparkContext
+    shared = [sc.broadcast(p) for p in parts or ()]
+
+    def repeated_seeds(seed: np.ndarray, hits) -> np.ndarray:
+        if not shared:
+            return np.isin(_signed(seed), np.asarray([] if hits is None else hits, np.int64))
+        number = ((seed >> np.uint64(1)) % np.uint64(SEED_BITS)).astype(np.int64)
+        if len(shared) == 1:
+            return test(shared[0].value, number)
+        own = (seed >> np.uint64(_SHARD_SHIFT)) % np.uint64(len(shared))
+        hit = np.zeros(len(seed), bool)
+        for s in np.unique(own).tolist():
+            mine = own == s
+            hit[mine] = test(shared[s].value, number[mine])
+        return hit
 
     @F.pandas_udf("n_words long, gone boolean, kept_sha256 string, seed array<long>, segment array<long>, "
                   "at array<int>, n array<int>, first array<int>, hash array<long>")
-    def look(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         windows = Windows()
-        for texts, bits in batches:
+        for texts, bits, asked in batches:
             rows = []
-            for text, use in zip(texts, _is_first(first.value, bits)):
+            for text, use, hits in zip(texts, _is_first(first.value, bits), asked):
                 data = _encode(text)
                 if not use:
                     n = len(data.split())  # a copy of an earlier document
@@ -198,11 +224,7 @@ def _candidates(docs: DataFrame, first, parts: list[np.ndarray]) -> DataFrame:
                     rows.append((n, gone, _kept(b"" if gone else data, None)[1], [], [], [], [], [], []))
                     continue
                 w, seed, whole = windows.of(data)
-                hit = np.zeros(len(seed), bool)
-                number = ((seed >> np.uint64(1)) % np.uint64(SEED_BITS)).astype(np.int64)
-                for bitmap in shared:
-                    hit |= test(bitmap.value, number)
-                at = np.flatnonzero(hit)
+                at = np.flatnonzero(repeated_seeds(seed, hits))
                 if not len(at):
                     rows.append((len(w), False, _kept(data, None)[1], [], [], [], [], [], []))
                     continue
@@ -211,7 +233,7 @@ def _candidates(docs: DataFrame, first, parts: list[np.ndarray]) -> DataFrame:
                              at[start].astype(np.int32), n.astype(np.int32), start.astype(np.int32), _signed(whole[at])))
             yield pd.DataFrame(rows, columns=["n_words", "gone", "kept_sha256", "seed", "segment", "at", "n", "first", "hash"])
 
-    return (docs.select("doc_id", text_of().alias("_t"), look(text_of(), _own_bit()).alias("w"))
+    return (rows.select("doc_id", "_t", look("_t", "_bit", "_hits").alias("w"))
                 .select("doc_id", F.monotonically_increasing_id().alias("_row"), "w.*",
                         F.when(F.size("w.at") > 0, F.col("_t")).alias("_t")))
 
