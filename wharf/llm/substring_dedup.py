@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from wharf.llm.bitmaps import bit_of, build, test
-from wharf.llm.common import text_of
+from wharf.llm.common import shuffles_freed, text_of
 from wharf.session import materialize
 
 WINDOW = 13
@@ -162,6 +162,11 @@ def _is_first(bitmap: np.ndarray, bits: pd.Series) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
+    with shuffles_freed(docs.sparkSession):
+        return _remove_repeats(docs)
+
+
+def _remove_repeats(docs: DataFrame) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     first = sc.broadcast(_first_documents(docs))
 
